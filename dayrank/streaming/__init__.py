@@ -1,0 +1 @@
+"""Empty on purpose: every input is a finished daily file, there is no streaming work."""
