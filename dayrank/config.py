@@ -30,8 +30,8 @@ class FeatureConfig:
     boosting_rounds: int = 900
     #: A join key with more rows than this is spread over several tasks.
     hot_rows: int = 1_000_000
-    #: At most this many keys are spread, the hottest first. A key beyond them holds less
-    #: than 1/hot_keys of the rows, which is no skew.
+    #: At most this many keys are spread, the hottest first. A key beyond them has fewer rows
+    #: than each of these, which is no skew.
     hot_keys: int = 1024
     #: A lookup table is broadcast only when its counted rows do not exceed this.
     broadcast_rows: int = 500_000

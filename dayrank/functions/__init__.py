@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayrank.schema import BEHAVIOURS, HOURS, PURCHASE, RATIOS
+from dayrank.schema import BEHAVIOURS, HOURS, PURCHASE, RATIOS, profile_columns
 
-#: Number of the hour-by-behaviour cell, 0 to 95.
+N_CELLS = len(HOURS) * len(BEHAVIOURS)
+#: Number of the hour-by-behaviour cell, 0 to 95, in the order of the profile columns.
 CELL = f"CAST(hour * {len(BEHAVIOURS)} + behavior_type - 1 AS INT)"
 
 
@@ -48,9 +49,7 @@ def averages(counts_stem: str, out_stem: str, slot: int) -> dict[str, str]:
 def profile(cells: str, stem: str) -> dict[str, str]:
     """The 96 hour-by-behaviour counts out of a cell -> count map, by column name."""
     return {
-        f"{stem}_h{h:02d}_b{b}": f"coalesce({cells}[{h * len(BEHAVIOURS) + b - 1}], 0L)"
-        for h in HOURS
-        for b in BEHAVIOURS
+        name: f"coalesce({cells}[{i}], 0L)" for i, name in enumerate(profile_columns(stem))
     }
 
 

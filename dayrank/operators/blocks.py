@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
-from dayrank.functions import CELL, aliased, averages, profile, ratios
+from dayrank.functions import CELL, N_CELLS, aliased, averages, profile, ratios
 from dayrank.operators.label_calendar import LabelDay, last_days_table, membership, within_days
 from dayrank.operators.rollup import (
     daily_counts,
-    daily_profile,
     entity_cells,
     entity_days,
 )
@@ -27,6 +26,7 @@ from dayrank.schema import (
     USER_ITEM,
     Entity,
     block_columns,
+    profile_columns,
 )
 
 
@@ -108,20 +108,18 @@ def hour_profile(
 ) -> DataFrame:
     """Counts per hour and behaviour over the last n days, all 96 cells, per active key."""
     table = last_days_table(rollup.sparkSession, days, cfg, n)
-    cells = entity_cells(
-        within_days(rollup, days).join(F.broadcast(table.select("day").distinct()), "day", "left_semi"),
-        entity,
-    )
-    per_cell = (
+    wanted = F.broadcast(table.select("day").distinct())
+    cells = entity_cells(within_days(rollup, days).join(wanted, "day", "left_semi"), entity)
+    found = (
         cells.join(F.broadcast(table), "day")
-        .groupBy("label_day", *entity.keys, F.expr(CELL).alias("cell"))
-        .agg(F.sum("cnt").alias("cnt"))
-    )
-    found = per_cell.groupBy("label_day", *entity.keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("cell", "cnt"))).alias("cells")
+        .withColumn("cell", F.expr(CELL))
+        .groupBy("label_day", *entity.keys)
+        .pivot("cell", list(range(N_CELLS)))
+        .agg(F.sum("cnt"))
     )
     stem = entity.profile if n == 1 else f"{entity.profile}{n}d"
-    return found.selectExpr("label_day", *entity.keys, *aliased(profile("cells", stem)))
+    names = {name: f"coalesce(`{i}`, 0L)" for i, name in enumerate(profile_columns(stem))}
+    return found.selectExpr("label_day", *entity.keys, *aliased(names))
 
 
 def live_days(
@@ -169,7 +167,7 @@ def entity_block(
         aggs.append(F.collect_list(_when("in_d1", F.col("cells"))).alias("cells"))
     block = daily.groupBy("label_day", *entity.keys).agg(*aggs)
     if entity.profile:
-        block = block.withColumn("cells", F.get("cells", 0))
+        block = block.withColumn("cells", F.map_from_entries(F.get("cells", 0)))
     if entity.unique_users:
         pairs = daily_counts(rollup, USER_ITEM.keys)
         block = block.join(

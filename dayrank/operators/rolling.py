@@ -72,7 +72,7 @@ def sample_day_block(
     if entity.type_max:
         out[f"{p}_type_max"] = "type_max"
     if entity.profile:
-        out[f"{entity.profile}_cells"] = "cells"
+        out[f"{entity.profile}_cells"] = "map_from_entries(cells)"
     if "item_category" in daily.columns and "item_category" not in entity.keys:
         out["item_category"] = "item_category"
     if labelled:

@@ -73,7 +73,7 @@ def daily_profile(
     cells: DataFrame, entity: Entity, days: Sequence[LabelDay], sample_behaviours=None
 ) -> DataFrame:
     """One row per key and day: behaviour counts, first and last hour, strongest behaviour
-    and, on sample days, the cell counts as a map of at most 96 entries.
+    and, on sample days, the cell counts as a list of at most 96 (cell, cnt) entries.
 
     Keeping the hour profile sparse until the last projection keeps shuffled rows short: a
     pair touched twice in a day carries two entries and not 96 columns.
@@ -84,8 +84,8 @@ def daily_profile(
         F.min("hour").alias("hour_min"),
         F.max("hour").alias("hour_max"),
         F.max("behavior_type").alias("type_max"),
-        F.map_from_entries(
-            F.collect_list(F.when(on_sample_day, F.struct(F.expr(CELL).alias("cell"), "cnt")))
+        F.collect_list(
+            F.when(on_sample_day, F.struct(F.expr(CELL).alias("cell"), "cnt"))
         ).alias("cells"),
     ]
     if "item_category" in cells.columns and "item_category" not in entity.keys:

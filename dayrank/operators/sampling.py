@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
@@ -16,49 +16,46 @@ def downsample(frame: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """All positives and exactly min(negatives, ratio x positives) negatives.
 
     Negatives are taken in the order of a seeded hash of their key, so the choice does not
-    depend on partitioning or row order. ``frame`` is unique on its key and should be cheap to
-    read twice (only key and label are read for the cut).
-
-    The cut is found without sorting the negatives: they are counted per hash bucket (at most
-    65,536 rows), the running count names the bucket in which the last one falls, and only that
-    bucket, 1/65,536 of the negatives, is ordered. The chosen rows then pass one filter.
+    depend on partitioning or row order. ``frame`` is unique on its key; its key and label are
+    read twice for the cut, so it should come from storage.
     """
-    digest = F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in SAMPLE_KEY), F.lit(cfg.seed)))
-    bucket = F.substring("digest", 1, BUCKET_DIGITS)
-    marked = frame.select("label", digest.alias("digest")).withColumn(
-        "bucket", F.when(F.col("label") == 0, bucket)
-    )
+    return frame.filter(chosen(frame.select(*SAMPLE_KEY, "label"), cfg))
+
+
+def chosen(labels: DataFrame, cfg: FeatureConfig) -> Column:
+    """The predicate that keeps all positives and the negatives up to the cut.
 
-    counted = marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    ``labels`` holds key and label of every sample. The cut is found without sorting the
+    negatives: they are counted per hash bucket (at most 65,536 rows), the running count names
+    the bucket in which the last one falls, and only that bucket, 1/65,536 of the negatives,
+    is ordered. The frame itself then passes one filter.
+    """
+    key = [F.col(k).cast("string") for k in SAMPLE_KEY]
+    digest = F.md5(F.concat_ws("|", *key, F.lit(cfg.seed)))
+    bucket = F.substring(digest, 1, BUCKET_DIGITS)
+    negatives = labels.filter("label = 0").select(digest.alias("digest"), bucket.alias("bucket"))
+
+    target = labels.agg(
+        (F.count_if(F.col("label") == 1) * cfg.negatives_per_positive).alias("target")
+    ).scalar()
     in_order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    negatives = F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0)
-    positives = F.when(F.col("bucket").isNull(), F.col("n")).otherwise(0)
-    running = counted.select(
-        "bucket",
-        "n",
-        F.sum(negatives).over(in_order).alias("upto"),
-        # The null bucket of the positives sorts first, so every row sees its count.
-        (F.sum(positives).over(in_order) * cfg.negatives_per_positive).alias("target"),
-    )
-    cut = running.filter("bucket IS NOT NULL AND upto >= target").agg(
-        F.min(F.struct("bucket", (F.col("target") - F.col("upto") + F.col("n")).alias("need"))).alias("cut")
+    counted = negatives.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    running = counted.select("bucket", "n", F.sum("n").over(in_order).alias("upto"))
+    cut = (
+        running.filter(F.col("upto") >= target)
+        .agg(F.min(F.struct("bucket", (target - F.col("upto") + F.col("n")).alias("need"))))
+        .scalar()
     )
-    cut_value = cut.scalar()
 
-    nth = Window.orderBy("digest")
+    in_bucket = negatives.filter(F.col("bucket") == cut["bucket"])
+    nth = F.row_number().over(Window.orderBy("digest"))
     last = (
-        marked.filter(F.col("bucket") == cut_value["bucket"])
-        .select("digest", F.row_number().over(nth).alias("nth"))
-        .filter(F.col("nth") <= cut_value["need"])
-        .agg(F.coalesce(F.max("digest"), F.lit("")).alias("last"))
-    )
-    taken = (
-        (F.col("label") == 1)
-        | cut_value.isNull()
-        | (F.substring(digest, 1, BUCKET_DIGITS) < cut_value["bucket"])
-        | (
-            (F.substring(digest, 1, BUCKET_DIGITS) == cut_value["bucket"])
-            & (digest <= last.scalar())
-        )
+        in_bucket.select("digest", nth.alias("nth"))
+        .filter(F.col("nth") <= cut["need"])
+        .agg(F.coalesce(F.max("digest"), F.lit("")))
+        .scalar()
     )
-    return frame.filter(taken)
+    # Without a cut bucket there are fewer negatives than wanted and all are kept. All digests
+    # of earlier buckets are smaller than the last one taken.
+    upto = F.when(cut.isNull(), F.lit("g")).when(last == "", cut["bucket"]).otherwise(last)
+    return (F.col("label") == 1) | (digest <= upto)

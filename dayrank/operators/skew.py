@@ -32,7 +32,8 @@ def measured_hot_keys(
     """Hot keys of several key sets, found now in one pass over ``large``.
 
     The result per key set is a literal table, or None where no key is hot, so that a plan
-    without skew carries no trace of this. At most ``cfg.hot_keys`` rows reach the driver.
+    without skew carries no trace of this. At most ``cfg.hot_keys`` rows reach the driver, the
+    hottest of all key sets together; a key left out holds a fraction of a percent of the rows.
     """
     columns = sorted({c for keys in key_sets for c in keys})
     counted = large.groupingSets([list(keys) for keys in key_sets], *columns).agg(

@@ -82,7 +82,7 @@ def label_spine(spark: SparkSession, folder: str) -> DataFrame:
             ),
         )
     )
-    return F.broadcast(spine(spark, TRAIN_DAYS)).join(counted, "label_day", "left")
+    return spine(spark, TRAIN_DAYS).join(counted, "label_day", "left")
 
 
 def _samples(labelled: bool, cfg=CFG) -> Query:

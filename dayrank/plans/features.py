@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
 from dayrank.functions import aliased, averages, profile, ratios
 from dayrank.operators.label_calendar import SCORE, TRAIN, label_days, within_days
 from dayrank.operators.rolling import sample_day_block
-from dayrank.operators.rollup import cell_rollup, daily_counts, daily_profile, entity_cells
-from dayrank.operators.sampling import downsample
+from dayrank.operators.rollup import daily_counts, daily_profile, entity_cells
+from dayrank.operators.samples import samples
+from dayrank.operators.sampling import chosen
 from dayrank.operators.skew import measured_hot_keys, spread_join
 from dayrank.operators.uniques import unique_users
 from dayrank.schema import (
@@ -24,6 +23,7 @@ from dayrank.schema import (
     USER_ITEM,
     feature_columns,
 )
+from dayrank.session import materialize
 
 
 def train_features(rollup: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -34,7 +34,9 @@ def train_features(rollup: DataFrame, cfg: FeatureConfig) -> DataFrame:
 def training_set(rollup: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Training features of all positives and the downsampled negatives. The choice needs keys
     and labels only, so it comes before the joins: dropped samples never meet their blocks."""
-    return _features(rollup, cfg, TRAIN, lambda frame: downsample(frame, cfg))
+    found = samples(rollup, label_days(cfg, TRAIN), cfg, labelled=True)
+    labels = materialize(found.select(*SAMPLE_KEY, "label"), "labels")
+    return _features(rollup, cfg, TRAIN, chosen(labels, cfg))
 
 
 def score_features(rollup: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -46,7 +48,7 @@ def _features(
     rollup: DataFrame,
     cfg: FeatureConfig,
     as_of: str,
-    thin: Callable[[DataFrame], DataFrame] | None = None,
+    keep: Column | None = None,
 ) -> DataFrame:
     """Samples with all blocks.
 
@@ -73,21 +75,21 @@ def _features(
     if cfg.sample_behaviours:
         touched = " + ".join(f"ui_d1_b{b}" for b in cfg.sample_behaviours)
         frame = frame.filter(f"{touched} > 0")
-    if thin is not None:
-        frame = thin(frame)
+    if keep is not None:
+        frame = frame.filter(keep)
 
     item = sample_day_block(daily_counts(rollup, ITEM.keys), ITEM, days, cfg).join(
         unique_users(pair_days, ITEM, days, cfg), ["label_day", "item_id"], "left"
     )
-    by_user_category = cell_rollup(rollup, USER_CATEGORY.keys)
-    category = sample_day_block(
-        daily_counts(by_user_category, CATEGORY.keys), CATEGORY, days, cfg
+    category = sample_day_block(daily_counts(rollup, CATEGORY.keys), CATEGORY, days, cfg)
+    user = sample_day_block(
+        daily_profile(entity_cells(rollup, USER), USER, days), USER, days, cfg
     )
-    user_cells = entity_cells(by_user_category, USER)
-    user = sample_day_block(daily_profile(user_cells, USER, days), USER, days, cfg)
-    user_category_cells = by_user_category.repartition(*USER_CATEGORY.keys)
     context = sample_day_block(
-        daily_profile(user_category_cells, USER_CATEGORY, days), USER_CATEGORY, days, cfg
+        daily_profile(entity_cells(rollup, USER_CATEGORY), USER_CATEGORY, days),
+        USER_CATEGORY,
+        days,
+        cfg,
     )
     for entity, block in ((CATEGORY, category), (USER, user)):
         context = spread_join(
