@@ -78,8 +78,9 @@ def _features(
     if keep is not None:
         frame = frame.filter(keep)
 
+    pair_counts = daily_counts(rollup, USER_ITEM.keys)
     item = sample_day_block(daily_counts(rollup, ITEM.keys), ITEM, days, cfg).join(
-        unique_users(pair_days, ITEM, days, cfg), ["label_day", "item_id"], "left"
+        unique_users(pair_counts, ITEM, days, cfg), ["label_day", "item_id"], "left"
     )
     category = sample_day_block(daily_counts(rollup, CATEGORY.keys), CATEGORY, days, cfg)
     user = sample_day_block(
