@@ -1,4 +1,4 @@
-"""``python -m dayrank prepare|features|rank`` (or the same through spark-submit)."""
+"""``python -m dayrank prepare|features|rank|evaluate``, or ``spark-submit run.py`` with the same."""
 
 from __future__ import annotations
 
@@ -9,24 +9,32 @@ from pyspark.sql import SparkSession
 
 from dayrank.config import FeatureConfig
 from dayrank.plans import jobs
+from dayrank.sources.behaviour import CSV, PARQUET
+
+JOBS = {
+    "prepare": (jobs.prepare_job, ("log", "items", "out")),
+    "features": (jobs.features_job, ("prepared", "train_out", "score_out")),
+    "rank": (jobs.rank_job, ("train", "score", "out")),
+    "evaluate": (jobs.evaluate_job, ("prepared", "submission", "out")),
+}
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="dayrank", description=__doc__)
     defaults = FeatureConfig()
+    parser = argparse.ArgumentParser(prog="dayrank", description=__doc__)
     parser.add_argument("--last-label-day", type=date.fromisoformat, default=defaults.last_label_day)
     parser.add_argument(
-        "--gap-day", type=date.fromisoformat, action="append", default=None,
+        "--gap-day", type=date.fromisoformat, action="append",
         help="may be repeated; default " + ", ".join(map(str, defaults.gap_days)),
     )
     parser.add_argument("--rounds", type=int, default=defaults.boosting_rounds)
     parser.add_argument("--top-k", type=int, default=defaults.top_k)
+    parser.add_argument(
+        "--format", choices=(PARQUET, CSV), default=PARQUET,
+        help="of the prepared log and the feature tables",
+    )
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, paths in {
-        "prepare": ("log", "items", "out"),
-        "features": ("prepared", "train_out", "score_out"),
-        "rank": ("train", "score", "out"),
-    }.items():
+    for name, (_, paths) in JOBS.items():
         command = commands.add_parser(name)
         for path in paths:
             command.add_argument(path)
@@ -38,12 +46,8 @@ def main(argv: list[str] | None = None) -> None:
         top_k=args.top_k,
     )
     spark = SparkSession.builder.appName(f"dayrank-{args.command}").getOrCreate()
-    if args.command == "prepare":
-        jobs.prepare_job(spark, args.log, args.items, args.out, cfg)
-    elif args.command == "features":
-        jobs.features_job(spark, args.prepared, args.train_out, args.score_out, cfg)
-    else:
-        jobs.rank_job(spark, args.train, args.score, args.out, cfg)
+    job, paths = JOBS[args.command]
+    job(spark, *(getattr(args, path) for path in paths), cfg, args.format)
 
 
 if __name__ == "__main__":

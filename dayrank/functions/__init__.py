@@ -6,7 +6,10 @@ The wide families (96 profile cells, ratios, averages) are given as SQL text for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayrank.schema import BEHAVIOURS, HOURS, PURCHASE, RATIOS, profile_columns
@@ -18,12 +21,12 @@ CELL = f"CAST(hour * {len(BEHAVIOURS)} + behavior_type - 1 AS INT)"
 
 def day_of(time: Column) -> Column:
     """Day of a ``YYYY-MM-DD HH`` string."""
-    return F.to_date(F.split(time, " ")[0], "yyyy-MM-dd")
+    return F.substring_index(time, " ", 1).cast("date")
 
 
 def hour_of(time: Column) -> Column:
     """Hour of a ``YYYY-MM-DD HH`` string as an integer."""
-    return F.split(time, " ")[1].cast("int")
+    return F.substring_index(time, " ", -1).cast("int")
 
 
 def ratio(actions: str, purchases: str) -> str:
@@ -63,3 +66,15 @@ def add_purchase_flag(df: DataFrame) -> DataFrame:
     if "build_label" in df.columns:
         flag = F.coalesce(F.col("build_label"), F.lit(0)) + flag
     return df.withColumn("build_label", flag)
+
+
+def literal_table(
+    spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence[date | bool | int | str]]
+) -> DataFrame:
+    """A small table written into the plan. Strings are taken as SQL text."""
+
+    def text(value: date | bool | int | str) -> str:
+        return f"DATE '{value.isoformat()}'" if isinstance(value, date) else str(value)
+
+    body = ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")

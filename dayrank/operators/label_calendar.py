@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
+from dayrank.functions import literal_table
 
 TRAIN = "train"
 SCORE = "score"
@@ -89,19 +90,10 @@ def within_days(log: DataFrame, days: Sequence[LabelDay]) -> DataFrame:
     return log.filter(F.col("day").between(F.lit(first), F.lit(last)))
 
 
-def _literal(value: object) -> str:
-    return f"DATE '{value.isoformat()}'" if isinstance(value, date) else str(value)
-
-
-def _small_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
-    body = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
-
-
 def spine(spark: SparkSession, days: Sequence[LabelDay]) -> DataFrame:
     """One row per label day with the dates of its windows."""
     subs = sorted(days[0].sub_from, reverse=True)
-    return _small_table(
+    return literal_table(
         spark,
         ["label_day", "sample_day", "long_from", "long_to", *(f"d{n}_from" for n in subs)],
         [
@@ -114,7 +106,7 @@ def spine(spark: SparkSession, days: Sequence[LabelDay]) -> DataFrame:
 def sample_day_table(spark: SparkSession, days: Sequence[LabelDay]) -> DataFrame:
     """``day`` (the sample day) -> ``label_day`` and how far back its windows reach."""
     subs = sorted(days[0].sub_from)
-    return _small_table(
+    return literal_table(
         spark,
         ["day", "label_day", "long_back", *(f"d{n}_back" for n in subs)],
         [
@@ -137,9 +129,9 @@ def membership(spark: SparkSession, days: Sequence[LabelDay], cfg: FeatureConfig
             day = d.sample_day - _days(back)
             if day in cfg.gap_days:
                 continue
-            flags = tuple(str(day >= d.sub_from[n]).upper() for n in subs)
-            rows.append((day, d.label_day, d.long_to, str(back == 0).upper(), *flags))
-    return _small_table(
+            flags = tuple(day >= d.sub_from[n] for n in subs)
+            rows.append((day, d.label_day, d.long_to, back == 0, *flags))
+    return literal_table(
         spark, ["day", "label_day", "long_to", "in_d1", *(f"in_d{n}" for n in subs)], rows
     )
 
@@ -153,12 +145,12 @@ def last_days_table(
     for d in days:
         wanted = [d.sample_day] if n == 1 else [d.label_day - _days(k) for k in range(1, n + 1)]
         rows += [(day, d.label_day) for day in wanted if day not in cfg.gap_days]
-    return _small_table(spark, ["day", "label_day"], rows)
+    return literal_table(spark, ["day", "label_day"], rows)
 
 
 def role_table(spark: SparkSession, days: Sequence[LabelDay], labelled: bool) -> DataFrame:
     """``day`` -> the label days it gives samples to and, in training, labels to."""
-    rows = [(d.sample_day, d.label_day, "TRUE") for d in days]
+    rows = [(d.sample_day, d.label_day, True) for d in days]
     if labelled:
-        rows += [(d.label_day, d.label_day, "FALSE") for d in days]
-    return _small_table(spark, ["day", "label_day", "is_sample"], rows)
+        rows += [(d.label_day, d.label_day, False) for d in days]
+    return literal_table(spark, ["day", "label_day", "is_sample"], rows)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
+from dayrank.functions import literal_table
 
 
 def _hottest(counted: DataFrame, keys: Sequence[str], cfg: FeatureConfig) -> DataFrame:
@@ -44,9 +45,14 @@ def measured_hot_keys(
     for keys in key_sets:
         # grouping_id has a bit set for every column that is not part of the key set.
         bits = "".join("0" if c in keys else "1" for c in columns)
-        rows = [(*(r[k] for k in keys), r["copies"]) for r in found if r["key_set"] == int(bits, 2)]
-        schema = ", ".join(f"{k} bigint" for k in keys) + ", copies int"
-        hot[keys] = large.sparkSession.createDataFrame(rows, schema) if rows else None
+        # A null key joins nothing, so there is nothing to spread.
+        rows = [
+            (*(f"{r[k]}L" for k in keys), r["copies"])
+            for r in found
+            if r["key_set"] == int(bits, 2) and all(r[k] is not None for k in keys)
+        ]
+        spark = large.sparkSession
+        hot[keys] = literal_table(spark, [*keys, "copies"], rows) if rows else None
     return hot
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dayrank.functions import add_purchase_flag
 from dayrank.operators import blocks
+from dayrank.operators.evaluate import best_per_pair
 from dayrank.operators.label_calendar import SCORE, TRAIN, label_days, membership, spine
 from dayrank.operators.model import vectors
 from dayrank.operators.prepare import long_window, one_day_slice, purchases
@@ -169,7 +170,7 @@ def _gbt_rank(spark: SparkSession, folder: str) -> DataFrame:
 def _evaluate(spark: SparkSession, folder: str) -> DataFrame:
     rollup = _shared_rollup(spark, folder)
     predicted = with_activity_score(score_features(rollup, EVALUATION_CFG))
-    return evaluate_frame(predicted, rollup, EVALUATION_CFG)
+    return evaluate_frame(best_per_pair(predicted), rollup, EVALUATION_CFG)
 
 
 def _io_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +254,7 @@ def catalog() -> dict[str, Query]:
         "train_features": _train_features,
         "score_features": _score_features,
         "train_vectors": _train_vectors,
-        "downsample": lambda s, d: downsample(_samples(True)(s, d), CFG),
+        "downsample": lambda s, d: downsample(materialize(_samples(True)(s, d), "samples"), CFG),
         "topk_700": _top(700),
         "topk_900": _top(900),
         "submission": _submission,

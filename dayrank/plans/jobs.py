@@ -17,23 +17,33 @@ from dayrank.sources import behaviour as io
 
 
 def prepare_job(
-    spark: SparkSession, log_path: str, items_path: str, out: str, cfg: FeatureConfig
+    spark: SparkSession,
+    log_path: str,
+    items_path: str,
+    out: str,
+    cfg: FeatureConfig,
+    fmt: str = io.PARQUET,
 ) -> None:
     """Raw CSV log and item list to the prepared log."""
     tune(spark)
     log = io.read_raw_log(spark, log_path)
-    io.write_prepared(prepare_log(log, io.read_items(spark, items_path), cfg), out)
+    io.write_prepared(prepare_log(log, io.read_items(spark, items_path), cfg), out, fmt)
 
 
 def features_job(
-    spark: SparkSession, prepared: str, train_out: str, score_out: str, cfg: FeatureConfig
+    spark: SparkSession,
+    prepared: str,
+    train_out: str,
+    score_out: str,
+    cfg: FeatureConfig,
+    fmt: str = io.PARQUET,
 ) -> None:
     """Prepared log to the training and score feature tables."""
     tune(spark)
-    log = io.read_prepared(spark, prepared, cfg=cfg)
+    log = io.read_prepared(spark, prepared, fmt, cfg)
     rollup = materialize(base_rollup(log), "rollup")
-    io.write_features(train_features(rollup, cfg), train_out)
-    io.write_features(score_features(rollup, cfg), score_out)
+    io.write_features(train_features(rollup, cfg), train_out, fmt)
+    io.write_features(score_features(rollup, cfg), score_out, fmt)
 
 
 def rank_frame(chosen: DataFrame, scoring: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -44,16 +54,34 @@ def rank_frame(chosen: DataFrame, scoring: DataFrame, cfg: FeatureConfig) -> Dat
 
 
 def rank_job(
-    spark: SparkSession, train_path: str, score_path: str, out: str, cfg: FeatureConfig
+    spark: SparkSession,
+    train_path: str,
+    score_path: str,
+    out: str,
+    cfg: FeatureConfig,
+    fmt: str = io.PARQUET,
 ) -> None:
     """Feature tables to the submission file."""
     tune(spark)
-    training = io.read_features(spark, train_path, with_label=True, cfg=cfg)
-    scoring = io.read_features(spark, score_path, with_label=False, cfg=cfg)
+    training = io.read_features(spark, train_path, True, fmt, cfg)
+    scoring = io.read_features(spark, score_path, False, fmt, cfg)
     io.write_submission(rank_frame(downsample(training, cfg), scoring, cfg), out)
 
 
 def evaluate_frame(predicted: DataFrame, log: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """Metrics of scored pairs against all purchases of the day after the scored one."""
-    actual = metrics.actual_pairs(log, cfg.last_label_day)
-    return metrics.evaluate(metrics.best_per_pair(predicted), actual)
+    """Metrics of predicted pairs against all purchases of the day after the scored one."""
+    return metrics.evaluate(predicted, metrics.actual_pairs(log, cfg.last_label_day))
+
+
+def evaluate_job(
+    spark: SparkSession,
+    prepared: str,
+    submission: str,
+    out: str,
+    cfg: FeatureConfig,
+    fmt: str = io.PARQUET,
+) -> None:
+    """Submission file and prepared log to one JSON row of metrics."""
+    tune(spark)
+    predicted = io.read_submission(spark, submission)
+    evaluate_frame(predicted, io.read_prepared(spark, prepared, fmt), cfg).write.json(out)

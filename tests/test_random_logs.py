@@ -43,9 +43,9 @@ def random_rows(seed: int, n: int):
     return rows
 
 
-@pytest.fixture(scope="module", params=[1, 2])
-def rows(request):
-    return random_rows(request.param, 500)
+@pytest.fixture(scope="module")
+def rows():
+    return random_rows(1, 500)
 
 
 @pytest.fixture(scope="module")

@@ -65,11 +65,22 @@ def test_features_as_csv(spark, paths, tmp_path):
     assert sorted(again.collect()) == sorted(scored.collect())
 
 
-def test_command_line(spark, paths, tmp_path, monkeypatch):
+DAYS = ["--last-label-day", "2024-01-30", "--gap-day", "2024-01-23", "--gap-day", "2024-01-24"]
+
+
+def test_command_line_prepare(spark, paths, tmp_path):
     out = str(tmp_path / "prepared")
-    main(["--last-label-day", "2024-01-30", "--gap-day", "2024-01-23", "--gap-day", "2024-01-24",
-          "prepare", paths["log"], paths["items"], out])
-    assert io.read_prepared(spark, out).count() == 6080
+    main([*DAYS, "--format", "csv", "prepare", paths["log"], paths["items"], out])
+    assert io.read_prepared(spark, out, io.CSV).count() == 6080
+
+
+def test_command_line_evaluate(spark, paths, tmp_path):
+    """The submission of the last day, taken as a forecast for the day after an earlier one."""
+    out = str(tmp_path / "metrics")
+    main(["--last-label-day", "2024-01-21", "evaluate", paths["prepared"], paths["result"], out])
+    (row,) = spark.read.json(out).collect()
+    assert row["predicted"] == 211 and row["actual"] > 0
+    assert row["precision"] == row["tp"] / 211
 
 
 def test_shared_folder_is_the_clusters(spark):
