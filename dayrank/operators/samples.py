@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
 from dayrank.operators.label_calendar import LabelDay, role_table, within_days
-from dayrank.schema import PURCHASE, SAMPLE_KEY
+from dayrank.schema import PURCHASE, SAMPLE_KEY, WITH_IDS
 
 
 def samples(
@@ -28,6 +28,7 @@ def samples(
     bought = ~F.col("is_sample") & (F.col("behavior_type") == PURCHASE)
     found = (
         within_days(log, days)
+        .filter(WITH_IDS)
         .join(F.broadcast(table), "day")
         .filter(touched | bought)
         .groupBy(*SAMPLE_KEY)

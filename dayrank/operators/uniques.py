@@ -33,20 +33,24 @@ def unique_users(
     exist. So rows can first be counted per (item, behaviour, day, next day), a small histogram
     that combines on the map side, and only that is spread over the label days. A hot item's
     users never meet in one task.
+
+    A category column in ``pairs`` goes along as far as the histogram. Reading the same columns
+    as the sample frame lets both use one shuffle of the pairs, the largest of a feature table.
     """
     reach = max(d.long_back for d in days) + 1
     marked = pairs.withColumn("day_no", F.unix_date("day"))
-    marked = marked.select("item_id", "day", *(f"n{b}" for b in BEHAVIOURS),
+    item = [c for c in ("item_id", "item_category") if c in pairs.columns]
+    marked = marked.select(*item, "day", *(f"n{b}" for b in BEHAVIOURS),
                            *next_active_days(marked, reach))
     active = marked.select(
-        "item_id",
+        *item,
         "day",
         F.explode(F.array(*(
             F.when(F.col(f"n{b}") > 0, F.struct(F.lit(b).alias("b"), F.col(f"next{b}").alias("next")))
             for b in BEHAVIOURS
         ))).alias("act"),
     ).filter(F.col("act").isNotNull())
-    histogram = active.groupBy("item_id", "day", "act.b", "act.next").agg(
+    histogram = active.groupBy(*item, "day", "act.b", "act.next").agg(
         F.count(F.lit(1)).alias("users")
     )
     table = membership(pairs.sparkSession, days, cfg).select("day", "label_day", "long_to")

@@ -21,6 +21,7 @@ from dayrank.schema import (
     USER,
     USER_CATEGORY,
     USER_ITEM,
+    WITH_IDS,
     feature_columns,
 )
 from dayrank.session import materialize
@@ -60,7 +61,9 @@ def _features(
     ``rollup`` is read by every block: hand in a materialized one.
     """
     days = label_days(cfg, as_of)
-    rollup = within_days(rollup, days)
+    # Said here, and not left to the join that implies it for one of them, this keeps the two
+    # readers of the pairs alike, so that they share one shuffle.
+    rollup = within_days(rollup, days).filter(WITH_IDS)
     labelled = as_of == TRAIN
 
     on_sample_days = rollup.filter(F.col("day").isin(*(d.sample_day for d in days)))
@@ -78,9 +81,8 @@ def _features(
     if keep is not None:
         frame = frame.filter(keep)
 
-    pair_counts = daily_counts(rollup, USER_ITEM.keys)
     item = sample_day_block(daily_counts(rollup, ITEM.keys), ITEM, days, cfg).join(
-        unique_users(pair_counts, ITEM, days, cfg), ["label_day", "item_id"], "left"
+        unique_users(pair_days, ITEM, days, cfg), ["label_day", "item_id"], "left"
     )
     category = sample_day_block(daily_counts(rollup, CATEGORY.keys), CATEGORY, days, cfg)
     user = sample_day_block(

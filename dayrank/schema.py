@@ -12,6 +12,8 @@ HOURS = tuple(range(24))
 #: Ratio name -> behaviour counted per purchase.
 RATIOS = {"click": 1, "skim": 2, "collect": 3}
 SAMPLE_KEY = ("label_day", "user_id", "item_id")
+#: Rows without ids are no touches of a pair.
+WITH_IDS = "user_id IS NOT NULL AND item_id IS NOT NULL"
 
 RAW_LOG = T.StructType([
     T.StructField("user_id", T.LongType()),

@@ -61,6 +61,16 @@ def test_feature_table_shuffles(rollup):
     assert scans and all(f"GreaterThanOrEqual(day,{first})" in s for s in scans)
 
 
+def test_pairs_are_shuffled_once(rollup):
+    found = train_features(rollup, CFG)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    by_pair = r"Exchange hashpartitioning\(user_id#\w+, item_id#\w+, \d+\), REPARTITION_BY_COL"
+    reused = [line for line in plan.splitlines() if "ReusedExchange [user_id" in line]
+    assert len(reused) == 1 and re.search(by_pair, reused[0])
+    assert len(re.findall(by_pair, plan)) == 2
+
+
 def test_score_reads_its_window_only(rollup):
     (day,) = label_days(CFG, SCORE)
     plan = plan_of(score_features(rollup, CFG))
