@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from dayrank.config import FeatureConfig
 from dayrank.schema import SAMPLE_KEY
 
-#: Hex digits of the hash that number the buckets: 16**4 = 65,536 of them.
-BUCKET_DIGITS = 4
+#: Hex digits of the hash that each counting step looks at: 16**4 = 65,536 buckets.
+STEP = 4
 
 
 def downsample(frame: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """All positives and exactly min(negatives, ratio x positives) negatives.
 
     Negatives are taken in the order of a seeded hash of their key, so the choice does not
-    depend on partitioning or row order. ``frame`` is unique on its key; its key and label are
-    read twice for the cut, so it should come from storage.
+    depend on partitioning or row order. ``frame`` is unique on its key and comes from storage:
+    finding the cut reads its key and label several times.
     """
     return frame.filter(chosen(frame.select(*SAMPLE_KEY, "label"), cfg))
 
@@ -25,37 +25,37 @@ def downsample(frame: DataFrame, cfg: FeatureConfig) -> DataFrame:
 def chosen(labels: DataFrame, cfg: FeatureConfig) -> Column:
     """The predicate that keeps all positives and the negatives up to the cut.
 
-    ``labels`` holds key and label of every sample. The cut is found without sorting the
-    negatives: they are counted per hash bucket (at most 65,536 rows), the running count names
-    the bucket in which the last one falls, and only that bucket, 1/65,536 of the negatives,
-    is ordered. The frame itself then passes one filter.
+    ``labels`` holds key and label of every sample. The cut, the hash of the last negative taken,
+    is found now and without sorting the negatives: they are counted per hash prefix, the running
+    count names the prefix in which the last one falls, and the same is done once more inside it.
+    Each count gives at most 65,536 rows, and what is finally ordered is one in 16**8 of the
+    negatives. Only single rows reach the driver.
     """
     key = [F.col(k).cast("string") for k in SAMPLE_KEY]
     digest = F.md5(F.concat_ws("|", *key, F.lit(cfg.seed)))
-    bucket = F.substring(digest, 1, BUCKET_DIGITS)
-    negatives = labels.filter("label = 0").select(digest.alias("digest"), bucket.alias("bucket"))
-
-    target = labels.agg(
-        (F.count_if(F.col("label") == 1) * cfg.negatives_per_positive).alias("target")
-    ).scalar()
-    in_order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counted = negatives.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    running = counted.select("bucket", "n", F.sum("n").over(in_order).alias("upto"))
-    cut = (
-        running.filter(F.col("upto") >= target)
-        .agg(F.min(F.struct("bucket", (target - F.col("upto") + F.col("n")).alias("need"))))
-        .scalar()
-    )
-
-    in_bucket = negatives.filter(F.col("bucket") == cut["bucket"])
-    nth = F.row_number().over(Window.orderBy("digest"))
-    last = (
-        in_bucket.select("digest", nth.alias("nth"))
-        .filter(F.col("nth") <= cut["need"])
-        .agg(F.coalesce(F.max("digest"), F.lit("")))
-        .scalar()
-    )
-    # Without a cut bucket there are fewer negatives than wanted and all are kept. All digests
-    # of earlier buckets are smaller than the last one taken.
-    upto = F.when(cut.isNull(), F.lit("g")).when(last == "", cut["bucket"]).otherwise(last)
-    return (F.col("label") == 1) | (digest <= upto)
+    positive = F.col("label") == 1
+    totals = labels.agg(
+        F.count_if(positive).alias("positives"), F.count_if(~positive).alias("negatives")
+    ).first()
+    need = totals["positives"] * cfg.negatives_per_positive
+    if need >= totals["negatives"]:
+        return F.lit(True)
+    if need == 0:
+        return positive
+
+    inside = labels.filter(~positive).select(digest.alias("digest"))
+    for digits in (STEP, 2 * STEP):
+        counted = inside.groupBy(F.substring("digest", 1, digits).alias("prefix")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        upto = F.sum("n").over(Window.orderBy("prefix"))
+        cut = (
+            counted.select("prefix", "n", upto.alias("upto"))
+            .filter(F.col("upto") >= need)
+            .orderBy("prefix")
+            .first()
+        )
+        need -= cut["upto"] - cut["n"]
+        inside = inside.filter(F.col("digest").startswith(cut["prefix"]))
+    last = inside.orderBy("digest").limit(need).agg(F.max("digest").alias("last")).first()
+    return positive | (digest <= last["last"])
