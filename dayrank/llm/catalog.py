@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrank.llm import bpe, decontaminate
+from dayrank.llm import bpe, decontaminate, secret_scan, toxicity, warc
 from dayrank.llm.common import read, sha256_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document, learned from labels outside the held-out fold."""
+    docs = read(spark, folder, "documents")
+    model = toxicity.fit(docs, read(spark, folder, "labels"))
+    held_out = F.coalesce(toxicity.fold() == toxicity.HELD_OUT, F.lit(False))
+    return model.score(docs).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as counts and digests."""
     vocabulary = bpe.shared_vocabulary(spark, public_tokenizers.path(VOCABULARY))
@@ -43,9 +56,53 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document. A source stands in for an owner, its part in one language for a
+    repository. Spans judged live are listed a second time under that name."""
+    docs = read(spark, folder, "documents").select(
+        "doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("repository")
+    )
+    found = secret_scan.scan(docs, repository_col="repository")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    live = F.transform(
+        F.filter("spans", lambda s: s["verdict"] == "live"),
+        lambda s: F.struct(s["start"], F.lit(9).alias("kind_order"), s["end"], F.lit("live").alias("kind")),
+    )
+    plain = F.transform(
+        "spans", lambda s: F.struct(s["start"], s["kind_order"], s["end"], s["kind"])
+    )
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS),
+        sha256_text(secret_scan.listed(F.col("spans"), lambda s: s["kind"])).alias("base_sha256"),
+        secret_scan.listed(F.array_sort(F.concat(plain, live)), lambda s: s["kind"]).alias("spans"),
+    )
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC records, from the merged index of the archives read back. The table has
+    no times, so a page's id stands in, in seconds."""
+    pages = read(spark, folder, "pages").select(
+        "page_id",
+        "url",
+        "html",
+        F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00+00:00").cast("timestamp")) + F.col("page_id")).alias("time"),
+    )
+    return warc.archive_and_index(pages, time_col="time").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        "url_key", "captured_at", "archive", "offset", "length",
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {}
