@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrank.llm import bpe, decontaminate, secret_scan, toxicity, warc
+from dayrank.llm import bpe, decontaminate, licenses, pii, secret_scan, toxicity, warc
 from dayrank.llm.common import read, sha256_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A run of its own would take a secret here.
+PII_KEY = "dayrank"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -29,6 +31,25 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with personal data replaced, and the kinds replaced."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, kinds_col="kinds").select(
+        "doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds")
+    )
+
+
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence templates found in every document."""
+    best = F.array_max(F.transform("licenses", lambda s: s["dice"]))
+    return licenses.scan(read(spark, folder, "documents")).select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda s: s["template"]), ",").alias("licenses"),
+        F.coalesce(best, F.lit(0.0)).alias("best_dice"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as counts and digests."""
     vocabulary = bpe.shared_vocabulary(spark, public_tokenizers.path(VOCABULARY))
@@ -85,20 +106,22 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as WARC records, from the merged index of the archives read back. The table has
     no times, so a page's id stands in, in seconds."""
+    start = F.lit("2024-01-01 00:00:00+00:00").cast("timestamp")
     pages = read(spark, folder, "pages").select(
         "page_id",
         "url",
         "html",
-        F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00+00:00").cast("timestamp")) + F.col("page_id")).alias("time"),
+        F.timestamp_seconds(F.unix_seconds(start) + F.col("page_id")).alias("time"),
     )
     return warc.archive_and_index(pages, time_col="time").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-        "url_key", "captured_at", "archive", "offset", "length",
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op3_pseudonyms": op3_pseudonyms,
+    "op4_licenses": op4_licenses,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
