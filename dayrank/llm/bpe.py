@@ -29,7 +29,7 @@ from dayrank.llm.common import column, importable, map_arrow, slices
 #: A vocabulary file beyond this is refused: every worker holds it.
 VOCABULARY_BYTES = 64 << 20
 #: Encoded pre-tokens a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Pre-tokens up to so many bytes have their trees advanced together, so many leaves at once;
 #: a longer one has a tree of its own.
 TOGETHER = 64
@@ -40,6 +40,30 @@ _PLACE = (1 << _PLACE_BITS) - 1
 _NONE = np.int64(1 << 62)
 #: Vocabularies this worker has parsed, by their bytes' hash.
 _PARSED: dict[int, Vocabulary] = {}
+_TOKENS: dict[int, Tokens] = {}
+
+
+class Tokens:
+    """The bytes of all tokens in the order of ids, and where each begins."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values(), default=-1) + 1
+        parts = [b""] * self.size
+        for token, rank in ranks.items():
+            parts[rank] = token
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= self.size:
+            raise ValueError("a token id is not in the vocabulary")
+        begin = self.starts[ids]
+        length = self.starts[ids + 1] - begin
+        end = np.cumsum(length)
+        at = np.arange(end[-1]) + np.repeat(begin - (end - length), length)
+        return self.bytes[at].tobytes()
 
 
 class Vocabulary(dict):
@@ -49,9 +73,6 @@ class Vocabulary(dict):
         super().__init__()
         self.split = regex.compile(pattern).findall
         size = max(ranks.values(), default=-1) + 1
-        parts = [b""] * size
-        for token, rank in ranks.items():
-            parts[rank] = token
         self.ranks = ranks
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         if (self.byte_ids < 0).any():
@@ -66,9 +87,6 @@ class Vocabulary(dict):
         self.size = size
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
-        #: All tokens' bytes in the order of ids, and where each begins.
-        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
@@ -161,17 +179,6 @@ class Vocabulary(dict):
         flat = token[live].tolist()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
-            return b""
-        if ids.min() < 0 or ids.max() >= self.size:
-            raise ValueError("a token id is not in the vocabulary")
-        begin = self.starts[ids]
-        length = self.starts[ids + 1] - begin
-        end = np.cumsum(length)
-        at = np.arange(end[-1]) + np.repeat(begin - (end - length), length)
-        return self.bytes[at].tobytes()
-
 
 def _node(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
     """A tree's entry: orders by rank, then by position."""
@@ -227,15 +234,29 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _read(raw: bytes) -> dict[bytes, int]:
+    lines = (line.split() for line in raw.splitlines() if line.strip())
+    return {base64.b64decode(a): int(b) for a, b in lines}
+
+
 def parsed(raw: bytes, pattern: str) -> Vocabulary:
+    """The vocabulary for encoding; a worker keeps the last."""
     key = hash((raw, pattern))
     if key not in _PARSED:
         _PARSED.clear()
-        lines = (line.split() for line in raw.splitlines() if line.strip())
-        _PARSED[key] = Vocabulary({base64.b64decode(a): int(b) for a, b in lines}, pattern)
+        _PARSED[key] = Vocabulary(_read(raw), pattern)
     return _PARSED[key]
 
 
+def tokens(raw: bytes) -> Tokens:
+    """The vocabulary for decoding, which is much smaller; a worker keeps the last."""
+    key = hash(raw)
+    if key not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[key] = Tokens(_read(raw))
+    return _TOKENS[key]
+
+
 def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The file of ranks, sent to the workers; its size is bounded by VOCABULARY_BYTES."""
     with open(path, "rb") as file:
@@ -262,20 +283,20 @@ def encode(
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
 
 
-def decode(frame: DataFrame, vocabulary: Broadcast, pattern: str) -> DataFrame:
+def decode(frame: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """The frame with ``decoded``, the bytes its ``ids`` stand for; a column of that name goes."""
     frame = frame.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = parsed(vocabulary.value, pattern)
+        known = tokens(vocabulary.value)
         for batch in slices(batches, "ids"):
             lists = column(batch, "ids")
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum([len(x) if x.is_valid else 0 for x in lists]) if len(lists) else []
             texts, at = [], 0
             for end in ends:
-                texts.append(words.decode(flat[at:end]))
+                texts.append(known.decode(flat[at:end]))
                 at = end
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"]

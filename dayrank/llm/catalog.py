@@ -55,7 +55,7 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = bpe.shared_vocabulary(spark, public_tokenizers.path(VOCABULARY))
     pattern = public_tokenizers.PATTERN
     encoded = bpe.encode(read(spark, folder, "documents"), vocabulary, pattern)
-    return bpe.decode(encoded, vocabulary, pattern).select(
+    return bpe.decode(encoded, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256_text(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),

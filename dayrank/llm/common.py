@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python function at once; long texts make batches smaller, see ``slices``.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
