@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrank.llm import bpe, decontaminate, licenses, pii, secret_scan, toxicity, warc
+from dayrank.llm import bpe, decontaminate, licenses, neardup, pii, secret_scan, toxicity, warc
 from dayrank.llm.common import read, sha256_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,12 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are similar by 0.85 or more."""
+    docs = read(spark, folder, "documents")
+    return neardup.near_duplicates(docs, width=3, similarity=(85, 100))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as WARC records, from the merged index of the archives read back. The table has
     no times, so a page's id stands in, in seconds."""
@@ -125,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_warc": op10_warc,
 }
 
