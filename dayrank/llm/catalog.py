@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrank.llm import bpe, decontaminate, licenses, neardup, pii, secret_scan, toxicity, warc
+from dayrank.llm import bpe, decontaminate, forest, licenses, neardup, pii, secret_scan, toxicity, warc
 from dayrank.llm.common import read, sha256_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,11 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(docs, width=3, similarity=(85, 100))
 
 
+def op9_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of embeddings of one label with a cosine of 0.98 or more."""
+    return forest.near_duplicates(read(spark, folder, "embeddings"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as WARC records, from the merged index of the archives read back. The table has
     no times, so a page's id stands in, in seconds."""
@@ -132,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op10_warc": op10_warc,
 }
 
