@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrank.llm import bpe, decontaminate, forest, licenses, neardup, pii, secret_scan, toxicity, warc
+from dayrank.llm import bpe, decontaminate, forest, licenses, neardup, pii, secret_scan, tool_calls, toxicity, warc
 from dayrank.llm.common import read, sha256_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,51 @@ PII_KEY = "dayrank"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: The tool that the turns of ``conversations`` are taken to call.
+REPLY = {
+    "reply": {
+        "type": "object",
+        "required": ["prompt", "max_words", "style"],
+        "additionalProperties": False,
+        "properties": {
+            "prompt": {"type": "string", "minLength": 20},
+            "max_words": {"type": "integer", "minimum": 1, "maximum": 390},
+            "style": {"enum": ["short", "long"]},
+        },
+    }
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The table has no tool calls, so each user turn stands for one: a call for a reply to its
+    text, needing the call two turns before. Each assistant turn is the result of the call one turn
+    before. Other turns stay as they are."""
+    turn, text = F.col("turn"), F.col("text")
+    words = F.size(F.split(text, " ")).cast("long")
+    call = F.struct(
+        F.concat(F.lit("c"), turn.cast("string")).alias("id"),
+        F.lit("reply").alias("name"),
+        F.struct(
+            text.alias("prompt"),
+            (words * 7 % 400).alias("max_words"),
+            F.when(words % 3 == 0, "short").otherwise("long").alias("style"),
+        ).alias("arguments"),
+        F.when(turn >= 2, F.concat(F.lit("c"), (turn - 2).cast("string"))).alias("after"),
+    )
+    result = F.struct(F.concat(F.lit("c"), (turn - 1).cast("string")).alias("tool_call_id"), text.alias("content"))
+    made = (
+        F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls"))))
+        .when(F.col("role") == "assistant", F.to_json(result))
+        .otherwise(text)
+    )
+    return conversations.select("conv_id", "turn", made.alias("text"))
+
+
+def op1_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """All calls of all conversations, linked, ordered, validated, as canonical JSON."""
+    return tool_calls.link(tool_messages(read(spark, folder, "conversations")), REPLY)
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A toxicity score of every document, learned from labels outside the held-out fold."""
     docs = read(spark, folder, "documents")
@@ -130,6 +175,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_toxicity": op2_toxicity,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_licenses": op4_licenses,

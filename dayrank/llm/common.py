@@ -68,5 +68,10 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def lookup(df: DataFrame, rows: int) -> DataFrame:
+    """The frame, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
 def sha256_text(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayrank.llm.common import LOWER, column, map_arrow, slices, small_enough, utf8
+from dayrank.llm.common import LOWER, column, lookup, map_arrow, slices, utf8
 from dayrank.llm.components import components
 from dayrank.session import materialize
 
@@ -349,8 +349,7 @@ def links(
     left = materialize(map_arrow(ordered, screen, "cell string, rep bigint, set_id binary"), "members")
 
     wanted = left.select(F.col("rep").alias(id_col)).distinct()
-    if small_enough(wanted, BROADCAST_IDS):
-        wanted = F.broadcast(wanted)
+    wanted = lookup(wanted, BROADCAST_IDS)
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(wanted, id_col, "left_semi")
     sets = materialize(full_sets(texts, id_col, text_col, width), "sets").dropDuplicates(["set_id"])
 

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayrank.llm.common import LOWER, column, map_arrow, slices, small_enough, utf8
+from dayrank.llm.common import LOWER, column, lookup, map_arrow, slices, utf8
 from dayrank.session import materialize
 
 FOLDS = 5
@@ -256,7 +256,7 @@ class Model:
                 )
 
         schema = f"{kinds}, mean double, peak double, n_bytes bigint"
-        return map_arrow(docs.select(id_col, text_col, *also), run, schema)
+        return map_arrow(docs.select(*dict.fromkeys([id_col, text_col, *also])), run, schema)
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *also: str) -> DataFrame:
         """(id, score 0 to 1, mean, peak), and further columns. ``also`` may not clash with these."""
@@ -306,8 +306,7 @@ def fit(
         .agg(F.max(label_col).alias("toxic"))
         .filter(fold(id_col) != HELD_OUT)
     )
-    if small_enough(labels, BROADCAST_LABELS):
-        known = F.broadcast(known)
+    known = lookup(known, BROADCAST_LABELS)
     labelled = docs.select(id_col, text_col).join(known, id_col)
     grams = materialize(count_grams(labelled.filter(fold(id_col) != FIT_FOLD), text_col), "grams")
     totals = grams.agg(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from dayrank.llm.common import column, importable, sha256_text, small_enough
+from dayrank.llm.common import column, importable, lookup, sha256_text
 from dayrank.session import fresh_path, materialize
 
 REVISIT_BYTES = 100
@@ -92,9 +92,7 @@ def records(
         .filter("n > 1 AND first_id IS NOT NULL")
         .drop("n")
     )
-    first = materialize(first, "payloads")
-    if small_enough(first, BROADCAST_PAYLOADS):
-        first = F.broadcast(first)
+    first = lookup(materialize(first, "payloads"), BROADCAST_PAYLOADS)
     is_revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(first, "shared_digest", "left").select(
         "page_id",
