@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from dayrank.llm import bpe, decontaminate, forest, licenses, neardup, pii, secret_scan, tool_calls, toxicity, warc
 from dayrank.llm.common import read, sha256_text
+from dayrank.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -186,5 +189,3 @@ QUERIES: dict[str, Query] = {
     "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op10_warc": op10_warc,
 }
-
-SQL: dict[str, str] = {}

@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import ipaddress
+import re
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from dayrank.llm import pii
+from tests.conftest import SF
+from tests.llm.helpers import documents
+
+
+def luhn(digits: str) -> bool:
+    parts = [int(c) * (1 + at % 2) for at, c in enumerate(reversed(digits))]
+    return sum(p - 9 if p > 9 else p for p in parts) % 10 == 0
+
+
+def iban(value: str) -> bool:
+    moved = value[4:] + value[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def replaced(spark, texts, key="k"):
+    docs = documents(spark, list(enumerate(texts)))
+    rows = pii.pseudonymise(docs, key, kinds_col="kinds").orderBy("doc_id").collect()
+    return [(r.text, r.kinds) for r in rows]
+
+
+def test_values_stay_valid_and_keep_their_format(spark):
+    texts = [
+        "card 4041894974608795.", "4041 8949 7460 8795", "4041-8949-7460-8795", "378282246310005",
+        "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "ip 42.144.35.254,", "ssn 123-45-6789",
+        "on 1980-02-29", "on 31/12/1999", "on 12/31/1999", "on 01.02.2003", "+1 (988) 555-2485", "212-555-0000",
+        "+49 30 1234567", "hein.19@mail5.example.com ining",
+    ]
+    out = replaced(spark, texts)
+    for (new, kinds), old in zip(out, texts, strict=True):
+        assert len(kinds) == 1 and new != old
+        if kinds[0] not in ("email", "ip"):
+            assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old)
+    values = [t for t, _ in out]
+    assert luhn(values[0][5:-1]) and luhn(values[3])
+    assert values[1].replace(" ", "") == values[2].replace("-", "") == values[0][5:-1]
+    assert iban(values[4]) and values[5].replace(" ", "") == values[4]
+    ipaddress.ip_address(values[6][3:-1])
+    assert re.fullmatch(r"ssn (?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", values[7])
+    iso = [date.fromisoformat(values[8][3:])]
+    for v, order in ((values[9], (2, 1, 0)), (values[10], (2, 0, 1)), (values[11], (2, 1, 0))):
+        parts = [int(p) for p in re.split("[/.]", v[3:])]
+        iso.append(date(*(parts[k] for k in order)))
+    assert iso[1] == iso[2]  # the same day in two formats
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", values[12])
+    assert values[14].startswith("+49 ")
+    assert re.fullmatch(r"u[0-9a-f]{14}@m[0-9a-f]{6}\.example ining", values[15])
+
+
+def test_what_is_not_valid_stays(spark):
+    texts = [
+        "4041894974608794", "a4041894974608795", "999.1.1.1", "1.2.3.4.5", "DE88370400440532013000", "666-12-1234",
+        "000-12-1234", "2021-02-30", "31/31/1999", "1850-01-01", "words 12 345 only", "1eb9c654e721b4f812088970e66a6345cee33dd6",
+        "", None, " ", "@ a@b",
+    ]
+    assert [t for t, _ in replaced(spark, texts)] == texts
+    assert all(k == [] for _, k in replaced(spark, texts))
+
+
+def test_equal_values_are_linked_by_key(spark):
+    texts = ["x 4041894974608795 y 42.144.35.254", "42.144.35.254", "z" * 200_000 + " 4041894974608795", "4041894974608795 4041894974608795"]
+    first, again, other = replaced(spark, texts), replaced(spark, texts), replaced(spark, texts, "other")
+    assert first == again and first != other
+    card, ip = re.findall(r"x (\d+) y ([\d.]+)", first[0][0])[0]
+    assert first[1][0] == ip and first[2][0].endswith(f" {card}") and first[3][0] == f"{card} {card}"
+
+
+def test_feistel_is_a_permutation(spark):
+    for a, b in ((17, 43), (1, 10), (10, 1), (5, 5)):
+        n = spark.range(a * b).select(
+            pii.feistel(F.floor(F.col("id") / b), F.col("id") % b, F.lit(a), F.lit(b), "k", "t").alias("m")
+        )
+        rows = n.select("m.*").distinct().collect()
+        assert len(rows) == a * b and all(0 <= r.l < a and 0 <= r.r < b for r in rows)
+    digits = spark.range(1000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("d"))
+    assert digits.distinct().count() == 1000 and digits.filter("length(d) = 3").count() == 1000
+
+
+def test_documents_keep_all_else(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect()}
+    marks = "|".join(f"(?:{p})" for p in pii.PATTERNS.values())
+    for r in docs.collect():
+        old, new = re.split(marks, r.text or ""), re.split(marks, out[r.doc_id] or "")
+        assert old == new
+    assert pii.pseudonymise(documents(spark, []), "k").count() == 0
+    odd = pii.pseudonymise(documents(spark, [(None, "42.144.35.254"), (1, None), (1, None)]), "k")
+    assert odd.count() == 3 and odd.columns == documents(spark, []).columns
