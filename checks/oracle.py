@@ -163,11 +163,13 @@ samples AS (
          CAST(EXISTS (SELECT 1 FROM log b WHERE b.behavior_type = 4 AND b.day = s.label_day
                       AND b.user_id = g.user_id AND b.item_id = g.item_id) AS INTEGER) AS label
   FROM log g JOIN spine s ON g.day = s.sample_day
+  WHERE g.user_id IS NOT NULL AND g.item_id IS NOT NULL
   GROUP BY s.label_day, g.user_id, g.item_id)"""
 SCORE_SAMPLES = """
 samples AS (
   SELECT s.label_day, g.user_id, g.item_id, min(g.item_category) AS item_category
   FROM log g JOIN spine s ON g.day = s.sample_day
+  WHERE g.user_id IS NOT NULL AND g.item_id IS NOT NULL
   GROUP BY s.label_day, g.user_id, g.item_id)"""
 
 SAMPLE_WITH_BLOCKS = """
@@ -187,12 +189,17 @@ def _train_features(select: str) -> str:
     return _train(select + SAMPLE_WITH_BLOCKS, TRAIN_SAMPLES, *_blocks())
 
 
-def _score_features(select: str) -> str:
+def _score_features(select: str, day: str = "2024-01-30") -> str:
     return _query(
-        select + SAMPLE_WITH_BLOCKS, _score_spine(), WINDOWED, SCORE_SAMPLES, *_blocks()
+        select + SAMPLE_WITH_BLOCKS, _score_spine(day), WINDOWED, SCORE_SAMPLES, *_blocks()
     )
 
 
+def _weighted() -> str:
+    """All features in one number that tells their order: each times its place."""
+    return " + ".join(f"{at} * {c}::DOUBLE" for at, c in enumerate(feature_names(), 1))
+
+
 def feature_names() -> list[str]:
     """Feature columns in their order, written out from the block list."""
     def four(stem: str) -> list[str]:
@@ -291,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "samples_subset": _train(
             "SELECT * FROM samples",
             TRAIN_SAMPLES.replace(
-                "GROUP BY s.", "WHERE g.behavior_type IN (3, 2) GROUP BY s."
+                "GROUP BY s.", "AND g.behavior_type IN (3, 2) GROUP BY s."
             ),
         ),
         "score_samples": _query("SELECT * FROM samples", _score_spine(), SCORE_SAMPLES),
@@ -363,7 +370,8 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT label_day, user_id, item_id, label, {len(feature_names())}::INTEGER AS n_features, "
             "CAST(" + " + ".join(f"CAST({c} <> 0 AS INTEGER)" for c in feature_names())
             + " AS INTEGER) AS n_nonzero, round("
-            + " + ".join(f"{c}::DOUBLE" for c in feature_names()) + ", 6) AS total"
+            + " + ".join(f"{c}::DOUBLE" for c in feature_names())
+            + f", 6) AS total, round({_weighted()}, 5) AS weighted"
         ),
         "downsample": _train(
             """SELECT label_day, user_id, item_id, item_category, label
@@ -382,24 +390,63 @@ WHERE label = 1 OR nth <= 90 * (SELECT count(*) FROM samples WHERE label = 1)"""
             "\nbought AS (SELECT DISTINCT user_id, item_id FROM log"
             " WHERE day = DATE '2024-01-22' AND behavior_type = 4)",
         ),
+        "evaluate_top": _evaluate(
+            "SELECT * FROM scored ORDER BY prob DESC, user_id, item_id LIMIT 50"
+        ),
+        "evaluate_repeated": _evaluate(
+            "SELECT user_id, item_id, max(prob) AS prob FROM ("
+            "SELECT * FROM scored UNION ALL SELECT user_id, item_id, (user_id % 7 * 10)::DOUBLE FROM scored) "
+            "GROUP BY user_id, item_id ORDER BY prob DESC, user_id, item_id LIMIT 50"
+        ),
+        "gbt_checks": _gbt_checks(),
         "io_roundtrip": _io_roundtrip(),
     }
     return sql
 
 
+def _evaluate(best: str) -> str:
+    """Metrics of the best of the pairs scored on 21 January."""
+    scored = _score_features(SCORED, "2024-01-21")
+    return _query(
+        EVALUATE,
+        f"\nscored AS (SELECT user_id, item_id, prob FROM ({scored}))",
+        f"\nguessed AS ({best})",
+        "\nbought AS (SELECT DISTINCT user_id, item_id FROM log"
+        " WHERE day = DATE '2024-01-22' AND behavior_type = 4)",
+    )
+
+
+def _gbt_checks() -> str:
+    """What holds for a ranking whatever the model's numbers are."""
+    train = _train("SELECT label FROM samples", TRAIN_SAMPLES)
+    score = _query("SELECT * FROM samples", _score_spine(), SCORE_SAMPLES)
+    return f"""
+SELECT s.n AS n_scored, s.n AS n_pairs, 0::BIGINT AS n_other_days, 0::BIGINT AS n_not_probabilities,
+       least(s.n, 700) AS n_ranked, 0::BIGINT AS n_rising, t.positives AS n_positives,
+       t.positives + least(t.negatives, 90 * t.positives) AS n_training
+FROM (SELECT count(*) AS n FROM ({score})) s,
+     (SELECT count(*) FILTER (WHERE label = 1) AS positives,
+             count(*) FILTER (WHERE label = 0) AS negatives FROM ({train})) t"""
+
+
 def _io_roundtrip() -> str:
-    def totals(name: str, day: str, value: str, source: str) -> str:
+    def totals(name: str, day: str, source: str) -> str:
         return (
             f"SELECT '{name}' AS sink, {day} AS day, count(*) AS n_rows, "
             "CAST(sum(user_id) AS BIGINT) AS user_total, CAST(sum(item_id) AS BIGINT) AS item_total, "
-            f"CAST(sum({value}) AS BIGINT) AS value_total FROM {source} GROUP BY {day}"
+            f"round(sum(value), 2) AS value_total FROM ({source}) GROUP BY {day}"
         )
 
-    features = "SELECT label_day, user_id, item_id, u_long_b1"
-    log = _query("SELECT * FROM log")
+    # Every column of a table takes part, with its own factor.
+    weighted = f"SELECT label_day, user_id, item_id, item_category::DOUBLE + {_weighted()} AS value"
+    train = weighted.replace(" AS value", f" + {len(feature_names()) + 1} * label::DOUBLE AS value")
+    log = _query(
+        "SELECT day, user_id, item_id, (hour + 100 * behavior_type + 1000 * item_category)::DOUBLE AS value FROM log"
+    )
     return " UNION ALL ".join([
-        totals("prepared", "day", "hour", f"({log})"),
-        totals("prepared_csv", "day", "hour", f"({log})"),
-        totals("train", "label_day", "u_long_b1", f"({_train_features(features)})"),
-        totals("score", "label_day", "u_long_b1", f"({_score_features(features)})"),
+        totals("prepared", "day", log),
+        totals("prepared_csv", "day", log),
+        totals("train", "label_day", _train_features(train)),
+        totals("score", "label_day", _score_features(weighted)),
+        totals("train_csv", "label_day", _train_features(train)),
     ])

@@ -29,6 +29,15 @@ def main(argv: list[str] | None = None) -> None:
     )
     parser.add_argument("--rounds", type=int, default=defaults.boosting_rounds)
     parser.add_argument("--top-k", type=int, default=defaults.top_k)
+    parser.add_argument("--seed", type=int, default=defaults.seed)
+    parser.add_argument("--negatives", type=int, default=defaults.negatives_per_positive,
+                        help="negatives kept for each positive")
+    parser.add_argument("--label-days", type=int, default=defaults.n_label_days)
+    parser.add_argument("--slot", type=int, default=defaults.slot)
+    parser.add_argument("--sample-behaviour", type=int, action="append",
+                        help="only touches of this behaviour make a sample; may be repeated")
+    parser.add_argument("--with-prob", action="store_true",
+                        help="write the probability beside each ranked pair")
     parser.add_argument(
         "--format", choices=(PARQUET, CSV), default=PARQUET,
         help="of the prepared log and the feature tables",
@@ -44,10 +53,16 @@ def main(argv: list[str] | None = None) -> None:
         gap_days=defaults.gap_days if args.gap_day is None else tuple(args.gap_day),
         boosting_rounds=args.rounds,
         top_k=args.top_k,
+        seed=args.seed,
+        negatives_per_positive=args.negatives,
+        n_label_days=args.label_days,
+        slot=args.slot,
+        sample_behaviours=tuple(args.sample_behaviour) if args.sample_behaviour else None,
     )
     spark = SparkSession.builder.appName(f"dayrank-{args.command}").getOrCreate()
     job, paths = JOBS[args.command]
-    job(spark, *(getattr(args, path) for path in paths), cfg, args.format)
+    more = {"with_prob": args.with_prob} if args.command == "rank" else {}
+    job(spark, *(getattr(args, path) for path in paths), cfg, args.format, **more)
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from datetime import date
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """What to compute, and the two size limits that decide how joins are laid out.
+    """What to compute, and the sizes that decide how joins are laid out.
 
     ``last_label_day`` is the newest day with known purchases and the day that is scored.
     ``gap_days`` are removed from the log and never used as label or sample day.
@@ -27,11 +27,12 @@ class FeatureConfig:
     negatives_per_positive: int = 90
     top_k: int = 700
     seed: int = 10
-    boosting_rounds: int = 900
-    #: A join key with more rows than this is spread over several tasks.
+    #: What runs within reason, see README; each round costs a pass over the training set.
+    boosting_rounds: int = 10
+    #: A join key is hot, and spread over several tasks, when it has more rows than this and more
+    #: than its share: the rows by ``hot_share`` x shuffle partitions. So at most that many keys
+    #: are hot, and none that matters is left out: any other is a fraction of a mean task.
     hot_rows: int = 1_000_000
-    #: At most this many keys are spread, the hottest first. A key beyond them has fewer rows
-    #: than each of these, which is no skew.
-    hot_keys: int = 1024
-    #: A lookup table is broadcast only when its counted rows do not exceed this.
-    broadcast_rows: int = 500_000
+    hot_share: int = 4
+    #: A table is broadcast only when its counted rows times its columns do not exceed this.
+    broadcast_values: int = 5_000_000

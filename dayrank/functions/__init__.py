@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from dayrank.schema import BEHAVIOURS, HOURS, PURCHASE, RATIOS, profile_columns
 
 N_CELLS = len(HOURS) * len(BEHAVIOURS)
-#: Number of the hour-by-behaviour cell, 0 to 95, in the order of the profile columns.
-CELL = f"CAST(hour * {len(BEHAVIOURS)} + behavior_type - 1 AS INT)"
+#: Number of the hour-by-behaviour cell, 0 to 95, in the order of the profile columns; null for
+#: rows with an hour or a behaviour outside the domain or missing, which are in no cell.
+CELL = (
+    f"CASE WHEN hour BETWEEN {HOURS[0]} AND {HOURS[-1]}"
+    f" AND behavior_type BETWEEN {BEHAVIOURS[0]} AND {BEHAVIOURS[-1]}"
+    f" THEN CAST(hour * {len(BEHAVIOURS)} + behavior_type - {BEHAVIOURS[0]} AS INT) END"
+)
 
 
 def day_of(time: Column) -> Column:

@@ -79,13 +79,14 @@ def daily_profile(
     pair touched twice in a day carries two entries and not 96 columns.
     """
     on_sample_day = F.col("day").isin(*sorted(d.sample_day for d in days))
+    cell = F.expr(CELL)
     aggs = [
         *_counts(),
         F.min("hour").alias("hour_min"),
         F.max("hour").alias("hour_max"),
         F.max("behavior_type").alias("type_max"),
         F.collect_list(
-            F.when(on_sample_day, F.struct(F.expr(CELL).alias("cell"), "cnt"))
+            F.when(on_sample_day & cell.isNotNull(), F.struct(cell.alias("cell"), "cnt"))
         ).alias("cells"),
     ]
     if "item_category" in cells.columns and "item_category" not in entity.keys:

@@ -11,49 +11,44 @@ from dayrank.config import FeatureConfig
 from dayrank.functions import literal_table
 
 
-def _hottest(counted: DataFrame, keys: Sequence[str], cfg: FeatureConfig) -> DataFrame:
-    return (
-        counted.filter(F.col("rows") > cfg.hot_rows)
-        .orderBy(F.desc("rows"), *keys)
-        .limit(cfg.hot_keys)
-        .withColumn("copies", F.ceil(F.col("rows") / F.lit(cfg.hot_rows)).cast("int"))
-    )
-
-
-def hot_keys(large: DataFrame, keys: Sequence[str], cfg: FeatureConfig) -> DataFrame:
-    """The keys to spread and over how many tasks: the hottest ones above ``cfg.hot_rows``
-    rows, at most ``cfg.hot_keys`` of them."""
-    counted = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return _hottest(counted, keys, cfg).select(*keys, "copies")
-
-
-def measured_hot_keys(
+def measured_keys(
     large: DataFrame, key_sets: Sequence[tuple[str, ...]], cfg: FeatureConfig
-) -> dict[tuple[str, ...], DataFrame | None]:
-    """Hot keys of several key sets, found now in one pass over ``large``.
+) -> dict[tuple[str, ...], tuple[int, DataFrame | None]]:
+    """Of several key sets the number of keys, and the hot keys with the tasks to spread each over.
 
-    The result per key set is a literal table, or None where no key is hot, so that a plan
-    without skew carries no trace of this. At most ``cfg.hot_keys`` rows reach the driver, the
-    hottest of all key sets together; a key left out holds a fraction of a percent of the rows.
+    Hot is relative to the data, see ``FeatureConfig.hot_rows``, so by arithmetic at most
+    ``hot_share`` x shuffle partitions keys of a key set reach the driver. They come as a literal
+    table, or as None where no key is hot, so that a plan without skew carries no trace of this.
     """
+    spark = large.sparkSession
     columns = sorted({c for keys in key_sets for c in keys})
     counted = large.groupingSets([list(keys) for keys in key_sets], *columns).agg(
         F.grouping_id().alias("key_set"), F.count(F.lit(1)).alias("rows")
     )
-    found = _hottest(counted, columns, cfg).collect()
-    hot: dict[tuple[str, ...], DataFrame | None] = {}
+    sizes = {
+        r["key_set"]: (r["keys"], r["total"])
+        for r in counted.groupBy("key_set")
+        .agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("total"))
+        .collect()
+    }
+    total = max((total for _, total in sizes.values()), default=0)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(cfg.hot_rows, total // (cfg.hot_share * partitions))
+    # Where not even all rows together could make a hot key there is nothing to look for.
+    found = counted.filter(F.col("rows") > limit).collect() if total > limit else []
+    out: dict[tuple[str, ...], tuple[int, DataFrame | None]] = {}
     for keys in key_sets:
         # grouping_id has a bit set for every column that is not part of the key set.
-        bits = "".join("0" if c in keys else "1" for c in columns)
+        key_set = int("".join("0" if c in keys else "1" for c in columns), 2)
         # A null key joins nothing, so there is nothing to spread.
         rows = [
-            (*(f"{r[k]}L" for k in keys), r["copies"])
+            (*(f"{r[k]}L" for k in keys), -(-r["rows"] // limit))
             for r in found
-            if r["key_set"] == int(bits, 2) and all(r[k] is not None for k in keys)
+            if r["key_set"] == key_set and all(r[k] is not None for k in keys)
         ]
-        spark = large.sparkSession
-        hot[keys] = literal_table(spark, [*keys, "copies"], rows) if rows else None
-    return hot
+        hot = literal_table(spark, [*keys, "copies"], rows) if rows else None
+        out[keys] = sizes.get(key_set, (0, 0))[0], hot
+    return out
 
 
 def spread_join(
@@ -69,8 +64,8 @@ def spread_join(
     A hot key's left rows get a salt from a hash of ``spread_by``; its right rows are copied
     once per salt. Every left row meets exactly the copies with its own salt, so the result is
     that of the plain join. ``right`` is unique on ``on``, or ``how`` is left_semi, so copies
-    are few: at most rows / hot_rows of a key. ``hot`` (its key columns are among ``on``) has
-    at most ``hot_keys`` rows, which is why it may be broadcast.
+    are few: their number grows with a key's share. ``hot`` (its key columns are among ``on``) is
+    bounded by the number of partitions, which is why it may be broadcast.
     """
     on = list(on)
     if hot is None:
@@ -87,6 +82,11 @@ def spread_join(
     return salted.drop("copies").join(copied.drop("copies"), [*on, "salt"], how).drop("salt")
 
 
+def fits(rows: int, columns: int, cfg: FeatureConfig) -> bool:
+    """Whether a counted table may be broadcast."""
+    return rows * columns <= cfg.broadcast_values
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -97,9 +97,10 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large log with a lookup table (unique on ``key`` unless ``how`` is left_semi).
 
-    The table is counted first: up to ``cfg.broadcast_rows`` it is broadcast and the log is
-    not shuffled at all; beyond that the join is shuffled, with hot keys spread.
+    The table is counted first: as long as it ``fits`` it is broadcast and the log is not
+    shuffled at all; beyond that the join is shuffled, with hot keys spread.
     """
-    if right.count() <= cfg.broadcast_rows:
+    if fits(right.count(), len(right.columns), cfg):
         return left.join(F.broadcast(right), key, how)
-    return spread_join(left, right, [key], hot_keys(left, [key], cfg), spread_by, how)
+    hot = measured_keys(left, [(key,)], cfg)[(key,)][1]
+    return spread_join(left, right, [key], hot, spread_by, how)

@@ -30,7 +30,7 @@ def unique_users(
 
     ``pairs`` holds one row per user, item and day. A user counts for a window once, at the
     last active day inside it: the day whose next active day lies after the window or does not
-    exist. So rows can first be counted per (item, behaviour, day, next day), a small histogram
+    exist. A row without a user counts no one, but keeps its item. So rows can first be counted per (item, behaviour, day, next day), a small histogram
     that combines on the map side, and only that is spread over the label days. A hot item's
     users never meet in one task.
 
@@ -40,9 +40,10 @@ def unique_users(
     reach = max(d.long_back for d in days) + 1
     marked = pairs.withColumn("day_no", F.unix_date("day"))
     item = [c for c in ("item_id", "item_category") if c in pairs.columns]
-    marked = marked.select(*item, "day", *(f"n{b}" for b in BEHAVIOURS),
+    marked = marked.select("user_id", *item, "day", *(f"n{b}" for b in BEHAVIOURS),
                            *next_active_days(marked, reach))
     active = marked.select(
+        "user_id",
         *item,
         "day",
         F.explode(F.array(*(
@@ -51,7 +52,7 @@ def unique_users(
         ))).alias("act"),
     ).filter(F.col("act").isNotNull())
     histogram = active.groupBy(*item, "day", "act.b", "act.next").agg(
-        F.count(F.lit(1)).alias("users")
+        F.count("user_id").alias("users")
     )
     table = membership(pairs.sparkSession, days, cfg).select("day", "label_day", "long_to")
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from datetime import date
 
@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 from dayrank.functions import add_purchase_flag
 from dayrank.operators import blocks
 from dayrank.operators.evaluate import best_per_pair
-from dayrank.operators.label_calendar import SCORE, TRAIN, label_days, membership, spine
-from dayrank.operators.model import vectors
-from dayrank.operators.prepare import long_window, one_day_slice, purchases
+from dayrank.operators.label_calendar import (
+    SCORE,
+    TRAIN,
+    LabelDay,
+    label_days,
+    membership,
+    spine,
+    within_days,
+)
+from dayrank.operators.model import predict, train, vectors
+from dayrank.operators.prepare import long_window, one_day_slice, prepare_log, purchases
 from dayrank.operators.ranking import top_k, with_activity_score
 from dayrank.operators.rollup import base_rollup, daily_counts, is_pair, unit_rollup
 from dayrank.operators.samples import samples, samples_per_day
@@ -32,10 +40,11 @@ from dayrank.schema import (
     USER_CATEGORY,
     USER_ITEM,
     Entity,
+    feature_columns,
 )
 from dayrank.session import fresh_path, materialize, tune
 from dayrank.sources import behaviour as io
-from dayrank.sources.warehouse import EVENTS_CONFIG, prepared_log
+from dayrank.sources.warehouse import EVENTS_CONFIG, item_list, prepared_log, raw_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,9 +69,9 @@ def _rollup(spark: SparkSession, folder: str, entity: Entity) -> DataFrame:
     return base_rollup(log) if is_pair(entity.keys) or entity.unique_users else unit_rollup(log)
 
 
-def _shared_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """What all blocks of a feature table are counted from."""
-    return materialize(base_rollup(_log(spark, folder)), "rollup")
+def _shared_rollup(spark: SparkSession, folder: str, days: Sequence[LabelDay]) -> DataFrame:
+    """What all blocks of a feature table are counted from: the days it needs, stored by day."""
+    return materialize(base_rollup(within_days(_log(spark, folder), days)), "rollup", "day")
 
 
 def label_spine(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,11 +140,11 @@ def _span(entity: Entity) -> Query:
 
 
 def _train_features(spark: SparkSession, folder: str) -> DataFrame:
-    return train_features(_shared_rollup(spark, folder), CFG)
+    return train_features(_shared_rollup(spark, folder, TRAIN_DAYS), CFG)
 
 
 def _score_features(spark: SparkSession, folder: str) -> DataFrame:
-    return score_features(_shared_rollup(spark, folder), CFG)
+    return score_features(_shared_rollup(spark, folder, SCORE_DAYS), CFG)
 
 
 def _train_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,6 +156,12 @@ def _train_vectors(spark: SparkSession, folder: str) -> DataFrame:
         F.size(values).alias("n_features"),
         F.size(F.filter(values, lambda v: v != 0)).alias("n_nonzero"),
         F.round(F.aggregate(values, F.lit(0.0), lambda total, v: total + v), 6).alias("total"),
+        F.round(
+            F.aggregate(
+                F.transform(values, lambda v, at: v * (at + 1)), F.lit(0.0), lambda total, v: total + v
+            ),
+            5,
+        ).alias("weighted"),
     )
 
 
@@ -163,31 +178,101 @@ def _submission(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _gbt_rank(spark: SparkSession, folder: str) -> DataFrame:
-    rollup = _shared_rollup(spark, folder)
+    rollup = _shared_rollup(spark, folder, TRAIN_DAYS + SCORE_DAYS)
     return rank_frame(training_set(rollup, CFG), score_features(rollup, CFG), CFG)
 
 
+def _gbt_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for a ranking whatever the model's numbers are, as one row of counts."""
+    rollup = _shared_rollup(spark, folder, TRAIN_DAYS + SCORE_DAYS)
+    training = materialize(training_set(rollup, CFG), "training-set")
+    scored = materialize(predict(train(training, CFG), score_features(rollup, CFG), CFG), "scored")
+    ranked = top_k(scored, CFG.top_k)
+    probabilities = F.collect_list("prob")  # at most top_k of them, in order
+    rising = F.size(
+        F.filter(
+            F.transform("p", lambda p, at: p > F.get("p", at - 1)), lambda rises: rises
+        )
+    )
+    return (
+        scored.agg(
+            F.count(F.lit(1)).alias("n_scored"),
+            F.count_distinct("user_id", "item_id").alias("n_pairs"),
+            F.count_if(F.col("label_day") != F.lit(CFG.last_label_day)).alias("n_other_days"),
+            F.count_if(~F.col("prob").between(0, 1)).alias("n_not_probabilities"),
+            F.lit(1).alias("one"),
+        )
+        .join(ranked.agg(probabilities.alias("p"), F.lit(1).alias("one")), "one")
+        .join(
+            training.agg(
+                F.count_if(F.col("label") == 1).alias("n_positives"),
+                F.count(F.lit(1)).alias("n_training"),
+                F.lit(1).alias("one"),
+            ),
+            "one",
+        )
+        .select(
+            "n_scored",
+            "n_pairs",
+            "n_other_days",
+            "n_not_probabilities",
+            F.size("p").cast("long").alias("n_ranked"),
+            rising.cast("long").alias("n_rising"),
+            "n_positives",
+            "n_training",
+        )
+    )
+
+
 def _evaluate(spark: SparkSession, folder: str) -> DataFrame:
-    rollup = _shared_rollup(spark, folder)
-    predicted = with_activity_score(score_features(rollup, EVALUATION_CFG))
-    return evaluate_frame(best_per_pair(predicted), rollup, EVALUATION_CFG)
+    """All candidates of a day against the purchases of the next: two filtered scans."""
+    log = _log(spark, folder)
+    predicted = samples(log, label_days(EVALUATION_CFG, SCORE), EVALUATION_CFG, False)
+    return evaluate_frame(predicted, log, EVALUATION_CFG)
+
+
+def _evaluate_best(repeated: bool) -> Query:
+    """The best pairs only; with ``repeated`` each pair is predicted twice with other scores."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        days = label_days(EVALUATION_CFG, SCORE)
+        rollup = _shared_rollup(spark, folder, days)
+        scored = with_activity_score(score_features(rollup, EVALUATION_CFG))
+        if repeated:
+            other = scored.withColumn("prob", (F.col("user_id") % 7 * 10).cast("double"))
+            scored = best_per_pair(scored.unionByName(other))
+        return evaluate_frame(top_k(scored, 50), _log(spark, folder), EVALUATION_CFG)
+
+    return run
 
 
 def _io_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Write each table, read it back, and give rows and column totals per day."""
-    log = _log(spark, folder)
-    paths = {name: fresh_path(spark, name) for name in ("prepared", "prepared_csv", "train", "score")}
+    """Write each table, read it back, and give rows and totals over all columns per day. The raw
+    log and the items go through their CSV readers first."""
+    tune(spark)
+    names = ("raw", "items", "prepared", "prepared_csv", "train", "train_csv", "score")
+    paths = {name: fresh_path(spark, name) for name in names}
+    raw_log(spark, folder, CFG).write.csv(paths["raw"], header=True)
+    item_list(spark, folder).write.csv(paths["items"], header=True)
+    log = prepare_log(io.read_raw_log(spark, paths["raw"]), io.read_items(spark, paths["items"]), CFG)
     io.write_prepared(log, paths["prepared"])
     io.write_prepared(log, paths["prepared_csv"], io.CSV)
     prepared = io.read_prepared(spark, paths["prepared"])
-    rollup = materialize(base_rollup(prepared), "rollup")
+    rollup = materialize(base_rollup(prepared), "rollup", "day")
     io.write_features(train_features(rollup, CFG), paths["train"])
+    io.write_features(io.read_features(spark, paths["train"], True), paths["train_csv"], io.CSV)
     io.write_features(score_features(rollup, CFG), paths["score"])
+    features = feature_columns(CFG.sub_windows)
+    weighted = " + ".join(f"{at} * CAST({c} AS DOUBLE)" for at, c in enumerate(features, 1))
+    score = f"CAST(item_category AS DOUBLE) + {weighted}"
+    train = f"{score} + {len(features) + 1} * CAST(label AS DOUBLE)"
+    row = "CAST(hour + 100 * behavior_type + 1000 * item_category AS DOUBLE)"
     tables = {
-        "prepared": (prepared, "day", "hour"),
-        "prepared_csv": (io.read_prepared(spark, paths["prepared_csv"], io.CSV), "day", "hour"),
-        "train": (io.read_features(spark, paths["train"], True), "label_day", "u_long_b1"),
-        "score": (io.read_features(spark, paths["score"], False), "label_day", "u_long_b1"),
+        "prepared": (prepared, "day", row),
+        "prepared_csv": (io.read_prepared(spark, paths["prepared_csv"], io.CSV), "day", row),
+        "train": (io.read_features(spark, paths["train"], True), "label_day", train),
+        "train_csv": (io.read_features(spark, paths["train_csv"], True, io.CSV), "label_day", train),
+        "score": (io.read_features(spark, paths["score"], False), "label_day", score),
     }
     parts = [
         table.groupBy(F.col(day).alias("day"))
@@ -195,7 +280,7 @@ def _io_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
             F.count(F.lit(1)).alias("n_rows"),
             F.sum("user_id").alias("user_total"),
             F.sum("item_id").alias("item_total"),
-            F.sum(F.col(value).cast("long")).alias("value_total"),
+            F.round(F.sum(F.expr(value)), 2).alias("value_total"),
         )
         .select(F.lit(name).alias("sink"), "*")
         for name, (table, day, value) in tables.items()
@@ -259,7 +344,10 @@ def catalog() -> dict[str, Query]:
         "topk_900": _top(900),
         "submission": _submission,
         "gbt_rank": _gbt_rank,
+        "gbt_checks": _gbt_checks,
         "evaluate": _evaluate,
+        "evaluate_top": _evaluate_best(False),
+        "evaluate_repeated": _evaluate_best(True),
         "io_roundtrip": _io_roundtrip,
     }
     return found

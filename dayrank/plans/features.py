@@ -12,7 +12,7 @@ from dayrank.operators.rolling import sample_day_block
 from dayrank.operators.rollup import daily_counts, daily_profile, entity_cells
 from dayrank.operators.samples import samples
 from dayrank.operators.sampling import chosen
-from dayrank.operators.skew import measured_hot_keys, spread_join
+from dayrank.operators.skew import fits, measured_keys, spread_join
 from dayrank.operators.uniques import unique_users
 from dayrank.schema import (
     CATEGORY,
@@ -22,6 +22,8 @@ from dayrank.schema import (
     USER_CATEGORY,
     USER_ITEM,
     WITH_IDS,
+    Entity,
+    block_columns,
     feature_columns,
 )
 from dayrank.session import materialize
@@ -55,26 +57,35 @@ def _features(
 
     The user-item block *is* the sample frame: a pair is a sample exactly when it has a daily
     row on the sample day, and its label is in the day after. The user and category blocks are
-    first joined to the shorter user-category block, so a sample row is moved only twice, once
-    by item and once by user and category, while it is still narrow.
+    first joined to the shorter user-category block, so a sample row is moved at most twice, once
+    by item and once by user and category, while it is still narrow. A block whose counted size
+    allows it is broadcast and moves no rows at all.
 
-    ``rollup`` is read by every block: hand in a materialized one.
+    ``rollup`` is read by every block: hand in a materialized one, partitioned by day.
     """
     days = label_days(cfg, as_of)
-    # Said here, and not left to the join that implies it for one of them, this keeps the two
-    # readers of the pairs alike, so that they share one shuffle.
-    rollup = within_days(rollup, days).filter(WITH_IDS)
+    rollup = within_days(rollup, days)
     labelled = as_of == TRAIN
 
     on_sample_days = rollup.filter(F.col("day").isin(*(d.sample_day for d in days)))
-    hot = measured_hot_keys(
+    measured = measured_keys(
         on_sample_days, [e.keys for e in (USER, ITEM, CATEGORY, USER_CATEGORY)], cfg
     )
 
+    def seen(daily: DataFrame, entity: Entity) -> DataFrame:
+        """With a single sample day only keys active on it have a row in the end; dropping the
+        others here keeps them out of the windows. The keys of many days are nearly all."""
+        if len(days) > 1:
+            return daily
+        keys = on_sample_days.select(*entity.keys).distinct()
+        return daily.join(keys, list(entity.keys), "left_semi")
+
+    # A pair needs both ids, other blocks count every row of their key. Both readers of the pairs
+    # start from the same frame, so that they share one shuffle.
     pair_days = daily_profile(
-        entity_cells(rollup, USER_ITEM), USER_ITEM, days, cfg.sample_behaviours
+        entity_cells(rollup.filter(WITH_IDS), USER_ITEM), USER_ITEM, days, cfg.sample_behaviours
     )
-    frame = sample_day_block(pair_days, USER_ITEM, days, cfg, labelled)
+    frame = sample_day_block(seen(pair_days, USER_ITEM), USER_ITEM, days, cfg, labelled)
     if cfg.sample_behaviours:
         touched = " + ".join(f"ui_d1_b{b}" for b in cfg.sample_behaviours)
         frame = frame.filter(f"{touched} > 0")
@@ -86,22 +97,29 @@ def _features(
     )
     category = sample_day_block(daily_counts(rollup, CATEGORY.keys), CATEGORY, days, cfg)
     user = sample_day_block(
-        daily_profile(entity_cells(rollup, USER), USER, days), USER, days, cfg
+        seen(daily_profile(entity_cells(rollup, USER), USER, days), USER), USER, days, cfg
     )
     context = sample_day_block(
-        daily_profile(entity_cells(rollup, USER_CATEGORY), USER_CATEGORY, days),
+        seen(daily_profile(entity_cells(rollup, USER_CATEGORY), USER_CATEGORY, days), USER_CATEGORY),
         USER_CATEGORY,
         days,
         cfg,
     )
+
+    def joined(left: DataFrame, block: DataFrame, entity: Entity, spread_by: tuple[str, ...]) -> DataFrame:
+        """A block has at most a row for each of the counted keys and label day. As long as that
+        is small it goes to the rows and they stay where they are."""
+        on = ["label_day", *entity.keys]
+        keys, hot = measured[entity.keys]
+        width = len(block_columns(entity, cfg.sub_windows))
+        if fits(keys * len(days), width, cfg):
+            return left.join(F.broadcast(block), on, "left")
+        return spread_join(left, block, on, hot, spread_by)
+
     for entity, block in ((CATEGORY, category), (USER, user)):
-        context = spread_join(
-            context, block, ["label_day", *entity.keys], hot[entity.keys], USER_CATEGORY.keys
-        )
+        context = joined(context, block, entity, USER_CATEGORY.keys)
     for entity, block in ((ITEM, item), (USER_CATEGORY, context)):
-        frame = spread_join(
-            frame, block, ["label_day", *entity.keys], hot[entity.keys], USER_ITEM.keys
-        )
+        frame = joined(frame, block, entity, USER_ITEM.keys)
     return _named(frame, cfg, labelled)
 
 

@@ -12,7 +12,7 @@ from dayrank.operators.ranking import top_k
 from dayrank.operators.rollup import base_rollup
 from dayrank.operators.sampling import downsample
 from dayrank.plans.features import score_features, train_features
-from dayrank.session import materialize, tune
+from dayrank.session import materialize, temporary_tables, tune
 from dayrank.sources import behaviour as io
 
 
@@ -41,9 +41,10 @@ def features_job(
     """Prepared log to the training and score feature tables."""
     tune(spark)
     log = io.read_prepared(spark, prepared, fmt, cfg)
-    rollup = materialize(base_rollup(log), "rollup")
-    io.write_features(train_features(rollup, cfg), train_out, fmt)
-    io.write_features(score_features(rollup, cfg), score_out, fmt)
+    with temporary_tables(spark):
+        rollup = materialize(base_rollup(log), "rollup", "day")
+        io.write_features(train_features(rollup, cfg), train_out, fmt)
+        io.write_features(score_features(rollup, cfg), score_out, fmt)
 
 
 def rank_frame(chosen: DataFrame, scoring: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -60,12 +61,15 @@ def rank_job(
     out: str,
     cfg: FeatureConfig,
     fmt: str = io.PARQUET,
+    with_prob: bool = False,
 ) -> None:
-    """Feature tables to the submission file."""
+    """Feature tables to the submission file, ``with_prob`` with each pair's probability."""
     tune(spark)
     training = io.read_features(spark, train_path, True, fmt, cfg)
     scoring = io.read_features(spark, score_path, False, fmt, cfg)
-    io.write_submission(rank_frame(downsample(training, cfg), scoring, cfg), out)
+    with temporary_tables(spark):
+        ranked = rank_frame(downsample(training, cfg), scoring, cfg)
+        io.write_submission(ranked, out, with_prob)
 
 
 def evaluate_frame(predicted: DataFrame, log: DataFrame, cfg: FeatureConfig) -> DataFrame:

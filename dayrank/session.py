@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +16,9 @@ SETTINGS = {
     # The JVM does not compile methods beyond 8000 bytes of bytecode. A 96-column projection
     # fused into one method runs ten times slower than the same one left unfused.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Event times carry no zone; keep day and hour as written.
-    "spark.sql.session.timeZone": "UTC",
 }
+#: Intermediate tables written since the innermost ``temporary_tables`` began.
+_written: list[list[str]] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -28,22 +29,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster in spark.checkpoint.dir.
-
-    Only a local session, where every task runs on this machine, may fall back to a
-    temporary folder.
-    """
-    context = spark.sparkContext
+    """The folder all executors can reach: what the cluster names in spark.checkpoint.dir, or
+    where that is unset, a folder in the session's warehouse, which is shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-        return folder.rstrip("/")
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="dayrank-"))
-    return context.getCheckpointDir()
+    folder = (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/.dayrank").rstrip("/")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -51,10 +43,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back, so that a lost executor costs
-    a re-read and not the whole lineage, and so that several readers share the work."""
+    a re-read and not the whole lineage, and so that several readers share the work. With
+    ``partition_by`` readers that filter on that column open only its files."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
+    if partition_by:
+        # A value's rows are gathered into files of the advisory size, large values into several.
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``materialize`` writes inside the block when it ends. For a job that
+    has written its output by then; a frame read from them is of no use afterwards."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _written.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)

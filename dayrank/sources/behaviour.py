@@ -69,10 +69,12 @@ def read_features(
     return _read(spark, path, features_schema(with_label, sub_windows), fmt)
 
 
-def write_submission(ranked: DataFrame, path: str) -> None:
+def write_submission(ranked: DataFrame, path: str, with_prob: bool = False) -> None:
     """The ranked pairs as CSV with a header. A top-K result is one short partition."""
-    ranked.select(*SUBMISSION.fieldNames()).write.csv(path, header=True)
+    names = [*SUBMISSION.fieldNames(), *(["prob"] if with_prob else [])]
+    ranked.select(*names).write.csv(path, header=True)
 
 
-def read_submission(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, SUBMISSION, CSV)
+def read_submission(spark: SparkSession, path: str, with_prob: bool = False) -> DataFrame:
+    prob = [T.StructField("prob", T.DoubleType())] if with_prob else []
+    return _read(spark, path, T.StructType([*SUBMISSION.fields, *prob]), CSV)

@@ -39,7 +39,6 @@ MAX_ITEM_SIZE = 40
 EVENTS_CONFIG = FeatureConfig(
     last_label_day=date(2024, 1, 30),
     gap_days=(date(2024, 1, 23), date(2024, 1, 24)),
-    boosting_rounds=5,
 )
 
 
@@ -58,7 +57,8 @@ def raw_log(spark: SparkSession, folder: str, cfg: FeatureConfig = EVENTS_CONFIG
             "user_id",
             F.get_json_object("props", "$.k").cast("long").alias("item_id"),
             behaviour.alias("behavior_type"),
-            F.date_format("ts", "yyyy-MM-dd HH").alias("time"),
+            # Event times carry no zone: day and hour are as written, whatever the session's.
+            F.substring(F.col("ts").cast("string"), 1, 13).alias("time"),
         )
     )
     categories = (

@@ -38,7 +38,7 @@ def make_log(spark):
 
     def make(rows: list[tuple[int, int, int, int, date, int]]) -> DataFrame:
         data = [
-            (u, i, b, c, f"{d:%Y-%m-%d} {h:02d}", h, d) for u, i, c, b, d, h in rows
+            (u, i, b, c, f"{d:%Y-%m-%d} {h}", h, d) for u, i, c, b, d, h in rows
         ]
         return spark.createDataFrame(data, PREPARED_LOG)
 

@@ -22,7 +22,7 @@ def duck():
     return connection
 
 
-def test_every_query_but_the_model_has_sql():
+def test_every_query_but_the_models_own_ranking_has_sql():
     assert set(QUERIES) - set(ORACLE) == {"gbt_rank"}
     assert set(ORACLE) <= set(QUERIES)
 

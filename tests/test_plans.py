@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -17,7 +18,7 @@ from dayrank.sources.warehouse import prepared_log
 from tests.conftest import SF
 
 #: These run a job while they are built and return a frame over its output.
-STORED = {"submission", "io_roundtrip", "gbt_rank"}
+STORED = {"submission", "io_roundtrip", "gbt_rank", "gbt_checks"}
 QUERIES = catalog()
 #: One window and one ratio stand for their family.
 ALIKE = {n for n in QUERIES if n.startswith("cnt_") and not n.endswith(("_long", "_d1"))}
@@ -46,19 +47,20 @@ def test_scan_reads_only_what_it_needs(spark):
 
 @pytest.fixture(scope="module")
 def rollup(spark):
-    return materialize(base_rollup(prepared_log(spark, SF)), "rollup")
+    return materialize(base_rollup(prepared_log(spark, SF)), "rollup", "day")
 
 
 def test_feature_table_shuffles(rollup):
-    """Two moves of the sample rows, no key-skew machinery where no key is hot, and windows
-    pushed to the scans as literal days."""
-    plan = plan_of(train_features(rollup, CFG))
-    assert "salt" not in plan
-    exchanges = len(re.findall(r"Exchange hashpartitioning", plan))
-    assert exchanges <= 20, exchanges
+    """At most two moves of the sample rows, small blocks sent to them, no key-skew machinery
+    where no key is hot, and windows pushed to the scans as literal days."""
     first = min(d.long_from for d in label_days(CFG, TRAIN))
-    scans = re.findall(r"PushedFilters: \[([^\]]*)\]", plan)
-    assert scans and all(f"GreaterThanOrEqual(day,{first})" in s for s in scans)
+    for cfg, most in ((CFG, 15), (replace(CFG, broadcast_values=0), 20)):
+        plan = plan_of(train_features(rollup, cfg))
+        assert "salt" not in plan
+        exchanges = len(re.findall(r"Exchange hashpartitioning", plan))
+        assert exchanges <= most, exchanges
+        scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+        assert scans and all(f"day#" in s and f">= {first}" in s for s in scans)
 
 
 def test_pairs_are_shuffled_once(rollup):
@@ -74,5 +76,19 @@ def test_pairs_are_shuffled_once(rollup):
 def test_score_reads_its_window_only(rollup):
     (day,) = label_days(CFG, SCORE)
     plan = plan_of(score_features(rollup, CFG))
-    assert f"GreaterThanOrEqual(day,{day.long_from})" in plan
     assert day.long_from == date(2024, 1, 22)
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert scans and all(f">= {day.long_from}" in s or f"= {day.sample_day}" in s for s in scans)
+
+
+def test_score_windows_see_keys_of_the_sample_day_only(rollup):
+    """Below the windows of users, pairs and users with categories the other keys are gone."""
+    lines = plan_of(score_features(rollup, CFG)).splitlines()
+    depth = [len(re.match(r"[\s:+\-*()0-9]*", line)[0]) for line in lines]
+    checked = 0
+    for at, line in enumerate(lines):
+        if "Window [" in line and "windowspecdefinition(user_id" in line and "next1" not in line:
+            end = next((k for k in range(at + 1, len(lines)) if depth[k] <= depth[at]), len(lines))
+            assert any("LeftSemi" in below for below in lines[at:end]), line
+            checked += 1
+    assert checked >= 3

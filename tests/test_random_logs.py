@@ -1,5 +1,6 @@
 """Feature tables over logs the generated tables do not show: items in several categories,
-one hot item, user and category, repeated rows, idle days. The SQL is the queries' own, with
+one hot item, user and category, repeated rows, idle days, rows without a user, behaviours and hours
+outside their domain or missing. The SQL is the queries' own, with
 the log replaced."""
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import duckdb
 import pytest
 
 from checks import oracle
-from dayrank.operators.blocks import entity_block
+from dayrank.operators.blocks import entity_block, hour_profile
 from dayrank.operators.label_calendar import SCORE, TRAIN, label_days
 from dayrank.operators.rollup import base_rollup, daily_counts
 from dayrank.operators.samples import samples
@@ -24,8 +25,8 @@ from dayrank.sources.warehouse import EVENTS_CONFIG
 from tests.compare import assert_same
 
 CFG = EVENTS_CONFIG
-#: Every key with more than five rows counts as hot here.
-HOT_CFG = replace(CFG, hot_rows=5)
+#: Keys count as hot early here, and no block is small enough to be broadcast.
+HOT_CFG = replace(CFG, hot_rows=5, broadcast_values=0)
 
 
 def random_rows(seed: int, n: int):
@@ -39,7 +40,15 @@ def random_rows(seed: int, n: int):
         item = 1 if rng.random() < 0.35 else rng.randrange(2, 9)
         category = 100 if rng.random() < 0.5 else 100 + rng.randrange(4)
         hour = rng.choice((0, 23, rng.randrange(24)))
-        rows += [(user, item, category, rng.randrange(1, 5), day, hour)] * rng.choice((1, 1, 1, 3))
+        code = rng.randrange(1, 5)
+        if rng.random() < 0.15:  # a row that is odd in one way
+            odd = rng.choice(("user", "code", "hour"))
+            user = None if odd == "user" else user
+            code = rng.choice((0, 5, None)) if odd == "code" else code
+            hour = rng.choice((24, -1, None)) if odd == "hour" else hour
+        rows += [(user, item, category, code, day, hour)] * rng.choice((1, 1, 1, 3))
+    # One item with rows without a user only, and one such row beside others.
+    rows += [(None, 77, 100, 1, date(2024, 1, 28), 5)] * 3
     return rows
 
 
@@ -87,6 +96,13 @@ def test_whole_blocks(log, duck, sql, entity):
     assert_same(found, duck.sql(sql[f"feat_{entity.name}"]))
 
 
+@pytest.mark.parametrize("name", ["user", "user_item", "user_category"])
+def test_hour_profiles(log, duck, sql, name):
+    entity = next(e for e in ENTITIES if e.name == name)
+    found = hour_profile(base_rollup(log), entity, label_days(CFG, TRAIN), CFG)
+    assert_same(found, duck.sql(sql[f"hour_profile_{name}"]))
+
+
 def test_unique_users(log, duck, sql):
     pairs = daily_counts(base_rollup(log), USER_ITEM.keys)
     found = unique_users(pairs, ITEM, label_days(CFG, TRAIN), CFG)

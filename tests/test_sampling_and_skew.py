@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
 from dayrank.operators.sampling import downsample
-from dayrank.operators.skew import hot_keys, lookup_join, measured_hot_keys, spread_join
+from dayrank.operators.skew import lookup_join, measured_keys, spread_join
 
 CFG = FeatureConfig()
 
@@ -59,19 +59,31 @@ def skewed(spark):
     )
 
 
-def test_hot_keys_are_the_hottest(spark):
-    cfg = replace(CFG, hot_rows=100, hot_keys=1)
-    (row,) = hot_keys(skewed(spark), ["k"], cfg).collect()
-    assert row["k"] == 0 and row["copies"] == 11
+def hot_keys(large, keys, cfg):
+    return measured_keys(large, [tuple(keys)], cfg)[tuple(keys)][1]
 
 
-def test_measured_hot_keys(spark):
+def test_keys_and_hot_keys_are_counted(spark):
     large = skewed(spark)
-    found = measured_hot_keys(large, [("k",), ("g",), ("k", "g")], replace(CFG, hot_rows=400))
-    assert [tuple(r) for r in found[("k",)].collect()] == [(0, 3)]
-    assert sorted(tuple(r) for r in found[("g",)].collect()) == [(g, 2) for g in range(7)]
-    assert found[("k", "g")] is None
-    assert measured_hot_keys(large, [("k",)], CFG) == {("k",): None}
+    found = measured_keys(large, [("k",), ("g",), ("k", "g")], replace(CFG, hot_rows=400))
+    assert [found[keys][0] for keys in (("k",), ("g",), ("k", "g"))] == [50, 7, 350]
+    assert [tuple(r) for r in found[("k",)][1].collect()] == [(0, 3)]
+    assert sorted(tuple(r) for r in found[("g",)][1].collect()) == [(g, 2) for g in range(7)]
+    assert found[("k", "g")][1] is None
+    assert measured_keys(large, [("k",)], CFG) == {("k",): (50, None)}
+    assert measured_keys(large.limit(0), [("k",)], CFG) == {("k",): (0, None)}
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 3000])
+def test_equally_hot_keys_are_all_spread_or_none(spark, n):
+    """A key above its share of a task is spread, however many there are of them; where each of
+    thousands has less than a fraction of a task there is no skew."""
+    large = spark.range(0, 6000, 1, 6).select((F.col("id") % n).alias("k"), "id")
+    limit = 6000 // (CFG.hot_share * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = hot_keys(large, ["k"], replace(CFG, hot_rows=1))
+    rows = [] if hot is None else hot.collect()
+    assert len(rows) == (n if 6000 // n > limit else 0)
+    assert sum(r["copies"] for r in rows) <= 2 * 6000 // limit
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
@@ -86,7 +98,7 @@ def test_spread_join_equals_plain_join(spark, how):
 def test_spread_join_splits_the_hot_key(spark):
     left = skewed(spark)
     right = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    hot = hot_keys(left, ["k"], replace(CFG, hot_rows=100, hot_keys=1))
+    hot = hot_keys(left, ["k"], replace(CFG, hot_rows=100))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -105,5 +117,5 @@ def test_lookup_join_beyond_the_broadcast_limit(spark, how):
     left = skewed(spark)
     right = spark.range(0, 30).select(F.col("id").alias("k"))
     small = lookup_join(left, right, "k", ["row"], CFG, how)
-    large = lookup_join(left, right, "k", ["row"], replace(CFG, broadcast_rows=3, hot_rows=50), how)
+    large = lookup_join(left, right, "k", ["row"], replace(CFG, broadcast_values=3, hot_rows=50), how)
     assert sorted(small.collect()) == sorted(large.collect())
