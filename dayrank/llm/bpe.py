@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,9 @@ from dayrank.llm.common import column, importable, map_arrow, slices
 #: A vocabulary file beyond this is refused: every worker holds it.
 VOCABULARY_BYTES = 64 << 20
 #: Encoded pre-tokens a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Bytes of text, or of ids, worked on at once.
+BATCH_BYTES = 1 << 20
 #: Pre-tokens up to so many bytes have their trees advanced together, so many leaves at once;
 #: a longer one has a tree of its own.
 TOGETHER = 64
@@ -67,7 +68,7 @@ class Tokens:
 
 
 class Vocabulary(dict):
-    """Pre-token (str) to its ids, for the pre-tokens met so far."""
+    """Pre-token (str) to its ids (packed, 4 bytes each), for the pre-tokens met so far."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
@@ -90,6 +91,10 @@ class Vocabulary(dict):
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
+        return [np.frombuffer(ids, dtype=np.int32).tolist() for ids in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, 4 bytes each."""
         split = [self.split(text) if text else [] for text in texts]
         new = set().union(*split).difference(self)
         if len(self) + len(new) > REMEMBERED:
@@ -97,17 +102,17 @@ class Vocabulary(dict):
             new = set().union(*split)
         self.update(self._merged(list(new)))
         get = self.__getitem__
-        return [list(chain.from_iterable(map(get, pieces))) for pieces in split]
+        return [b"".join(map(get, pieces)) for pieces in split]
 
-    def _merged(self, pieces: list[str]) -> Iterator[tuple[str, list[int]]]:
+    def _merged(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         by_leaves: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             raw = piece.encode("utf-8")
             whole = self.ranks.get(raw)
             if whole is not None:
-                yield piece, [whole]
+                yield piece, np.int32(whole).tobytes()
             elif len(raw) > TOGETHER:
-                yield piece, merged(raw, self.ranks)
+                yield piece, np.array(merged(raw, self.ranks), dtype=np.int32).tobytes()
             else:
                 by_leaves.setdefault(1 << (len(raw) - 1).bit_length(), []).append((piece, raw))
         for leaves, group in by_leaves.items():
@@ -126,7 +131,7 @@ class Vocabulary(dict):
             return np.full(len(keys), _NONE)
         return np.where(found & (self.pair_keys[at] == keys), self.pair_ranks[at], _NONE)
 
-    def _trees(self, pieces: tuple[bytes, ...], leaves: int) -> list[list[int]]:
+    def _trees(self, pieces: tuple[bytes, ...], leaves: int) -> list[bytes]:
         """One segment tree a piece, all of so many leaves, advanced together: each round does
         the next merge of every piece that has one."""
         count = len(pieces)
@@ -175,8 +180,8 @@ class Vocabulary(dict):
                 tree[rows, nodes] = np.minimum(tree[rows, 2 * nodes], tree[rows, 2 * nodes + 1])
             row = row[tree[row, 1] != _NONE]
         live = token >= 0
-        ends = np.cumsum(live.sum(axis=1)).tolist()
-        flat = token[live].tolist()
+        ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
+        flat = token[live].astype(np.int32).tobytes()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
@@ -274,11 +279,12 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = parsed(vocabulary.value, pattern)
-        for batch in slices(batches, text_col):
-            ids = words.encode(column(batch, text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, id_col), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"]
-            )
+        for batch in slices(batches, text_col, BATCH_BYTES):
+            packed = words.packed(column(batch, text_col).to_pylist())
+            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), values)
+            yield pa.RecordBatch.from_arrays([column(batch, id_col), ids], [id_col, "ids"])
 
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
 
@@ -290,7 +296,7 @@ def decode(frame: DataFrame, vocabulary: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens(vocabulary.value)
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", BATCH_BYTES):
             lists = column(batch, "ids")
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum([len(x) if x.is_valid else 0 for x in lists]) if len(lists) else []

@@ -32,11 +32,13 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that none holds many more than BATCH_BYTES of the text column."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str, size: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that none holds many more than so many bytes of the text column."""
     for batch in batches:
         width = max(1, batch.column(batch.schema.get_field_index(text)).nbytes // max(1, batch.num_rows))
-        step = max(1, min(BATCH_ROWS, BATCH_BYTES // width))
+        step = max(1, min(BATCH_ROWS, size // width))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 
