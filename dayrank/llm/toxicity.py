@@ -11,7 +11,8 @@ the whole text, and over its most toxic passage of PASSAGE bytes, since a few wo
 text toxic. A logistic regression turns both into a score.
 
 Counts come from all labelled rows of the counting folds, over whole texts, gathered with a
-grouped sum. What is sent to the workers has a fixed size: counts in hashed slots. The regression
+grouped sum; an expression counts once a text, so that a text that repeats one line a thousand times
+does not decide what that line means. What is sent to the workers has a fixed size: counts in hashed slots. The regression
 is fitted on at most FIT_ROWS rows of a fold that was not counted, chosen by a hash of their id.
 
 Defined results: a null or empty text has a mean and passage of 0 and gets the regression's answer
@@ -117,7 +118,8 @@ def _summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def count_grams(labelled: DataFrame, text_col: str) -> DataFrame:
-    """(gram, n0, n1): how often each 5-gram stands in ordinary and in toxic texts."""
+    """(gram, n0, n1): in how many ordinary and toxic texts each 5-gram stands. A text that
+    repeats itself counts once (a very long one once for each CHUNK of it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -129,8 +131,11 @@ def count_grams(labelled: DataFrame, text_col: str) -> DataFrame:
             toxic = column(batch, "toxic").to_numpy(zero_copy_only=False).astype(bool)
             for pieces in Pieces.of(utf8(column(batch, text_col))):
                 codes, piece, own = pieces.grams()
+                # Text and gram in one number: 24 and 40 bits.
+                once = np.unique((pieces.owners[piece].astype(np.uint64) << np.uint64(40) | codes)[own])
+                labels = toxic[(once >> np.uint64(40)).astype(np.int64)]
                 for label in (False, True):
-                    mine = codes[own & (toxic[pieces.owners][piece] == label)]
+                    mine = once[labels == label] & np.uint64((1 << 40) - 1)
                     gram, n = np.unique(mine, return_counts=True)
                     zero = np.zeros(len(n), dtype=np.int64)
                     for to, x in zip(held, (gram, *((zero, n) if label else (n, zero))), strict=True):
