@@ -363,6 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "train_features": _train_features(
             "SELECT label_day, user_id, item_id, item_category, label, " + _j(feature_names())
         ),
+        "train_features_extras": _train_features_extras(),
         "score_features": _score_features(
             "SELECT label_day, user_id, item_id, item_category, " + _j(feature_names())
         ),
@@ -404,6 +405,33 @@ WHERE label = 1 OR nth <= 90 * (SELECT count(*) FROM samples WHERE label = 1)"""
     return sql
 
 
+def _train_features_extras() -> str:
+    """All features, and behind them the families that are not among the 426."""
+    columns, ctes, joins = [], [], ""
+    for p in ("u", "i", "c"):
+        for n in (5, 3):
+            columns += _ratio_columns(f"{p}_d{n}", f"{p}_d{n}_ratio")
+    for name in ("user_item", "user_category"):
+        prefix, keys = ENTITIES[name]
+        ids = _j(["label_day", *keys])
+        columns.append(f"{prefix}_span")
+        ctes.append(
+            f"\ns_{name} AS (SELECT {ids}, CAST(max(day) - min(day) AS INTEGER) AS {prefix}_span"
+            f" FROM windowed GROUP BY {ids})"
+        )
+        joins += f"\nLEFT JOIN s_{name} USING ({ids})"
+    for n in (2, 5):
+        names = [f"uh{n}d_h{h:02d}_b{b}" for h in range(24) for b in BEHAVIOURS]
+        columns += names
+        ctes.append(
+            f"\np_{n} AS (SELECT label_day, user_id, {_j(_profile_columns(f'uh{n}d', 'TRUE'))} FROM log"
+            f" JOIN spine ON day >= label_day - {n} AND day < label_day GROUP BY label_day, user_id)"
+        )
+        joins += f"\nLEFT JOIN p_{n} USING (label_day, user_id)"
+    select = "SELECT label_day, user_id, item_id, item_category, label, " + _j(feature_names() + columns)
+    return _train(select + SAMPLE_WITH_BLOCKS + joins, TRAIN_SAMPLES, *_blocks(), *ctes)
+
+
 def _evaluate(best: str) -> str:
     """Metrics of the best of the pairs scored on 21 January."""
     scored = _score_features(SCORED, "2024-01-21")

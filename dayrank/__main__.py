@@ -36,6 +36,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--slot", type=int, default=defaults.slot)
     parser.add_argument("--sample-behaviour", type=int, action="append",
                         help="only touches of this behaviour make a sample; may be repeated")
+    parser.add_argument("--extras", action="store_true",
+                        help="append the extra feature families to the feature tables")
     parser.add_argument("--with-prob", action="store_true",
                         help="write the probability beside each ranked pair")
     parser.add_argument(
@@ -57,6 +59,7 @@ def main(argv: list[str] | None = None) -> None:
         negatives_per_positive=args.negatives,
         n_label_days=args.label_days,
         slot=args.slot,
+        extras=args.extras,
         sample_behaviours=tuple(args.sample_behaviour) if args.sample_behaviour else None,
     )
     spark = SparkSession.builder.appName(f"dayrank-{args.command}").getOrCreate()

@@ -24,6 +24,8 @@ class FeatureConfig:
     widen_probe: int = 5
     #: Only touches of these behaviours make a sample; None takes all.
     sample_behaviours: tuple[int, ...] | None = None
+    #: Append the extra families to the features. They need the sub-windows 5 and 3.
+    extras: bool = False
     negatives_per_positive: int = 90
     top_k: int = 700
     seed: int = 10

@@ -14,7 +14,7 @@ from dayrank.session import shared_folder
 
 def vectors(frame: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Key, label if present, and the features by name as one vector; ids stay outside it."""
-    assembler = VectorAssembler(inputCols=feature_columns(cfg.sub_windows), outputCol="features")
+    assembler = VectorAssembler(inputCols=feature_columns(cfg.sub_windows, cfg.extras), outputCol="features")
     label = ["label"] if "label" in frame.columns else []
     return assembler.transform(frame).select(*SAMPLE_KEY, *label, "features")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dayrank.config import FeatureConfig
 from dayrank.functions import aliased
 from dayrank.operators.label_calendar import LabelDay, sample_day_table
-from dayrank.schema import BEHAVIOURS, PURCHASE, Entity
+from dayrank.schema import BEHAVIOURS, PROFILE_DAYS, PURCHASE, SPAN_ENTITIES, USER, Entity
 
 
 def sample_day_block(
@@ -51,6 +51,18 @@ def sample_day_block(
             for back in lengths["long"]
             for b in BEHAVIOURS
         ]
+    if cfg.extras and entity in SPAN_ENTITIES:
+        rolled += [
+            f"day_no - min(day_no) OVER ({key} RANGE BETWEEN {back} PRECEDING AND CURRENT ROW)"
+            f" AS t{back}_0"
+            for back in lengths["long"]
+        ]
+    if cfg.extras and entity == USER:
+        rolled += [
+            f"flatten(collect_list(cells) OVER ({key} RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW))"
+            f" AS cells{n}"
+            for n in PROFILE_DAYS
+        ]
     if labelled:
         rolled.append(
             f"max(n{PURCHASE} > 0) OVER ({key} RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING)"
@@ -73,6 +85,14 @@ def sample_day_block(
         out[f"{p}_type_max"] = "type_max"
     if entity.profile:
         out[f"{entity.profile}_cells"] = "map_from_entries(cells)"
+    if cfg.extras and entity in SPAN_ENTITIES:
+        out[f"{p}_span"] = pick("long", "t", 0)
+    if cfg.extras and entity == USER:
+        for n in PROFILE_DAYS:
+            out[f"{entity.profile}{n}d_cells"] = (
+                f"map_from_entries(transform(array_distinct(transform(cells{n}, x -> x.cell)), k -> struct("
+                f"k, aggregate(filter(cells{n}, x -> x.cell = k), 0L, (total, x) -> total + x.cnt))))"
+            )
     if "item_category" in daily.columns and "item_category" not in entity.keys:
         out["item_category"] = "item_category"
     if labelled:

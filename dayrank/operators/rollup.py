@@ -8,6 +8,7 @@ many log rows it had; only then are an entity's rows brought together by its key
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,15 +71,21 @@ def entity_cells(rollup: DataFrame, entity: Entity) -> DataFrame:
 
 
 def daily_profile(
-    cells: DataFrame, entity: Entity, days: Sequence[LabelDay], sample_behaviours=None
+    cells: DataFrame,
+    entity: Entity,
+    days: Sequence[LabelDay],
+    sample_behaviours=None,
+    profile_days: int = 1,
 ) -> DataFrame:
     """One row per key and day: behaviour counts, first and last hour, strongest behaviour
-    and, on sample days, the cell counts as a list of at most 96 (cell, cnt) entries.
+    and, on the last ``profile_days`` days up to a sample day, the cell counts as a list of at most
+    96 (cell, cnt) entries.
 
     Keeping the hour profile sparse until the last projection keeps shuffled rows short: a
     pair touched twice in a day carries two entries and not 96 columns.
     """
-    on_sample_day = F.col("day").isin(*sorted(d.sample_day for d in days))
+    wanted = {d.sample_day - timedelta(days=k) for d in days for k in range(profile_days)}
+    on_sample_day = F.col("day").isin(*sorted(wanted))
     cell = F.expr(CELL)
     aggs = [
         *_counts(),

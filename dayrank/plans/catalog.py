@@ -338,6 +338,9 @@ def catalog() -> dict[str, Query]:
     found |= {
         "train_features": _train_features,
         "score_features": _score_features,
+        "train_features_extras": lambda s, d: train_features(
+            _shared_rollup(s, d, TRAIN_DAYS), replace(CFG, extras=True)
+        ),
         "train_vectors": _train_vectors,
         "downsample": lambda s, d: downsample(materialize(_samples(True)(s, d), "samples"), CFG),
         "topk_700": _top(700),

@@ -17,6 +17,8 @@ from dayrank.operators.uniques import unique_users
 from dayrank.schema import (
     CATEGORY,
     ITEM,
+    PROFILE_DAYS,
+    RATIO_WINDOWS,
     SAMPLE_KEY,
     USER,
     USER_CATEGORY,
@@ -96,8 +98,12 @@ def _features(
         unique_users(pair_days, ITEM, days, cfg), ["label_day", "item_id"], "left"
     )
     category = sample_day_block(daily_counts(rollup, CATEGORY.keys), CATEGORY, days, cfg)
+    profile_days = max(PROFILE_DAYS) if cfg.extras else 1
     user = sample_day_block(
-        seen(daily_profile(entity_cells(rollup, USER), USER, days), USER), USER, days, cfg
+        seen(daily_profile(entity_cells(rollup, USER), USER, days, None, profile_days), USER),
+        USER,
+        days,
+        cfg,
     )
     context = sample_day_block(
         seen(daily_profile(entity_cells(rollup, USER_CATEGORY), USER_CATEGORY, days), USER_CATEGORY),
@@ -132,8 +138,14 @@ def _named(frame: DataFrame, cfg: FeatureConfig, labelled: bool) -> DataFrame:
         derived |= ratios(f"{p}_long", f"{p}_ratio")
     for entity in (USER, USER_ITEM, USER_CATEGORY):
         derived |= profile(f"{entity.profile}_cells", entity.profile)
+    if cfg.extras:
+        for p in (e.prefix for e in (USER, ITEM, CATEGORY)):
+            for n in RATIO_WINDOWS:
+                derived |= ratios(f"{p}_d{n}", f"{p}_d{n}_ratio")
+        for n in PROFILE_DAYS:
+            derived |= profile(f"{USER.profile}{n}d_cells", f"{USER.profile}{n}d")
     ids = [*SAMPLE_KEY, "item_category", *(["label"] if labelled else [])]
     features = {
-        c: f"coalesce({derived.get(c, c)}, 0)" for c in feature_columns(cfg.sub_windows)
+        c: f"coalesce({derived.get(c, c)}, 0)" for c in feature_columns(cfg.sub_windows, cfg.extras)
     }
     return frame.selectExpr(*ids, *aliased(features))

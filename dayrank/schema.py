@@ -94,12 +94,34 @@ def block_columns(entity: Entity, sub_windows: tuple[int, ...]) -> list[str]:
     )
 
 
-def feature_columns(sub_windows: tuple[int, ...] = (5, 3, 7)) -> list[str]:
-    """The full feature list in its fixed order, the same for training and scoring."""
+#: Extra families: ratios over sub-windows, days between first and last touch, hour profiles of a
+#: user over several days.
+RATIO_WINDOWS = (5, 3)
+SPAN_ENTITIES = (USER_ITEM, USER_CATEGORY)
+PROFILE_DAYS = (2, 5)
+
+
+def extra_columns() -> list[str]:
+    names = [
+        c
+        for e in (USER, ITEM, CATEGORY)
+        for n in RATIO_WINDOWS
+        for c in ratio_columns(f"{e.prefix}_d{n}_ratio")
+    ]
+    names += [f"{e.prefix}_span" for e in SPAN_ENTITIES]
+    return names + [c for n in PROFILE_DAYS for c in profile_columns(f"{USER.profile}{n}d")]
+
+
+def feature_columns(
+    sub_windows: tuple[int, ...] = (5, 3, 7), extras: bool = False
+) -> list[str]:
+    """The full feature list in its fixed order, the same for training and scoring; the extra
+    families come last."""
     names = [c for e in ENTITIES for c in narrow_columns(e, sub_windows)]
     for entity in (USER, USER_ITEM, USER_CATEGORY):
         names += profile_columns(entity.profile)
-    return names + behaviour_columns(f"{USER.live}_days")
+    names += behaviour_columns(f"{USER.live}_days")
+    return names + (extra_columns() if extras else [])
 
 
 def double_columns() -> set[str]:
@@ -108,14 +130,19 @@ def double_columns() -> set[str]:
         c
         for e in ENTITIES
         if e.rates
-        for c in behaviour_columns(f"{e.prefix}_avg") + ratio_columns(f"{e.prefix}_ratio")
+        for c in behaviour_columns(f"{e.prefix}_avg")
+        + ratio_columns(f"{e.prefix}_ratio")
+        + [r for n in RATIO_WINDOWS for r in ratio_columns(f"{e.prefix}_d{n}_ratio")]
     }
 
 
-def features_schema(with_label: bool, sub_windows: tuple[int, ...] = (5, 3, 7)) -> T.StructType:
+def features_schema(
+    with_label: bool, sub_windows: tuple[int, ...] = (5, 3, 7), extras: bool = False
+) -> T.StructType:
     doubles = double_columns()
     hours = {f"{e.prefix}_hour_{h}" for e in ENTITIES for h in e.hours}
     codes = {f"{e.prefix}_type_max" for e in ENTITIES if e.type_max}
+    codes |= {f"{e.prefix}_span" for e in SPAN_ENTITIES}
 
     def kind(name: str) -> T.DataType:
         if name in doubles:
@@ -131,5 +158,5 @@ def features_schema(with_label: bool, sub_windows: tuple[int, ...] = (5, 3, 7))
     if with_label:
         fields.append(T.StructField("label", T.IntegerType()))
     return T.StructType(
-        fields + [T.StructField(c, kind(c)) for c in feature_columns(sub_windows)]
+        fields + [T.StructField(c, kind(c)) for c in feature_columns(sub_windows, extras)]
     )

@@ -65,8 +65,8 @@ def read_features(
     fmt: str = PARQUET,
     cfg: FeatureConfig | None = None,
 ) -> DataFrame:
-    sub_windows = (cfg or FeatureConfig()).sub_windows
-    return _read(spark, path, features_schema(with_label, sub_windows), fmt)
+    cfg = cfg or FeatureConfig()
+    return _read(spark, path, features_schema(with_label, cfg.sub_windows, cfg.extras), fmt)
 
 
 def write_submission(ranked: DataFrame, path: str, with_prob: bool = False) -> None:

@@ -90,6 +90,11 @@ def test_score_features(log, duck, sql, cfg):
     assert assert_same(score_features(base_rollup(log), cfg), duck.sql(sql["score_features"])) > 0
 
 
+def test_train_features_with_extras(log, duck, sql):
+    found = train_features(base_rollup(log), replace(HOT_CFG, extras=True))
+    assert assert_same(found, duck.sql(sql["train_features_extras"])) > 100
+
+
 @pytest.mark.parametrize("entity", ENTITIES, ids=lambda e: e.name)
 def test_whole_blocks(log, duck, sql, entity):
     found = entity_block(base_rollup(log), entity, label_days(CFG, TRAIN), CFG)
