@@ -24,8 +24,8 @@ FIRST_DAY, DAYS = "2024-01-01", 30
 
 
 def skewed_log(spark: SparkSession, rows: int) -> DataFrame:
-    """User 1 in every third row, item 1 in every third of the others' order, the rest spread over
-    as many users and items as there are hundreds of rows. Repeats exactly."""
+    """User 1 and item 1 in a third of the rows each, the rest spread over as many users and items
+    as there are hundreds of rows, all in one category. Repeats exactly."""
     spread = max(10, rows // 100)
 
     def pick(seed: int, n: int):
@@ -43,7 +43,7 @@ def skewed_log(spark: SparkSession, rows: int) -> DataFrame:
         "user_id",
         "item_id",
         "behavior_type",
-        F.pmod("item_id", F.lit(50)).alias("item_category"),
+        F.lit(7).cast("long").alias("item_category"),
         F.concat_ws(" ", F.col("day").cast("string"), F.lpad(F.col("hour").cast("string"), 2, F.lit("0"))).alias("time"),
         "hour",
         "day",
