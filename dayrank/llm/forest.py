@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from dayrank.llm.cells import blocked, by_cell, overlaps
 from dayrank.llm.common import column, importable, map_arrow
 from dayrank.llm.components import components
-from dayrank.llm.neardup import _by_cell, _overlaps
 from dayrank.session import materialize
 
 COSINE = 0.98
@@ -157,7 +157,7 @@ def pairs_within(
     links = np.zeros(count, dtype=np.int64)
     if not len(some):
         return links, []
-    part = linked[np.ix_(some, some)] & (_overlaps([earlier[i] for i in some]) == 0)
+    part = linked[np.ix_(some, some)] & (overlaps([earlier[i] for i in some]) == 0)
     links[some] = part.astype(np.int64) @ weight[some]
     root = np.arange(count)
     joined = []
@@ -208,27 +208,14 @@ def compare(groups: DataFrame, trees: int, leaf: int, cell: int, cosine: float,
             F.concat_ws(":", F.lit("v"), F.size("vector"), "label").alias("group"),
             F.posexplode("codes").alias("at", "code"),
         )
-        counts = member.groupBy("group", "code").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        blocks = F.ceil(F.col("m") / cell).cast("int")
-        block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-        meets = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")),
-        )
         rows = (
-            member.join(counts, ["group", "code"])
-            .withColumn("blocks", blocks)
-            .withColumn("block", block)
-            .select("class", "at", "group", "code", "block", F.explode(meets).alias("pair"))
-            .select(
-                "class", "at", "block", F.concat_ws(":", "group", "code", "pair.low", "pair.high").alias("cell")
-            )
+            blocked(member, ["group", "code"], "class", cell)
             .join(placed, "class")
             .select("cell", "block", "class", "rep", "n", "vector", F.slice("codes", F.lit(1), F.col("at")).alias("earlier"))
         )
 
         def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, rows in _by_cell(batches, ("vector", "earlier")):
+            for _, rows in by_cell(batches, ("vector", "earlier")):
                 if len(rows["rep"]) < 2:
                     continue
                 links, joined = pairs_within(

@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayrank.llm.cells import blocked, by_cell, overlaps
 from dayrank.llm.common import LOWER, column, lookup, map_arrow, slices, utf8
 from dayrank.llm.components import components
 from dayrank.session import materialize
@@ -178,23 +178,8 @@ def prefixes(classes: DataFrame, k: int, similarity: float) -> DataFrame:
 def cells(found: DataFrame, cell: int) -> DataFrame:
     """(cell, block, set_id, rep, n_shingles, sketch, earlier): a class once for each list it is in,
     or for each pair of blocks of a long list. ``earlier`` are its lists before this one."""
-    member = found.select(
-        "rep",
-        "set_id",
-        F.posexplode("prefix").alias("at", "value"),
-    )
-    size = member.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = member.join(size, "value").withColumn("blocks", F.ceil(F.col("n") / cell).cast("int"))
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")),
-    )
-    rows = (
-        placed.withColumn("block", block)
-        .select("set_id", "at", "value", "block", F.explode(meets).alias("pair"))
-        .withColumn("cell", F.concat_ws(":", "value", "pair.low", "pair.high"))
-    )
+    member = found.select("set_id", F.posexplode("prefix").alias("at", "value"))
+    rows = blocked(member, ["value"], "set_id", cell)
     return rows.join(found, "set_id").select(
         "cell",
         "block",
@@ -206,61 +191,11 @@ def cells(found: DataFrame, cell: int) -> DataFrame:
     )
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...]) -> Iterator[tuple[str, dict[str, list[Any]]]]:
-    """The rows of each cell, given rows in the order of cells."""
-    name, rows = None, {}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = column(batch, "cell").to_pylist()
-        values: dict[str, list[Any]] = {}
-        for field in batch.schema.names:
-            if field in lists:
-                array = column(batch, field)
-                flat = array.values.to_numpy(zero_copy_only=False)
-                offsets = array.offsets.to_numpy()
-                values[field] = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            elif field != "cell":
-                values[field] = column(batch, field).to_pylist()
-        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-        for begin, end in zip(cuts, cuts[1:], strict=False):
-            if names[begin] != name:
-                if name is not None:
-                    yield name, rows
-                name, rows = names[begin], {field: [] for field in values}
-            for field, column_values in values.items():
-                part = column_values[begin:end]
-                rows[field] += [x.copy() for x in part] if field in lists else part
-    if name is not None:
-        yield name, rows
-
-
-def _overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """How many values each two of the sets share."""
-    count = len(sets)
-    owner = np.repeat(np.arange(count), [len(s) for s in sets])
-    values, place, often = np.unique(
-        np.concatenate(sets) if count else np.empty(0), return_inverse=True, return_counts=True
-    )
-    number = np.cumsum(often > 1) - 1
-    keep = often[place] > 1
-    owner, place = owner[keep], number[place[keep]]
-    out = np.zeros((count, count), dtype=np.float32)
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, width):
-        low, high = np.searchsorted(place, [begin, begin + width])
-        x = np.zeros((count, width), dtype=np.float32)
-        x[owner[low:high], place[low:high] - begin] = 1
-        out += x @ x.T
-    return out.astype(np.int64)
-
-
 def possible(
     sketches: list[np.ndarray], sizes: np.ndarray, earlier: list[np.ndarray], k: int, similarity: float
 ) -> np.ndarray:
     """Whether each member has a partner in the cell that the estimate does not rule out."""
-    both = _overlaps(sketches)
+    both = overlaps(sketches)
     whole = sizes <= k
     ends = np.array([np.iinfo(np.int64).max if w else s[-1] for s, w in zip(sketches, whole, strict=True)])
     known = np.stack(
@@ -271,7 +206,7 @@ def possible(
     slack[whole[:, None] & whole[None, :]] = 1e-9
     fits = both >= (similarity - slack) * union
     fits &= np.minimum.outer(sizes, sizes) >= (similarity - 1e-9) * np.maximum.outer(sizes, sizes)
-    fits &= _overlaps(earlier) == 0
+    fits &= overlaps(earlier) == 0
     np.fill_diagonal(fits, False)
     return fits.any(axis=1)
 
@@ -329,7 +264,7 @@ def links(
     found = materialize(prefixes(classes, k, share), "prefixes")
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in _by_cell(batches, ("sketch", "earlier")):
+        for name, rows in by_cell(batches, ("sketch", "earlier")):
             if len(rows["rep"]) < 2:
                 continue
             keep = np.flatnonzero(
@@ -354,7 +289,7 @@ def links(
     sets = materialize(full_sets(texts, id_col, text_col, width), "sets").dropDuplicates(["set_id"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_cell(batches, ("full",)):
+        for _, rows in by_cell(batches, ("full",)):
             made = links_within(rows["full"], similarity) if len(rows["rep"]) > 1 else []
             if made:
                 ends = [pa.array([rows["rep"][pair[end]] for pair in made], pa.int64()) for end in (0, 1)]
