@@ -132,7 +132,8 @@ class Forest:
         owner, code = np.concatenate(owners), np.concatenate(codes)
         order = np.lexsort((code, owner))
         bounds = np.searchsorted(owner[order], np.arange(len(units) + 1))
-        return [code[order][a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        code = code[order]
+        return [code[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def _matrix(arrays: list[np.ndarray]) -> np.ndarray:
