@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: what the cluster names in spark.checkpoint.dir, or
     where that is unset, a folder in the session's warehouse, which is shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/.dayrank").rstrip("/")
+    folder = (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/dayrank-intermediate").rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
