@@ -154,19 +154,25 @@ def count_grams(labelled: DataFrame, text_col: str) -> DataFrame:
 
 def slot_counts(grams: DataFrame) -> DataFrame:
     """(kind, slot, a, b, c, d), at most one row a slot. gram: counts of both classes; context:
-    counts and numbers of different followers of both; short: in how many surroundings."""
+    counts and numbers of different followers of both; short: in how many surroundings a 4-gram
+    stands, whatever the class; short_context: the same of all its followers, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram = column(batch, "gram").to_numpy().astype(np.uint64)
+            code = column(batch, "code").to_numpy().astype(np.uint64)
             n0, n1 = (column(batch, x).to_numpy() for x in ("n0", "n1"))
             one, zero = np.ones_like(n0), np.zeros_like(n0)
-            low = np.uint64(0xFFFFFFFF)
+            before = code >> np.uint64(8)
+            is_short = column(batch, "is_short").to_numpy(zero_copy_only=False)
+            of_grams = {
+                "gram": (code, n0, n1, zero, zero),
+                "context": (before, n0, n1, (n0 > 0) * one, (n1 > 0) * one),
+            }
+            of_shorts = {"short": (code, n0, zero, zero, zero), "short_context": (before, n0, one, zero, zero)}
             per_kind = {
-                "gram": (gram, n0, n1, zero, zero),
-                "context": (gram >> np.uint64(8), n0, n1, (n0 > 0) * one, (n1 > 0) * one),
-                "short": (gram & low, one, zero, zero, zero),
-                "short_context": ((gram & low) >> np.uint64(8), one, zero, zero, zero),
+                kind: tuple(x[is_short == short] for x in arrays)
+                for short, kinds in ((False, of_grams), (True, of_shorts))
+                for kind, arrays in kinds.items()
             }
             for kind, (codes, *counts) in per_kind.items():
                 slot, *sums = _summed(_slot(codes, kind), *counts)
@@ -178,7 +184,12 @@ def slot_counts(grams: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"{x} bigint" for x in ("kind", "slot", "a", "b", "c", "d"))
     sums = [F.sum(x).alias(x) for x in "abcd"]
-    return map_arrow(grams, run, schema).groupBy("kind", "slot").agg(*sums)
+    code = F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("code")
+    shorts = grams.groupBy(code).agg(F.count(F.lit(1)).alias("n0"))
+    rows = grams.select(F.col("gram").alias("code"), "n0", "n1", F.lit(False).alias("is_short")).unionByName(
+        shorts.select("code", "n0", F.lit(0).cast("long").alias("n1"), F.lit(True).alias("is_short"))
+    )
+    return map_arrow(rows, run, schema).groupBy("kind", "slot").agg(*sums)
 
 
 class Likelihoods:
@@ -199,15 +210,12 @@ class Likelihoods:
         inverse = np.where(n > 0, 1 / np.maximum(n, 1), 0)
         left_over = np.where(n > 0, np.array(discounts) * types * inverse, 1)
         self.context = np.concatenate([inverse, left_over], axis=1).astype(np.float32)
-        short = array("short", 1)[:, 0]
-        total = array("short_context", 1)[:, 0]
-        self.short = np.maximum(short - short_discount, 0).astype(np.float32)
-        #: The backoff's own remainder is spread evenly over all bytes; a context that is met in
-        #: few surroundings leaves more over.
-        rest = np.where(total > 0, np.minimum(1, short_discount * np.sqrt(total) / np.maximum(total, 1)), 1)
-        self.total = np.stack(
-            [np.where(total > 0, (1 - rest) / np.maximum(total, 1), 0), rest / 256], axis=1
-        ).astype(np.float32)
+        self.short = np.maximum(array("short", 1)[:, 0] - short_discount, 0)
+        total, followers = array("short_context", 2).T
+        #: What the backoff's own discount leaves over is spread evenly over all bytes.
+        rest = np.where(total > 0, short_discount * followers / np.maximum(total, 1), 1)
+        inverse = np.where(total > 0, 1 / np.maximum(total, 1), 0)
+        self.total = np.stack([inverse, rest / 256], axis=1).astype(np.float32)
 
     def log_ratio(self, codes: np.ndarray) -> np.ndarray:
         low = np.uint64(0xFFFFFFFF)
