@@ -23,12 +23,12 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from dayrank.llm.common import column, importable, map_arrow, slices
+from dayrank.llm.common import column, ready, map_arrow, slices
 
 #: A vocabulary file beyond this is refused: every worker holds it.
 VOCABULARY_BYTES = 64 << 20
-#: Encoded pre-tokens a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 300_000
+#: Encoded pre-tokens a worker remembers; bounds memory, not results.
+REMEMBERED = 200_000
 #: Bytes of text, or of ids, worked on at once.
 BATCH_BYTES = 1 << 20
 #: Pre-tokens up to so many bytes have their trees advanced together, so many leaves at once;
@@ -68,11 +68,13 @@ class Tokens:
 
 
 class Vocabulary(dict):
-    """Pre-token (str) to its ids (packed, 4 bytes each), for the pre-tokens met so far."""
+    """Pre-token (str) to its ids (packed, 4 bytes each), for those met lately; ``old`` has those
+    met before. When half of REMEMBERED is reached, what was met lately becomes old."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.split = regex.compile(pattern).findall
+        self.old: dict[str, bytes] = {}
         size = max(ranks.values(), default=-1) + 1
         self.ranks = ranks
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
@@ -96,11 +98,13 @@ class Vocabulary(dict):
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each."""
         split = [self.split(text) if text else [] for text in texts]
-        new = set().union(*split).difference(self)
-        if len(self) + len(new) > REMEMBERED:
+        if 2 * len(self) > REMEMBERED:
+            self.old = dict(self)
             self.clear()
-            new = set().union(*split)
-        self.update(self._merged(list(new)))
+        new = set().union(*split).difference(self)
+        known = new.intersection(self.old)
+        self.update((piece, self.old[piece]) for piece in known)
+        self.update(self._merged(list(new - known)))
         get = self.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
@@ -268,7 +272,7 @@ def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
         raw = file.read(VOCABULARY_BYTES + 1)
     if len(raw) > VOCABULARY_BYTES:
         raise ValueError(f"{path} holds more than {VOCABULARY_BYTES} bytes")
-    return importable(spark).sparkContext.broadcast(raw)
+    return ready(spark).sparkContext.broadcast(raw)
 
 
 def encode(

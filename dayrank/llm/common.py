@@ -21,9 +21,20 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def importable(spark: SparkSession) -> SparkSession:
+#: Rows and bytes that Spark hands to Python at once. Texts are long, and an executor holds a
+#: batch on its way in and on its way out for each task.
+ARROW_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20,
+}
+
+
+def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers on machines that see this folder import the package, wherever the
-    driver was started. On other clusters it is installed or sent with --py-files."""
+    driver was started. On other clusters it is installed or sent with --py-files. Keep Arrow
+    batches small; that changes no result."""
+    for key, most in ARROW_BATCHES.items():
+        spark.conf.set(key, most)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -61,7 +72,7 @@ def map_arrow(
     run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
 ) -> DataFrame:
-    importable(df.sparkSession)
+    ready(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

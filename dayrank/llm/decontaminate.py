@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from dayrank.llm.common import LOWER, column, importable, map_arrow, slices, utf8
+from dayrank.llm.common import LOWER, column, ready, map_arrow, slices, utf8
 
 WINDOW = 10
 #: Words of the benchmark in one automaton; bounds what is collected and broadcast at a time.
@@ -197,7 +197,7 @@ def automata(
 ) -> list:
     """A broadcast automaton for each block of items. An upper bound of an item's words is half
     its bytes and one; an item is never cut, so a single larger one makes a larger block."""
-    spark = importable(benchmark.sparkSession)
+    spark = ready(benchmark.sparkSession)
     bound = F.coalesce(F.octet_length(text_col), F.lit(0)) / 2 + 1
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = benchmark.agg(F.sum(bound)).first()[0] or 0
@@ -307,5 +307,5 @@ def clean(
             ]
             yield pa.RecordBatch.from_arrays(arrays, taken.schema.names)
 
-    importable(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from dayrank.llm.cells import blocked, by_cell, overlaps
-from dayrank.llm.common import column, importable, map_arrow
+from dayrank.llm.common import column, ready, map_arrow
 from dayrank.llm.components import components
 from dayrank.session import materialize
 
@@ -173,7 +173,7 @@ def pairs_within(
 def compare(groups: DataFrame, trees: int, leaf: int, cell: int, cosine: float, spill: float) -> DataFrame:
     """(kind, a, b): kind 0: a class and how many vectors of other classes it links with, in
     parts; kind 1: a link between representatives."""
-    spark = importable(groups.sparkSession)
+    spark = ready(groups.sparkSession)
     size = F.size("vector").alias("width")
     made = []
     largest = groups.groupBy("label", size).agg(F.count(F.lit(1)).alias("n"))

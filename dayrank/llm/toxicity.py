@@ -46,8 +46,8 @@ BROADCAST_LABELS = 2_000_000
 #: Base-2 logarithms of the slots for 5-grams, 4-byte contexts, 4-grams and 3-byte contexts.
 SLOTS = {"gram": 21, "context": 19, "short": 20, "short_context": 18}
 #: Bytes worked on at once, and distinct 5-grams a task gathers before it hands them on.
-CHUNK = 1 << 20
-GATHERED = 2_000_000
+CHUNK = 1 << 18
+GATHERED = 1_000_000
 
 _KINDS = list(SLOTS)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from dayrank.llm.common import column, importable, lookup, sha256_text
+from dayrank.llm.common import column, ready, lookup, sha256_text
 from dayrank.session import fresh_path, materialize
 
 REVISIT_BYTES = 100
@@ -108,7 +108,7 @@ def records(
 
 def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write ``records`` as WARC files under the path."""
-    importable(rows.sparkSession)
+    ready(rows.sparkSession)
     clean_url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html;charset=utf-8\r\nContent-Length: "),
@@ -238,7 +238,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(captures, schema=_ARROW)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    importable(spark)
+    ready(spark)
     return files.select("path", "content").mapInArrow(run, CAPTURES)
 
 
@@ -285,7 +285,7 @@ class LoserTree:
 
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures, globally ordered by URL key, time and page: over the partitions and in each."""
-    spark = importable(runs.sparkSession)
+    spark = ready(runs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, -(-runs.count() // range_rows))
 
