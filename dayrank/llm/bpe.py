@@ -249,7 +249,7 @@ def _read(raw: bytes) -> dict[bytes, int]:
 
 
 def parsed(raw: bytes, pattern: str) -> Vocabulary:
-    """The vocabulary for encoding; a worker keeps the last."""
+    """The vocabulary for encoding; a worker keeps it until its task ends."""
     key = hash((raw, pattern))
     if key not in _PARSED:
         _PARSED.clear()
@@ -289,6 +289,7 @@ def encode(
             values = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
             ids = pa.ListArray.from_arrays(pa.array(offsets), values)
             yield pa.RecordBatch.from_arrays([column(batch, id_col), ids], [id_col, "ids"])
+        _PARSED.clear()  # the worker may go on to other work
 
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
 

@@ -29,6 +29,14 @@ ARROW_BATCHES = {
 }
 
 
+#: Python workers live on from task to task; these make them give freed memory back to the system.
+WORKER_MEMORY = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
+}
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers on machines that see this folder import the package, wherever the
     driver was started. On other clusters it is installed or sent with --py-files. Keep Arrow
@@ -37,6 +45,7 @@ def ready(spark: SparkSession) -> SparkSession:
         spark.conf.set(key, most)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    env.update(WORKER_MEMORY)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
