@@ -12,8 +12,9 @@ text toxic. A logistic regression turns both into a score.
 
 Counts come from all labelled rows of the counting folds, over whole texts, gathered with a
 grouped sum; an expression counts once a text, so that a text that repeats one line a thousand times
-does not decide what that line means. What is sent to the workers has a fixed size: counts in hashed slots. The regression
-is fitted on at most FIT_ROWS rows of a fold that was not counted, chosen by a hash of their id.
+does not decide what that line means. All counts are exact: no two expressions share one. Up to
+BROADCAST_ROWS rows of counts are sent to the workers as sorted arrays; beyond, the distinct 5-grams
+of blocks of texts are joined with them, by the same formula. The regression is fitted on at most FIT_ROWS rows of a fold that was not counted, chosen by a hash of their id.
 
 Defined results: a null or empty text has a mean and passage of 0 and gets the regression's answer
 to that; without toxic or without ordinary rows to learn from every score is the share of toxic rows
@@ -24,8 +25,10 @@ are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,26 +44,26 @@ HELD_OUT = 0
 FIT_FOLD = 4
 FIT_ROWS = 20_000
 PASSAGE = 16
+#: What the shared backoff takes off each of its counts.
+SHORT_DISCOUNT = 0.75
 #: Labels up to so many rows are broadcast to the texts; beyond, both sides are shuffled.
 BROADCAST_LABELS = 2_000_000
-#: Base-2 logarithms of the slots for 5-grams, 4-byte contexts, 4-grams and 3-byte contexts.
-SLOTS = {"gram": 21, "context": 19, "short": 20, "short_context": 18}
+#: Counts of 5-grams, 4-byte contexts, 4-grams and 3-byte contexts are broadcast up to so many rows
+#: in all (24 bytes each at most); beyond, they are joined.
+BROADCAST_ROWS = 4_000_000
+#: The four tables of counts and how many numbers each holds.
+KINDS = {"gram": 2, "context": 4, "short": 1, "short_context": 2}
 #: Bytes worked on at once, and distinct 5-grams a task gathers before it hands them on.
 CHUNK = 1 << 18
 GATHERED = 1_000_000
 
-_KINDS = list(SLOTS)
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_KINDS = list(KINDS)
 
 
 def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % FOLDS
 
 
-def _slot(codes: np.ndarray, kind: str) -> np.ndarray:
-    return ((codes * _MULTIPLIER) >> np.uint64(64 - SLOTS[kind])).astype(np.int64)
-
-
 @dataclass
 class Pieces:
     """Texts cut into pieces of bounded length. A piece begins with up to PASSAGE - 1 bytes of
@@ -152,79 +155,68 @@ def count_grams(labelled: DataFrame, text_col: str) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def slot_counts(grams: DataFrame) -> DataFrame:
-    """(kind, slot, a, b, c, d), at most one row a slot. gram: counts of both classes; context:
+def counts(grams: DataFrame) -> DataFrame:
+    """(kind, code, a, b, c, d), a row for each expression. gram: counts of both classes; context:
     counts and numbers of different followers of both; short: in how many surroundings a 4-gram
     stands, whatever the class; short_context: the same of all its followers, and their number."""
+    one, none = F.count(F.lit(1)), F.lit(0).cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code = column(batch, "code").to_numpy().astype(np.uint64)
-            n0, n1 = (column(batch, x).to_numpy() for x in ("n0", "n1"))
-            one, zero = np.ones_like(n0), np.zeros_like(n0)
-            before = code >> np.uint64(8)
-            is_short = column(batch, "is_short").to_numpy(zero_copy_only=False)
-            of_grams = {
-                "gram": (code, n0, n1, zero, zero),
-                "context": (before, n0, n1, (n0 > 0) * one, (n1 > 0) * one),
-            }
-            of_shorts = {"short": (code, n0, zero, zero, zero), "short_context": (before, n0, one, zero, zero)}
-            per_kind = {
-                kind: tuple(x[is_short == short] for x in arrays)
-                for short, kinds in ((False, of_grams), (True, of_shorts))
-                for kind, arrays in kinds.items()
-            }
-            for kind, (codes, *counts) in per_kind.items():
-                slot, *sums = _summed(_slot(codes, kind), *counts)
-                arrays = [np.full(len(slot), _KINDS.index(kind)), slot, *sums]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.astype(np.int64)) for x in arrays],
-                    ["kind", "slot", "a", "b", "c", "d"],
-                )
-
-    schema = ", ".join(f"{x} bigint" for x in ("kind", "slot", "a", "b", "c", "d"))
-    sums = [F.sum(x).alias(x) for x in "abcd"]
-    code = F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("code")
-    shorts = grams.groupBy(code).agg(F.count(F.lit(1)).alias("n0"))
-    rows = grams.select(F.col("gram").alias("code"), "n0", "n1", F.lit(False).alias("is_short")).unionByName(
-        shorts.select("code", "n0", F.lit(0).cast("long").alias("n1"), F.lit(True).alias("is_short"))
+    def kind(name: str, rows: DataFrame) -> DataFrame:
+        numbers = (F.col(x) if at < KINDS[name] else none.alias(x) for at, x in enumerate("abcd"))
+        return rows.select(F.lit(_KINDS.index(name)).cast("long").alias("kind"), "code", *numbers)
+
+    contexts = grams.groupBy(F.shiftright("gram", 8).alias("code")).agg(
+        F.sum("n0").alias("a"),
+        F.sum("n1").alias("b"),
+        F.count_if(F.col("n0") > 0).alias("c"),
+        F.count_if(F.col("n1") > 0).alias("d"),
     )
-    return map_arrow(rows, run, schema).groupBy("kind", "slot").agg(*sums)
+    shorts = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("code")).agg(one.alias("a"))
+    short_contexts = shorts.groupBy(F.shiftright("code", 8).alias("code")).agg(F.sum("a").alias("a"), one.alias("b"))
+    parts = [grams.selectExpr("gram AS code", "n0 AS a", "n1 AS b"), contexts, shorts, short_contexts]
+    return reduce(DataFrame.unionByName, map(kind, _KINDS, parts))
+
+
+def _ratio(per_kind: dict[str, np.ndarray], discounts: tuple[float, float]) -> np.ndarray:
+    """The log ratio of the models from the counts of a 5-gram and its parts, 0 where unknown."""
+    context, short, short_context = (per_kind[x].astype(float) for x in ("context", "short", "short_context"))
+    gram = np.maximum(per_kind["gram"].astype(float) - np.array(discounts), 0)
+    total, followers = short_context.T
+    #: What the backoff's own discount leaves over is spread evenly over all bytes.
+    rest = np.where(total > 0, SHORT_DISCOUNT * followers / np.maximum(total, 1), 1)
+    shared = np.maximum(short[:, 0] - SHORT_DISCOUNT, 0) / np.maximum(total, 1) + rest / 256
+    n, types = context[:, :2], context[:, 2:]
+    left_over = np.where(n > 0, np.array(discounts) * types / np.maximum(n, 1), 1)
+    p = gram / np.maximum(n, 1) + left_over * shared[:, None]
+    # In 24 bits, so that sums of many are the same whatever stands before them.
+    return (np.log(p[:, 1]) - np.log(p[:, 0])).astype(np.float32)
 
 
 class Likelihoods:
-    """Both models, in arrays of a fixed size."""
-
-    def __init__(self, slots: pa.Table, discounts: tuple[float, float], short_discount: float):
-        kind, slot, *counts = (slots[x].to_numpy() for x in ("kind", "slot", *"abcd"))
-
-        def array(name: str, width: int) -> np.ndarray:
-            out = np.zeros((1 << SLOTS[name], width), dtype=np.float32)
-            mine = kind == _KINDS.index(name)
-            out[slot[mine]] = np.stack([c[mine] for c in counts[:width]], axis=1)
-            return out
-
-        self.gram = np.maximum(array("gram", 2) - np.array(discounts, dtype=np.float32), 0)
-        context = array("context", 4)
-        n, types = context[:, :2], context[:, 2:]
-        inverse = np.where(n > 0, 1 / np.maximum(n, 1), 0)
-        left_over = np.where(n > 0, np.array(discounts) * types * inverse, 1)
-        self.context = np.concatenate([inverse, left_over], axis=1).astype(np.float32)
-        self.short = np.maximum(array("short", 1)[:, 0] - short_discount, 0)
-        total, followers = array("short_context", 2).T
-        #: What the backoff's own discount leaves over is spread evenly over all bytes.
-        rest = np.where(total > 0, short_discount * followers / np.maximum(total, 1), 1)
-        inverse = np.where(total > 0, 1 / np.maximum(total, 1), 0)
-        self.total = np.stack([inverse, rest / 256], axis=1).astype(np.float32)
+    """Both models, in sorted arrays."""
+
+    def __init__(self, rows: pa.Table, discounts: tuple[float, float]):
+        kind, code = rows["kind"].to_numpy(), rows["code"].to_numpy().astype(np.uint64)
+        numbers = [rows[x].to_numpy() for x in "abcd"]
+        self.discounts, self.codes, self.counts = discounts, {}, {}
+        for at, (name, width) in enumerate(KINDS.items()):
+            mine = np.flatnonzero(kind == at)
+            mine = mine[np.argsort(code[mine])]
+            found = np.stack([x[mine] for x in numbers[:width]], axis=1)
+            self.codes[name] = code[mine]
+            self.counts[name] = found.astype(np.uint32) if found.max(initial=0) < 1 << 32 else found
+
+    def _found(self, name: str, codes: np.ndarray) -> np.ndarray:
+        known = self.codes[name]
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return self.counts[name][at] * (known[at] == codes)[:, None]
 
     def log_ratio(self, codes: np.ndarray) -> np.ndarray:
-        low = np.uint64(0xFFFFFFFF)
-        counts = self.gram[_slot(codes, "gram")]
-        context = self.context[_slot(codes >> np.uint64(8), "context")]
-        scale = self.total[_slot((codes & low) >> np.uint64(8), "short_context")]
-        shared = self.short[_slot(codes & low, "short")] * scale[:, 0] + scale[:, 1]
-        p = counts * context[:, :2] + context[:, 2:] * shared[:, None]
-        return np.log(p[:, 1]) - np.log(p[:, 0])
+        codes, back = np.unique(codes, return_inverse=True)
+        short = codes & np.uint64(0xFFFFFFFF)
+        eight = np.uint64(8)
+        parts = dict(zip(_KINDS, (codes, codes >> eight, short, short >> eight), strict=True))
+        return _ratio({name: self._found(name, x) for name, x in parts.items()}, self.discounts)[back]
 
     def features(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(mean log ratio, that of the most toxic passage, bytes) of each text."""
@@ -244,36 +236,133 @@ class Likelihoods:
         return total / np.maximum(size, 1), np.where(size > 0, peak, 0) / PASSAGE, size
 
 
+class Known(Likelihoods):
+    """The log ratios of the 5-grams of one block of texts, all of them."""
+
+    def __init__(self, codes: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.ratios = codes[order], ratios[order]
+
+    def log_ratio(self, codes: np.ndarray) -> np.ndarray:
+        return self.ratios[np.searchsorted(self.codes, codes)]
+
+
 @dataclass
-class Model:
+class Tables:
+    """The counts of both models as a table, and if it is small enough, broadcast."""
+
+    rows: DataFrame
+    discounts: tuple[float, float]
     likelihoods: Broadcast | None
+
+    @classmethod
+    def of(cls, grams: DataFrame) -> Tables | None:
+        """Those of (gram, n0, n1); none without ordinary or without toxic texts."""
+        totals = grams.agg(
+            *(F.sum(F.col(c)).alias(c) for c in ("n0", "n1")),
+            *(F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in ("n0", "n1") for n in (1, 2)),
+        ).first()
+        if not totals["n0"] or not totals["n1"]:
+            return None
+
+        def discount(once: int, twice: int) -> float:
+            return once / (once + 2 * twice) if once and twice else 0.5
+
+        discounts = discount(totals["n0_1"], totals["n0_2"]), discount(totals["n1_1"], totals["n1_2"])
+        rows = materialize(counts(grams), "counts")
+        if rows.count() > BROADCAST_ROWS:
+            return cls(rows, discounts, None)
+        likelihoods = Likelihoods(rows.toArrow(), discounts)
+        return cls(rows, discounts, grams.sparkSession.sparkContext.broadcast(likelihoods))
+
+    def ratios(self, grams: DataFrame) -> DataFrame:
+        """(gram, ratio) of distinct 5-grams, by a join with each kind of counts."""
+        short = F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF))
+        code = (F.col("gram"), F.shiftright("gram", 8), short, F.shiftright(short, 8))
+        found = grams
+        for at, (name, width) in enumerate(KINDS.items()):
+            names = [f"{name}_{k}" for k in range(width)]
+            numbers = [F.col(x).alias(to) for x, to in zip("abcd", names, strict=False)]
+            known = self.rows.filter(F.col("kind") == at).select(F.col("code").alias(f"{name}_code"), *numbers)
+            found = found.join(known, code[at] == F.col(f"{name}_code"), "left").drop(f"{name}_code").fillna(0, names)
+        discounts = self.discounts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                per_kind = {
+                    name: np.stack([column(batch, f"{name}_{k}").to_numpy() for k in range(width)], axis=1)
+                    for name, width in KINDS.items()
+                }
+                ratio = pa.array(_ratio(per_kind, discounts))
+                yield pa.RecordBatch.from_arrays([column(batch, "gram"), ratio], ["gram", "ratio"])
+
+        return map_arrow(found, run, "gram bigint, ratio float")
+
+
+def _with_features(batch: pa.RecordBatch | pa.Table, likelihoods: Likelihoods, text: pa.Array, names: list[str]) -> list:
+    mean, peak, size = likelihoods.features(utf8(text))
+    numbers = [pa.array(mean), pa.array(peak), pa.array(size.astype(np.int64))]
+    return [*(batch.column(batch.schema.get_field_index(c)) for c in names), *numbers]
+
+
+@dataclass
+class Model:
+    tables: Tables | None
     weights: np.ndarray
     share: float
 
     def features(self, docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:
         """(id, mean, peak, n_bytes), and further columns."""
-        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *also))
-        likelihoods = self.likelihoods
+        names = [id_col, *also]
+        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+        schema = f"{kinds}, mean double, peak double, n_bytes bigint"
+        docs = docs.select(*dict.fromkeys([id_col, text_col, *also]))
+        likelihoods = self.tables.likelihoods
+        if likelihoods is None:
+            return self._joined(docs, text_col, names, schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text_col):
-                mean, peak, size = likelihoods.value.features(utf8(column(batch, text_col)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(column(batch, c) for c in (id_col, *also)),
-                        pa.array(mean),
-                        pa.array(peak),
-                        pa.array(size.astype(np.int64)),
-                    ],
-                    [id_col, *also, "mean", "peak", "n_bytes"],
-                )
+                arrays = _with_features(batch, likelihoods.value, column(batch, text_col), names)
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "mean", "peak", "n_bytes"])
 
-        schema = f"{kinds}, mean double, peak double, n_bytes bigint"
-        return map_arrow(docs.select(*dict.fromkeys([id_col, text_col, *also])), run, schema)
+        return map_arrow(docs, run, schema)
+
+    def _joined(self, docs: DataFrame, text_col: str, names: list[str], schema: str) -> DataFrame:
+        """The same with counts that are not broadcast. Texts are dealt into blocks, the slices a
+        task works on; a block gets the ratios of its own 5-grams."""
+        fields = docs.columns
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text_col):
+                block = pa.array(np.full(batch.num_rows, uuid.uuid4().int >> 65, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([block, *batch.columns], ["__block", *fields])
+
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                blocks = column(batch, "__block").to_numpy()
+                for block in np.unique(blocks):
+                    mine = batch.filter(pa.array(blocks == block))
+                    grams = [np.unique(p.grams()[0]) for p in Pieces.of(utf8(column(mine, text_col)))]
+                    gram = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *grams])).astype(np.int64)
+                    arrays = [pa.array(np.full(len(gram), block)), pa.array(gram)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["__block", "gram"])
+
+        def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
+            ratios = Known(known["gram"].to_numpy().astype(np.uint64), known["ratio"].to_numpy())
+            text = texts[text_col].combine_chunks()
+            arrays = _with_features(texts, ratios, text, names)
+            return pa.Table.from_arrays(arrays, [*names, "mean", "peak", "n_bytes"])
+
+        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in fields)
+        dealt = materialize(map_arrow(docs, deal, f"__block bigint, {kinds}"), "blocks")
+        grams = materialize(map_arrow(dealt, distinct, "__block bigint, gram bigint").distinct(), "block-grams")
+        ratios = grams.join(self.tables.ratios(grams.select("gram").distinct()), "gram")
+        return dealt.groupBy("__block").cogroup(ratios.groupBy("__block")).applyInArrow(scored, schema)
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *also: str) -> DataFrame:
         """(id, score 0 to 1, mean, peak), and further columns. ``also`` may not clash with these."""
-        if self.likelihoods is None:
+        if self.tables is None:
             nothing = F.lit(0.0)
             return docs.select(
                 id_col, *also, F.lit(self.share).alias("score"), nothing.alias("mean"), nothing.alias("peak")
@@ -312,7 +401,6 @@ def fit(
     fit_rows: int = FIT_ROWS,
 ) -> Model:
     """A model from the labelled rows that are not held out."""
-    spark = docs.sparkSession
     known = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
         .groupBy(id_col)
@@ -322,23 +410,11 @@ def fit(
     known = lookup(known, BROADCAST_LABELS)
     labelled = docs.select(id_col, text_col).join(known, id_col)
     grams = materialize(count_grams(labelled.filter(fold(id_col) != FIT_FOLD), text_col), "grams")
-    totals = grams.agg(
-        *(F.sum(F.col(c)).alias(c) for c in ("n0", "n1")),
-        *(F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in ("n0", "n1") for n in (1, 2)),
-    ).first()
-    if not totals["n0"] or not totals["n1"]:
+    tables = Tables.of(grams)
+    if tables is None:
         share = known.agg(F.avg("toxic")).first()[0]
         return Model(None, np.zeros(3), float(share or 0.0))
-
-    def discount(once: int, twice: int) -> float:
-        return once / (once + 2 * twice) if once and twice else 0.5
-
-    likelihoods = Likelihoods(
-        slot_counts(grams).toArrow(),
-        (discount(totals["n0_1"], totals["n0_2"]), discount(totals["n1_1"], totals["n1_2"])),
-        0.75,
-    )
-    model = Model(spark.sparkContext.broadcast(likelihoods), np.zeros(3), 0.0)
+    model = Model(tables, np.zeros(3), 0.0)
     chosen = (
         known.filter(fold(id_col) == FIT_FOLD)
         .orderBy(F.xxhash64(id_col), id_col)

@@ -99,6 +99,50 @@ def test_pieces_of_a_long_text_add_up(monkeypatch):
     assert len(codes) == 50
 
 
+def test_counts_are_exact(spark):
+    """Each 5-gram and each of its parts has the counts of its own, however many there are."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2000)) for _ in range(300)]
+    rows = [(t, i % 3 == 0) for i, t in enumerate(texts)]
+    grams = toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic boolean"), "text")
+    wanted = {"gram": {}, "context": {}, "short": {}, "short_context": {}}
+    for text, toxic in rows:
+        padded = b"\n" * 4 + text.encode()
+        for g in {padded[k : k + 5] for k in range(len(text))}:
+            wanted["gram"].setdefault(g, [0, 0])[toxic] += 1
+    for g, n in wanted["gram"].items():
+        of = wanted["context"].setdefault(g[:4], [0, 0, 0, 0])
+        for c in (0, 1):
+            of[c] += n[c]
+            of[2 + c] += n[c] > 0
+        wanted["short"].setdefault(g[1:], [0])[0] += 1
+    for g, (n,) in wanted["short"].items():
+        of = wanted["short_context"].setdefault(g[:3], [0, 0])
+        of[0] += n
+        of[1] += 1
+    known = toxicity.Tables.of(grams).likelihoods.value
+    for kind, each in wanted.items():
+        codes = sorted((int.from_bytes(g, "big"), n) for g, n in each.items())
+        assert known.codes[kind].tolist() == [c for c, _ in codes]
+        assert known.counts[kind].tolist() == [n for _, n in codes]
+
+
+def test_joined_counts_score_alike(spark, monkeypatch):
+    rows, labels = corpus(300)
+    odd = [(None, "zquark"), (1000, None), (1001, ""), (1002, "zquark " * 20_000), (1003, "qqqqq"), (1003, "qqqqq")]
+    docs = documents(spark, rows + odd)
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    columns = ("doc_id", "score", "mean", "peak", "lang", "text")
+    sent = sorted_rows(toxicity.fit(docs, frame).score(docs, "doc_id", "text", "lang", "text"), *columns)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    model = toxicity.fit(docs, frame)
+    assert model.tables.likelihoods is None
+    joined = sorted_rows(model.score(docs, "doc_id", "text", "lang", "text"), *columns)
+    assert len(sent) == len(joined)
+    for a, b in zip(sent, joined, strict=True):
+        assert a[0] == b[0] and a[4:] == b[4:] and np.allclose(a[1:4], b[1:4])
+
+
 def test_query(spark):
     rows = QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
