@@ -10,11 +10,12 @@ A text is compared by length-normalised log-likelihoods: the mean log ratio of t
 the whole text, and over its most toxic passage of PASSAGE bytes, since a few words make a long
 text toxic. A logistic regression turns both into a score.
 
-Counts come from all labelled rows of the counting folds, over whole texts, gathered with a
+Counts come from all labelled rows outside the held-out fold, over whole texts, gathered with a
 grouped sum; an expression counts once a text, so that a text that repeats one line a thousand times
 does not decide what that line means. All counts are exact: no two expressions share one. Up to
 BROADCAST_ROWS rows of counts are sent to the workers as sorted arrays; beyond, the distinct 5-grams
-of blocks of texts are joined with them, by the same formula. The regression is fitted on at most FIT_ROWS rows of a fold that was not counted, chosen by a hash of their id.
+of blocks of texts are joined with them, by the same formula. The regression is fitted on at most FIT_ROWS rows of one fold, chosen by a hash of their id and compared by models
+of the other folds' counts; then that fold's counts are added.
 
 Defined results: a null or empty text has a mean and passage of 0 and gets the regression's answer
 to that; without toxic or without ordinary rows to learn from every score is the share of toxic rows
@@ -120,39 +121,46 @@ def _summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return (codes[first], *(np.add.reduceat(c[order], first) for c in counts))
 
 
-def count_grams(labelled: DataFrame, text_col: str) -> DataFrame:
-    """(gram, n0, n1): in how many ordinary and toxic texts each 5-gram stands. A text that
-    repeats itself counts once (a very long one once for each CHUNK of it)."""
+def count_grams(labelled: DataFrame, text_col: str, *by: str) -> DataFrame:
+    """(gram, n0, n1): in how many ordinary and toxic texts each 5-gram stands; with a boolean
+    column ``by`` also (m0, m1), n for the rows where it is false and m where it is true. A text
+    that repeats itself counts once (a very long one once for each CHUNK of it)."""
+    names = ["n0", "n1", "m0", "m1"][: 2 << len(by)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[np.ndarray]) -> pa.RecordBatch:
             arrays = [pa.array(x.astype(np.int64)) for x in rows]
-            return pa.RecordBatch.from_arrays(arrays, ["gram", "n0", "n1"])
+            return pa.RecordBatch.from_arrays(arrays, ["gram", *names])
 
-        held: list[list[np.ndarray]] = [[], [], []]
+        def nothing() -> list[list[np.ndarray]]:
+            return [[] for _ in range(1 + len(names))]
+
+        held = nothing()
         for batch in slices(batches, text_col):
-            toxic = column(batch, "toxic").to_numpy(zero_copy_only=False).astype(bool)
+            flags = (column(batch, x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("toxic", *by))
+            group = sum(x << k for k, x in enumerate(flags))
             for pieces in Pieces.of(utf8(column(batch, text_col))):
                 codes, piece, own = pieces.grams()
                 # Text and gram in one number: 24 and 40 bits.
                 once = np.unique((pieces.owners[piece].astype(np.uint64) << np.uint64(40) | codes)[own])
-                labels = toxic[(once >> np.uint64(40)).astype(np.int64)]
-                for label in (False, True):
-                    mine = once[labels == label] & np.uint64((1 << 40) - 1)
+                groups = group[(once >> np.uint64(40)).astype(np.int64)]
+                for at in range(len(names)):
+                    mine = once[groups == at] & np.uint64((1 << 40) - 1)
                     gram, n = np.unique(mine, return_counts=True)
                     zero = np.zeros(len(n), dtype=np.int64)
-                    for to, x in zip(held, (gram, *((zero, n) if label else (n, zero))), strict=True):
-                        to.append(x)
+                    for k, to in enumerate(held):
+                        to.append(gram if k == 0 else n if k == at + 1 else zero)
             if sum(map(len, held[0])) > GATHERED:
                 held = [[x] for x in _summed(*map(np.concatenate, held))]
                 if len(held[0][0]) > GATHERED // 2:
                     yield batch_of([x[0] for x in held])
-                    held = [[], [], []]
+                    held = nothing()
         if held[0]:
             yield batch_of(list(_summed(*map(np.concatenate, held))))
 
-    counted = map_arrow(labelled.select(text_col, "toxic"), run, "gram bigint, n0 bigint, n1 bigint")
-    return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    schema = ", ".join(f"{x} bigint" for x in ("gram", *names))
+    counted = map_arrow(labelled.select(text_col, "toxic", *by), run, schema)
+    return counted.groupBy("gram").agg(*(F.sum(x).alias(x) for x in names))
 
 
 def counts(grams: DataFrame) -> DataFrame:
@@ -399,34 +407,47 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     fit_rows: int = FIT_ROWS,
+    held_out: int | None = HELD_OUT,
 ) -> Model:
-    """A model from the labelled rows that are not held out."""
+    """A model from the labelled rows that are not of the held-out fold (none: from all)."""
+    fit_fold = FIT_FOLD if held_out != FIT_FOLD else FIT_FOLD - 1
     known = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
         .groupBy(id_col)
         .agg(F.max(label_col).alias("toxic"))
-        .filter(fold(id_col) != HELD_OUT)
     )
+    if held_out is not None:
+        known = known.filter(fold(id_col) != held_out)
     known = lookup(known, BROADCAST_LABELS)
-    labelled = docs.select(id_col, text_col).join(known, id_col)
-    grams = materialize(count_grams(labelled.filter(fold(id_col) != FIT_FOLD), text_col), "grams")
-    tables = Tables.of(grams)
+    labelled = docs.select(id_col, text_col).join(known, id_col).withColumn("fitting", fold(id_col) == fit_fold)
+    grams = materialize(count_grams(labelled, text_col, "fitting"), "grams")
+    every = grams.select("gram", (F.col("n0") + F.col("m0")).alias("n0"), (F.col("n1") + F.col("m1")).alias("n1"))
+    tables = Tables.of(every)
     if tables is None:
         share = known.agg(F.avg("toxic")).first()[0]
         return Model(None, np.zeros(3), float(share or 0.0))
-    model = Model(tables, np.zeros(3), 0.0)
+    return Model(tables, _weights(docs, known, grams, fit_fold, id_col, text_col, fit_rows), 0.0)
+
+
+def _weights(
+    docs: DataFrame, known: DataFrame, grams: DataFrame, fit_fold: int, id_col: str, text_col: str, fit_rows: int
+) -> np.ndarray:
+    """The regression's weights, from rows of the fitting fold against the counts of the others."""
+    #: Nothing to fit on: a passage that the toxic model likes better by e a byte is toxic.
+    otherwise = np.array([-1.0, 1.0, 1.0])
+    others = Tables.of(grams.select("gram", "n0", "n1").filter("n0 + n1 > 0"))
+    if others is None:
+        return otherwise
     chosen = (
-        known.filter(fold(id_col) == FIT_FOLD)
+        known.filter(fold(id_col) == fit_fold)
         .orderBy(F.xxhash64(id_col), id_col)
         .limit(fit_rows)
         .select(id_col, "toxic")
     )
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    rows = model.features(sample, id_col, text_col, "toxic").toArrow()
+    rows = Model(others, otherwise, 0.0).features(sample, id_col, text_col, "toxic").toArrow()
+    if others.likelihoods is not None:
+        others.likelihoods.unpersist()
     x = np.stack([rows["mean"].to_numpy(), rows["peak"].to_numpy()], axis=1)
     y = rows["toxic"].to_numpy().astype(float)
-    if 0 < y.sum() < len(y):
-        model.weights = regression(x, y)
-    else:  # nothing to fit on: a passage that the toxic model likes better by e a byte is toxic
-        model.weights = np.array([-1.0, 1.0, 1.0])
-    return model
+    return regression(x, y) if 0 < y.sum() < len(y) else otherwise

@@ -127,6 +127,18 @@ def test_counts_are_exact(spark):
         assert known.counts[kind].tolist() == [n for _, n in codes]
 
 
+@pytest.mark.parametrize("held", [toxicity.HELD_OUT, None])
+def test_every_labelled_row_counts(spark, held):
+    """An expression that only one labelled row holds is known, whichever fold that row is of."""
+    rows, labels = corpus(100)
+    marks = [f"{i:03d}#" for i in range(100)]
+    docs = documents(spark, [(i, f"{t} {marks[i]}") for i, t in rows])
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), held_out=held)
+    codes = [int.from_bytes(b" " + m.encode(), "big") for m in marks]
+    known = set(model.tables.likelihoods.value.codes["gram"].tolist())
+    assert [c in known for c in codes] == [held is None or not held_out(i) for i in range(100)]
+
+
 def test_joined_counts_score_alike(spark, monkeypatch):
     rows, labels = corpus(300)
     odd = [(None, "zquark"), (1000, None), (1001, ""), (1002, "zquark " * 20_000), (1003, "qqqqq"), (1003, "qqqqq")]
