@@ -11,7 +11,8 @@ a x b values needs no powers of two and no retries.
 
 Defined results: a null text stays null; a text without valid personal data is returned unchanged;
 a value that matches a pattern but is not valid stays (numbers in the shape of a telephone number
-have no check and count as valid); overlapping matches: the leftmost counts; repeated rows give
+have no check and count as valid), but hides none: where a line holds one, the leftmost valid value of
+any kind is looked for at every place of the line; overlapping matches: the leftmost counts; repeated rows give
 equal results; columns beyond the text are passed through.
 """
 
@@ -27,10 +28,30 @@ ROUNDS = 10
 FIRST_DAY, DAY_FACTORS = "1900-01-01", (17, 4297)
 LAST_DAY = "2099-12-31"
 
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{tail}"
+
+
+#: Of other countries as long as can be.
+_IBAN = "|".join(
+    [*(_iban_of(*x) for x in IBAN_LENGTHS.items()), "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"]
+)
+
 #: Fixed patterns by kind, the first that matches at a place counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
     r"|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
@@ -298,6 +319,42 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return made
 
 
+def rescanned(line: Column, key: str) -> Column:
+    """struct<text, kinds>: a line with its leftmost valid values replaced, though matches that are
+    not valid overlap them. No pattern goes beyond a line."""
+
+    def candidates(kind: str, pattern: str) -> Column:
+        def one(v: Column) -> Column:
+            fixed = F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern")
+            return F.struct(v.alias("value"), *fixed, MAKERS[kind](v, key).alias("new"))
+
+        return F.transform(F.regexp_extract_all(line, F.lit(f"(?=({pattern}))"), 1), one)
+
+    found = [candidates(*x) for x in PATTERNS.items()]
+    valid = F.filter(F.array_distinct(F.concat(*found)), lambda m: m["new"].isNotNull())
+
+    def replaced(valid: Column) -> Column:
+        # Of values that begin at the same place, the longest.
+        longest = F.array_sort(F.transform(valid, lambda m: F.struct(-F.length(m["value"]), m["pattern"], m["value"])))
+        each = F.transform(longest, lambda m: F.concat(F.lit("(?="), m["pattern"], F.lit(r")\Q"), m["value"], F.lit(r"\E")))
+        marks = F.array_join(each, "|")
+        values = F.transform(
+            F.regexp_extract_all(line, marks, F.lit(0)),
+            lambda v: F.filter(valid, lambda m: m["value"] == v)[0],
+        )
+
+        def joined(values: Column) -> Column:
+            pieces = F.split(line, marks, -1)
+            heads = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, m: F.concat(p, m["new"]))
+            text = F.concat(F.array_join(heads, ""), F.element_at(pieces, -1))
+            return F.struct(text.alias("text"), F.transform(values, lambda m: m["kind"]).alias("kinds"))
+
+        none = F.struct(line.alias("text"), F.array().cast("array<string>").alias("kinds"))
+        return F.when(F.size(valid) > 0, _with(values, joined)).otherwise(none)
+
+    return _with(valid, replaced)
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """The documents with personal data replaced in the text. ``kinds_col`` adds the kinds of the
     replaced values in the order of their places; a column of that name goes."""
@@ -326,9 +383,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: s
         ),
         F.element_at(pieces, -1),
     )
-    work = work.withColumn(text_col, F.when(F.col("__made").isNotNull(), joined).otherwise(text))
+    again = F.exists("__made", lambda m: m["new"].isNull())
+    lines = F.transform(F.split(text, "\n", -1), lambda line: rescanned(line, key))
+    work = work.withColumn("__lines", F.when(again, lines))
+    whole = F.array_join(F.transform("__lines", lambda x: x["text"]), "\n")
+    changed = F.when(F.col("__lines").isNotNull(), whole).when(F.col("__made").isNotNull(), joined).otherwise(text)
+    work = work.withColumn(text_col, changed)
     if kinds_col is not None:
-        replaced = F.filter(F.col("__made"), lambda m: m["new"].isNotNull())
         none = F.array().cast("array<string>")
-        work = work.withColumn(kinds_col, F.coalesce(F.transform(replaced, lambda m: m["kind"]), none))
-    return work.drop("__made")
+        kinds = F.when(F.col("__lines").isNotNull(), F.flatten(F.transform("__lines", lambda x: x["kinds"])))
+        kinds = kinds.otherwise(F.transform("__made", lambda m: m["kind"]))
+        work = work.withColumn(kinds_col, F.coalesce(kinds, none))
+    return work.drop("__made", "__lines")

@@ -65,6 +65,24 @@ def test_what_is_not_valid_stays(spark):
     assert all(k == [] for _, k in replaced(spark, texts))
 
 
+def test_what_is_not_valid_hides_nothing(spark):
+    at, es = "AT611904300234573201", "ES9121000418450200051332"
+    texts = [
+        "IBAN: AT61 1904 3002 3457 3201 BIC: BKAUATWW", f"{at} EUR 500", "ES91 2100 0418 4502 0005 1332 2024-01-02",
+        "1111 2222 4041 8949 7460 8795", "QQ12 3456 4041 8949 7460 8795\n42.144.35.254\n", f"{at}\n{es} 999.1.1.1\n\n(DE88370400440532013000)",
+    ]
+    out = replaced(spark, texts)
+    assert [k for _, k in out] == [["iban"], ["iban"], ["iban", "date"], ["card"], ["card", "ip"], ["iban", "iban"]]
+    for (new, _), old in zip(out[:4], texts, strict=False):
+        assert new != old and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old)
+    values = [re.search("AT[0-9 ]*[0-9]|ES(?: ?[0-9]{4}| ?[0-9]{2})+", t)[0].replace(" ", "")[:20] for t, _ in out[:2]]
+    assert values[0] == values[1] != at and iban(values[0])
+    assert iban(out[2][0][:29].replace(" ", "")) and date.fromisoformat(out[2][0][30:])
+    assert out[3][0].startswith("1111 2222 4") and luhn(out[3][0][10:].replace(" ", ""))
+    assert re.fullmatch(r"QQ12 3456 4[0-9 ]{18}\n[0-9.]+\n", out[4][0])
+    assert out[5][0].startswith(values[0] + "\nES") and out[5][0].endswith(" 999.1.1.1\n\n(DE88370400440532013000)")
+
+
 def test_equal_values_are_linked_by_key(spark):
     texts = ["x 4041894974608795 y 42.144.35.254", "42.144.35.254", "z" * 200_000 + " 4041894974608795", "4041894974608795 4041894974608795"]
     first, again, other = replaced(spark, texts), replaced(spark, texts), replaced(spark, texts, "other")
