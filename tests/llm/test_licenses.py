@@ -44,3 +44,15 @@ def test_threshold_and_own_templates(spark):
     found = licenses.scan(docs, threshold=0.6, templates={"t": "a b c d", "u": "z"}).orderBy("doc_id").collect()
     assert [[(s.template, s.dice) for s in r.licenses] for r in found] == [[("t", 1.0)], [("t", 4 / 6)], []]
     assert licenses.scan(documents(spark, [])).count() == 0
+
+
+def test_notices_within_longer_units(spark):
+    full, bsd = licenses.TEMPLATES["mit-full"].split(), licenses.TEMPLATES["bsd-3-clause"].split()
+    code = "\n".join(f"x{k} = call(a{k}, b{k})" for k in range(400))
+    comment = "\n".join("# " + " ".join(full[k : k + 10]) for k in range(0, len(full), 10))
+    parts = "\n\n".join(" ".join(bsd[k : k + 30]) for k in range(0, len(bsd), 30))
+    line = "some words stand before it here and " * 5 + "Released under the MIT License." + " and more of them follow" * 5
+    rows = [(1, f"{comment}\n{code}"), (2, f"intro\n\n{parts}\n\n{code}"), (3, line), (4, code)]
+    found = {r.doc_id: {s.template: s.dice for s in r.licenses} for r in licenses.scan(documents(spark, rows)).collect()}
+    assert found[1]["mit-full"] == 1.0 and found[2]["bsd-3-clause"] == 1.0 and found[3]["mit-short"] == 1.0
+    assert found[4] == {}
