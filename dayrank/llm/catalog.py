@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrank.llm import bpe, decontaminate, forest, licenses, neardup, pii, secret_scan, tool_calls, toxicity, warc
+from dayrank.llm import (
+    bpe,
+    decontaminate,
+    forest,
+    licenses,
+    neardup,
+    pii,
+    quality,
+    secret_scan,
+    tool_calls,
+    toxicity,
+    warc,
+)
 from dayrank.llm.common import read, sha256_text
 from dayrank.llm.sql import SQL
 
@@ -177,6 +189,13 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document, and the verdict of its distances to its language."""
+    judged = quality.rules(read(spark, folder, "documents"))
+    distances = {c: F.round(c, 6) for c in ("class_distance", "word_distance")}
+    return judged.withColumns(distances)
+
+
 QUERIES: dict[str, Query] = {
     "op1_tool_calls": op1_tool_calls,
     "op2_toxicity": op2_toxicity,
@@ -188,4 +207,5 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op10_warc": op10_warc,
+    "op13_quality": op13_quality,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dayrank.llm import quality
 from dayrank.llm.licenses import LOWER, TEMPLATES, THRESHOLD, UPPER
 
 
@@ -135,10 +136,108 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+_CLASSES = [*quality.CLASSES.values(), quality.SPACE]
+
+
+def _class_columns(text: str) -> str:
+    """Characters of each class: what the text loses as the classes are taken out in their order."""
+    columns, left = [], text
+    for at, pattern in enumerate(_CLASSES):
+        rest = f"regexp_replace({left}, {_text(pattern)}, '', 'g')"
+        columns.append(f"(length({left}) - length({rest}))::BIGINT AS k{at}")
+        left = rest
+    return ", ".join([*columns, f"length({left})::BIGINT AS k{len(_CLASSES)}"])
+
+
+#: The classes without the characters between words.
+_KEPT = [at for at in range(len(_CLASSES) + 1) if at != len(_CLASSES) - 1]
+
+
+def _half(p: str, q: str) -> str:
+    return f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) / 2 ELSE 0 END"
+
+
+def _bin(p: str, q: str) -> str:
+    return f"({_half(p, q)} + {_half(q, p)})"
+
+
+_SHARES = ", ".join(f"k{at}::DOUBLE / ({' + '.join(f'k{b}' for b in _KEPT)}) AS k{at}" for at in _KEPT)
+_DOC_SHARES = ", ".join(f"c.k{at}::DOUBLE / word_chars AS k{at}" for at in _KEPT)
+_CLASS_SUM = " + ".join(_bin(f"s.k{at}", f"x.k{at}") for at in _KEPT)
+_WORDS_OF = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP13 = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
+        {_WORDS_OF.format("coalesce(text, '')")} AS w
+    FROM documents),
+classes AS (SELECT r, lang, {_class_columns("t")} FROM docs),
+sized AS (
+    SELECT r, doc_id, docs.lang, t, w, len(w)::BIGINT AS n_words,
+        (length(t) - k{len(_CLASSES) - 1})::BIGINT AS word_chars
+    FROM docs JOIN classes USING (r)),
+each AS (SELECT r, lang, unnest(w) AS word FROM docs),
+counted AS (SELECT lang, word, count(*) AS n FROM each GROUP BY ALL),
+langs AS (
+    SELECT lang, sum(n) AS total, {", ".join(f"sum(k{at})::BIGINT AS k{at}" for at in _KEPT)}
+    FROM (SELECT lang, {_class_columns("word")}, 1 AS n FROM each) GROUP BY lang),
+class_refs AS (SELECT lang, {_SHARES} FROM langs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM counted),
+refs AS (
+    SELECT lang, word, n::DOUBLE / total AS q FROM ranked JOIN langs USING (lang)
+    WHERE place <= {quality.COMMON}),
+hits AS (
+    SELECT r, e.lang, word, count(*)::DOUBLE AS n FROM each e JOIN refs USING (lang, word) GROUP BY ALL),
+terms AS (
+    SELECT r, sum({_bin("p", "q")}) AS each_bin, sum(q) AS present, sum(p) AS used
+    FROM (SELECT h.r, h.n / d.n_words AS p, refs.q FROM hits h JOIN refs USING (lang, word) JOIN sized d USING (r))
+    GROUP BY r),
+known AS (SELECT lang, sum(q) AS q FROM refs GROUP BY lang),
+word_distances AS (
+    SELECT r, sqrt(greatest(round(coalesce(each_bin, 0) + greatest(known.q - coalesce(present, 0), 0) / 2
+        + {_bin("(1 - coalesce(used, 0))", "greatest(1 - known.q, 0)")}, 12), 0)) AS word_distance
+    FROM sized LEFT JOIN terms USING (r) JOIN known USING (lang)
+    WHERE n_words >= {quality.MIN_WORDS}),
+class_distances AS (
+    SELECT s.r, sqrt(greatest(round({_CLASS_SUM}, 12), 0)) AS class_distance
+    FROM (SELECT c.r, c.lang, {_DOC_SHARES} FROM classes c JOIN sized USING (r)
+        WHERE word_chars >= {quality.MIN_CHARS}) s
+    JOIN class_refs x USING (lang)),
+windows AS (
+    SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g
+    FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+repeated AS (
+    SELECT r, count(DISTINCT i + k) AS n
+    FROM (SELECT r, i, unnest([0, 1, 2]) AS k FROM windows
+        JOIN (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1) USING (r, g))
+    GROUP BY r),
+lines AS (
+    SELECT r, count(*) - count(DISTINCT line) AS n
+    FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+measured AS (
+    SELECT doc_id, n_words, word_chars,
+        (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
+        coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
+        class_distance, word_distance
+    FROM sized LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r)
+        LEFT JOIN class_distances USING (r) LEFT JOIN word_distances USING (r)),
+judged AS (
+    SELECT *, n_words < {quality.LEAST_WORDS}
+        OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed
+    FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(class_distance, 0) <= {quality.MOST_CLASS}
+        AND coalesce(word_distance, 0) <= {quality.MOST_WORD} AS kept,
+    round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM judged
+"""
+
 SQL = {
     "op4_licenses": OP4,
     "op6_decontaminate": OP6,
     "op8_near_duplicates": OP8,
     "op9_embedding_near_duplicates": OP9,
     "op10_warc": OP10,
+    "op13_quality": OP13,
 }
