@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dayrank.llm import (
     bpe,
+    centroids,
     decontaminate,
     forest,
     licenses,
@@ -189,6 +190,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of all embeddings, in integers."""
+    return centroids.cluster(read(spark, folder, "embeddings"))
+
+
 def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts of every document, and the verdict of its distances to its language."""
     judged = quality.rules(read(spark, folder, "documents"))
@@ -207,5 +213,6 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op10_warc": op10_warc,
+    "op12_centroids": op12_centroids,
     "op13_quality": op13_quality,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayrank.llm import quality
+from dayrank.llm import centroids, quality
 from dayrank.llm.licenses import LOWER, TEMPLATES, THRESHOLD, UPPER
 
 
@@ -136,6 +136,47 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+_GAP = f"list_sum(list_transform(range(1, {centroids.DIMENSIONS + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+
+
+def _nearest(at: int) -> str:
+    return f"""
+a{at} AS MATERIALIZED (
+    SELECT r, (best % 64)::INTEGER AS cluster, (best // 64)::BIGINT AS distance
+    FROM (SELECT r, min({_GAP}::HUGEINT * 64 + k) AS best FROM kept, c{at} GROUP BY r))"""
+
+
+def _moved(at: int) -> str:
+    return f"""
+s{at} AS (
+    SELECT cluster, i, sum(x[i])::HUGEINT AS s, count(*) AS n
+    FROM (SELECT cluster, x, unnest(range(1, {centroids.DIMENSIONS + 1})) AS i
+        FROM a{at - 1} JOIN kept USING (r)) GROUP BY cluster, i),
+c{at} AS MATERIALIZED (
+    SELECT k, coalesce(moved, c) AS c FROM c{at - 1} LEFT JOIN (
+        SELECT cluster AS k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS moved
+        FROM s{at} GROUP BY cluster) USING (k))"""
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, [floor(256 * v::DOUBLE)::BIGINT for v in embedding] AS x
+    FROM embeddings
+    WHERE len(embedding) = {centroids.DIMENSIONS}
+        AND len([v for v in embedding if v IS NULL OR NOT isfinite(v)]) = 0),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c
+    FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM kept)
+    ORDER BY h, x LIMIT {centroids.K}),
+{",".join(_nearest(at) + "," + _moved(at + 1) for at in range(centroids.ROUNDS))},
+{_nearest(centroids.ROUNDS)},
+sums AS (SELECT cluster, sum(distance)::BIGINT AS total FROM a{centroids.ROUNDS} GROUP BY cluster)
+SELECT vec_id, cluster, distance, total AS cluster_inertia,
+    (SELECT sum(distance)::BIGINT FROM a{centroids.ROUNDS}) AS inertia,
+    sha256(array_to_string([v::VARCHAR for v in c], ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN kept USING (r) JOIN sums USING (cluster) JOIN c{centroids.ROUNDS} ON k = cluster
+"""
+
 _CLASSES = [*quality.CLASSES.values(), quality.SPACE]
 
 
@@ -239,5 +280,6 @@ SQL = {
     "op8_near_duplicates": OP8,
     "op9_embedding_near_duplicates": OP9,
     "op10_warc": OP10,
+    "op12_centroids": OP12,
     "op13_quality": OP13,
 }
