@@ -18,6 +18,7 @@ from dayrank.llm import (
     pii,
     quality,
     secret_scan,
+    spelling,
     tool_calls,
     toxicity,
     warc,
@@ -190,6 +191,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent words of all documents with their near words, forms and roots."""
+    return spelling.variants(read(spark, folder, "documents"))
+
+
 def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of all embeddings, in integers."""
     return centroids.cluster(read(spark, folder, "embeddings"))
@@ -213,6 +219,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
     "op12_centroids": op12_centroids,
     "op13_quality": op13_quality,
 }

@@ -19,12 +19,10 @@ whole. An empty table gives no rows. Other columns of the input are not looked a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayrank.llm.common import small_enough
+from dayrank.llm.common import let, small_enough
 from dayrank.session import materialize
 
 #: A word, and the characters between words.
@@ -58,11 +56,6 @@ BROADCAST_LANGUAGES = 10_000
 SPREAD = 64
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

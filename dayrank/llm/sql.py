@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayrank.llm import centroids, quality
+from dayrank.llm import centroids, quality, spelling
 from dayrank.llm.licenses import LOWER, TEMPLATES, THRESHOLD, UPPER
 
 
@@ -136,6 +136,56 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+#: The CRC-32 of ``bytes`` (a list of integers) with the table ``tab``.
+_CRC = "xor(list_reduce(bytes, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+OP11 = f"""
+WITH RECURSIVE crc_table AS MATERIALIZED (
+    SELECT list(list_reduce(range(8),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) ORDER BY i) AS tab
+    FROM range(256) t(i)),
+runs AS (
+    SELECT d, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS run
+    FROM (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '{spelling.RUN}')) AS run
+        FROM documents)),
+counted_runs AS (
+    SELECT d, run, count(*) AS n FROM runs WHERE length(run) >= {spelling.LEAST_LETTERS} GROUP BY ALL),
+hashed AS (
+    SELECT run, n, {_CRC} AS h
+    FROM (SELECT run, n, flatten([CASE WHEN u < 128 THEN [u] ELSE [192 | (u >> 6), 128 | (u & 63)] END
+            for u in [unicode(x)::BIGINT for x in string_split(d || ':' || run, '')]]) AS bytes
+        FROM counted_runs), crc_table),
+edited AS (
+    SELECT CASE WHEN h % {spelling.SLIP} = 0
+        THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2)
+        ELSE run END AS word, n
+    FROM hashed),
+words AS MATERIALIZED (
+    SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= {spelling.LEAST_LETTERS}
+    GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+replaced AS (SELECT word, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) AS g FROM places),
+shorter AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS g FROM places),
+near AS (
+    SELECT a.word, b.word AS other FROM replaced a JOIN replaced b ON a.g = b.g AND a.word <> b.word
+    UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.g
+    UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.g),
+ranked AS (
+    SELECT near.word, other, n, count(*) OVER (PARTITION BY near.word) AS n_near,
+        row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS place
+    FROM near JOIN words w ON w.word = other),
+forms AS MATERIALIZED (
+    SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near,
+        CASE WHEN ranked.n >= {spelling.RATIO} * words.n THEN other END AS form,
+        CASE WHEN ranked.n >= {spelling.RATIO} * words.n THEN ranked.n END AS form_n
+    FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1),
+up(word, top) AS (
+    SELECT word, word FROM forms
+    UNION SELECT up.word, forms.form FROM up JOIN forms ON forms.word = up.top WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, up.top AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN up ON up.word = f.word JOIN forms last ON last.word = up.top AND last.form IS NULL
+"""
+
 _GAP = f"list_sum(list_transform(range(1, {centroids.DIMENSIONS + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
 
 
@@ -280,6 +330,7 @@ SQL = {
     "op8_near_duplicates": OP8,
     "op9_embedding_near_duplicates": OP9,
     "op10_warc": OP10,
+    "op11_spelling": OP11,
     "op12_centroids": OP12,
     "op13_quality": OP13,
 }
