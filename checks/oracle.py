@@ -401,7 +401,32 @@ WHERE label = 1 OR nth <= 90 * (SELECT count(*) FROM samples WHERE label = 1)"""
         ),
         "gbt_checks": _gbt_checks(),
         "io_roundtrip": _io_roundtrip(),
+        "downsample_bernoulli": _bernoulli(),
+        "quarantine": _quarantine(),
+        "gbt_stored": _query(
+            "SELECT count(*) AS n_scored, 0::BIGINT AS n_different FROM samples", _score_spine(), SCORE_SAMPLES
+        ),
+        "ranking_all": (
+            "SELECT *, row_number() OVER (ORDER BY prob DESC, label_day, user_id, item_id) AS rank "
+            f"FROM ({_train_features(SCORED)})"
+        ),
+        "evaluate_every_k": _evaluate_every_k(),
     }
+    sql["uniq_users_item_sketch"] = f"""
+SELECT label_day, x.b::INTEGER AS behaviour, count(*) FILTER (WHERE x.n > 0) AS n_items,
+       sum(x.n)::BIGINT AS users, 0::BIGINT AS n_beyond
+FROM (SELECT label_day, unnest([{_j([f"{{'b': {b}, 'n': i_uniq_b{b}}}" for b in BEHAVIOURS])}]) AS x
+      FROM ({sql["uniq_users_item"]}))
+GROUP BY ALL"""
+    for name, same in {
+        "train_features_incremental": "train_features",
+        "train_features_placed": "train_features",
+        "long_window_calendar": "long_window_train",
+        "train_labels_calendar": "train_labels",
+        "cnt_user_calendar": "cnt_user_long",
+        "cnt_user_item_calendar": "cnt_user_item_long",
+    }.items():
+        sql[name] = sql[same]
     return sql
 
 
@@ -457,6 +482,50 @@ FROM (SELECT count(*) AS n FROM ({score})) s,
              count(*) FILTER (WHERE label = 0) AS negatives FROM ({train})) t"""
 
 
+def _bernoulli() -> str:
+    """Each negative whose hash, as a number from 0 to 1, is below the share wanted."""
+    return _train(
+        """,
+sized AS (SELECT count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives
+          FROM samples),
+tossed AS (SELECT samples.*, label = 1 OR
+  ('0x' || substr(md5(concat_ws('|', CAST(label_day AS VARCHAR), user_id, item_id, 10)), 1, 13))::BIGINT::DOUBLE
+    / 4503599627370496::DOUBLE < least(1.0::DOUBLE, (90 * positives)::DOUBLE / negatives::DOUBLE) AS keep
+  FROM samples, sized)
+SELECT label_day, user_id, item_id, item_category, label, n::DOUBLE / drawn::DOUBLE AS weight
+FROM tossed JOIN (SELECT label, count(*) AS n, count(*) FILTER (WHERE keep) AS drawn FROM tossed GROUP BY label)
+  USING (label) WHERE keep""",
+        TRAIN_SAMPLES,
+    ).replace("\n,\nsized", ",\nsized")
+
+
+def _quarantine() -> str:
+    return f"""
+WITH {LOG}
+SELECT CASE (user_id + item_id) % 40 WHEN 1 THEN 'unparsable' WHEN 2 THEN 'bad_time' WHEN 3 THEN 'bad_time'
+       WHEN 4 THEN 'bad_time' ELSE 'taken' END AS reason, count(*) AS n_rows
+FROM raw GROUP BY 1"""
+
+
+def _evaluate_every_k() -> str:
+    """Metrics of the best K of the pairs scored on 21 January, for every K."""
+    scored = _score_features(SCORED, "2024-01-21")
+    return _query(
+        """
+SELECT user_id, item_id, prob, k, tp, actual, precision, recall,
+       CASE WHEN tp > 0 THEN 2 * precision * recall / (precision + recall) END AS f_score
+FROM (SELECT *, tp::DOUBLE / k AS precision, tp::DOUBLE / actual AS recall
+      FROM (SELECT user_id, item_id, prob, (SELECT count(*) FROM bought) AS actual,
+                   row_number() OVER best AS k,
+                   (sum(CASE WHEN b.u IS NULL THEN 0 ELSE 1 END) OVER best)::BIGINT AS tp
+            FROM scored LEFT JOIN (SELECT user_id AS u, item_id AS i FROM bought) b ON u = user_id AND i = item_id
+            WINDOW best AS (ORDER BY prob DESC, user_id, item_id ROWS UNBOUNDED PRECEDING)))""",
+        f"\nscored AS (SELECT user_id, item_id, prob FROM ({scored}))",
+        "\nbought AS (SELECT DISTINCT user_id, item_id FROM log"
+        " WHERE day = DATE '2024-01-22' AND behavior_type = 4)",
+    )
+
+
 def _io_roundtrip() -> str:
     def totals(name: str, day: str, source: str) -> str:
         return (

@@ -1,4 +1,4 @@
-"""``python -m dayrank prepare|features|rank|evaluate``, or ``spark-submit run.py`` with the same."""
+"""``python -m dayrank prepare|features|update|train|score|rank|evaluate``, or ``spark-submit run.py`` with the same."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ from dayrank.sources.behaviour import CSV, PARQUET
 JOBS = {
     "prepare": (jobs.prepare_job, ("log", "items", "out")),
     "features": (jobs.features_job, ("prepared", "train_out", "score_out")),
+    "train": (jobs.train_job, ("train", "model")),
+    "score": (jobs.score_job, ("model", "score", "out")),
+    "update": (jobs.update_job, ("prepared", "store")),
     "rank": (jobs.rank_job, ("train", "score", "out")),
     "evaluate": (jobs.evaluate_job, ("prepared", "submission", "out")),
 }
@@ -38,6 +41,12 @@ def main(argv: list[str] | None = None) -> None:
                         help="only touches of this behaviour make a sample; may be repeated")
     parser.add_argument("--extras", action="store_true",
                         help="append the extra feature families to the feature tables")
+    parser.add_argument("--sampling", choices=("exact", "bernoulli"), default=defaults.sampling,
+                        help="how negatives are chosen; bernoulli rows have weights")
+    parser.add_argument("--approximate-users", action="store_true",
+                        help="count an item's users by sketches")
+    parser.add_argument("--log-day", type=date.fromisoformat, action="append",
+                        help="of update: a log day that arrived or changed; may be repeated")
     parser.add_argument("--with-prob", action="store_true",
                         help="write the probability beside each ranked pair")
     parser.add_argument(
@@ -60,12 +69,18 @@ def main(argv: list[str] | None = None) -> None:
         n_label_days=args.label_days,
         slot=args.slot,
         extras=args.extras,
+        sampling=args.sampling,
+        approximate_users=args.approximate_users,
         sample_behaviours=tuple(args.sample_behaviour) if args.sample_behaviour else None,
     )
     spark = SparkSession.builder.appName(f"dayrank-{args.command}").getOrCreate()
     job, paths = JOBS[args.command]
-    more = {"with_prob": args.with_prob} if args.command == "rank" else {}
-    job(spark, *(getattr(args, path) for path in paths), cfg, args.format, **more)
+    where = [getattr(args, path) for path in paths]
+    if args.command == "update":
+        job(spark, *where, args.log_day or [], cfg)
+        return
+    more = {"with_prob": args.with_prob} if args.command in ("rank", "score") else {}
+    job(spark, *where, cfg, args.format, **more)
 
 
 if __name__ == "__main__":

@@ -27,6 +27,13 @@ class FeatureConfig:
     #: Append the extra families to the features. They need the sub-windows 5 and 3.
     extras: bool = False
     negatives_per_positive: int = 90
+    #: Which negatives a training set takes: "exact", the first by a seeded hash up to the count, or
+    #: "bernoulli", each with the same chance, in one pass, with weights.
+    sampling: str = "exact"
+    #: Count an item's users by sketches that are merged by window, instead of exactly.
+    approximate_users: bool = False
+    #: Size of such a sketch: 12 gives a relative standard error of 1.6 %.
+    sketch_lg_k: int = 12
     top_k: int = 700
     seed: int = 10
     #: What runs within reason, see README; each round costs a pass over the training set.

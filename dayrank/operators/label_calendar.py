@@ -79,6 +79,11 @@ def label_days(cfg: FeatureConfig, as_of: str) -> list[LabelDay]:
     return found
 
 
+def label_day(day: date, cfg: FeatureConfig) -> LabelDay:
+    """A single training label day with its windows."""
+    return _label_day(day, cfg, TRAIN)
+
+
 def day_range(days: Sequence[LabelDay]) -> tuple[date, date]:
     """First and last log day that any window or label needs."""
     return min(d.long_from for d in days), max(d.label_day for d in days)

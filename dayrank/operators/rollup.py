@@ -60,11 +60,14 @@ def daily_counts(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rollup.groupBy(*keys, "day").agg(*_counts()).repartition(*keys)
 
 
-def entity_cells(rollup: DataFrame, entity: Entity) -> DataFrame:
-    """Counts per key, day, hour and behaviour, with a key's rows in one partition."""
+def entity_cells(rollup: DataFrame, entity: Entity, placed: bool = False) -> DataFrame:
+    """Counts per key, day, hour and behaviour, with a key's rows in one partition. A rollup that is
+    ``placed`` has its users' rows together already and is not moved."""
     keys = entity.keys
+    if placed and not is_pair(keys):
+        return cell_rollup(rollup, keys)
     if is_pair(keys):
-        return rollup.repartition(*keys).groupBy(*keys, *GRAIN).agg(
+        return (rollup if placed else rollup.repartition(*keys)).groupBy(*keys, *GRAIN).agg(
             F.sum("cnt").alias("cnt"), F.min("item_category").alias("item_category")
         )
     return cell_rollup(rollup, keys).repartition(*keys)

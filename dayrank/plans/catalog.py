@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayrank.functions import add_purchase_flag
-from dayrank.operators import blocks
-from dayrank.operators.evaluate import best_per_pair
+from dayrank.operators import blocks, calendar_data
+from dayrank.operators.calendar_data import calendar_rows
+from dayrank.operators.distinct_sketches import compare, estimated_users, user_sketches
+from dayrank.operators.evaluate import actual_pairs, best_per_pair, evaluate_every_k
 from dayrank.operators.label_calendar import (
     SCORE,
     TRAIN,
@@ -22,15 +24,19 @@ from dayrank.operators.label_calendar import (
     spine,
     within_days,
 )
-from dayrank.operators.model import predict, train, vectors
+from dayrank.operators.layout import by_user
+from dayrank.operators.model import load_model, predict, save_model, train, vectors
 from dayrank.operators.prepare import long_window, one_day_slice, prepare_log, purchases
-from dayrank.operators.ranking import top_k, with_activity_score
+from dayrank.operators.quarantine import accepted, counts, quarantined
+from dayrank.operators.ranking import top_k, whole_ranking, with_activity_score
 from dayrank.operators.rollup import base_rollup, daily_counts, is_pair, unit_rollup
 from dayrank.operators.samples import samples, samples_per_day
-from dayrank.operators.sampling import downsample
+from dayrank.operators.sampling import bernoulli, downsample
 from dayrank.operators.uniques import unique_users
 from dayrank.plans.features import score_features, train_features, training_set
 from dayrank.plans.jobs import evaluate_frame, rank_frame
+from dayrank.plans.placed import placed_train_features
+from dayrank.plans.store import features_table, update, window_days
 from dayrank.schema import (
     CATEGORY,
     ENTITIES,
@@ -291,6 +297,112 @@ def _io_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+def _exact_users(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = daily_counts(_rollup(spark, folder, USER_ITEM), USER_ITEM.keys)
+    return unique_users(pairs, ITEM, TRAIN_DAYS, CFG)
+
+
+def _sketched_users(spark: SparkSession, folder: str) -> DataFrame:
+    """How far distinct users by merged daily sketches are from the exact ones: no item further off than
+    four standard errors."""
+    stored = materialize(user_sketches(_log(spark, folder), CFG), "sketches", "day")
+    return compare(_exact_users(spark, folder), estimated_users(stored, TRAIN_DAYS, CFG), CFG)
+
+
+def _bernoulli(spark: SparkSession, folder: str) -> DataFrame:
+    """All positives and each negative with the same chance, with weights."""
+    return bernoulli(materialize(_samples(True)(spark, folder), "samples"), CFG)
+
+
+def _train_features_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of a store that was made for a calendar two label days ago and then brought up to date day
+    by day; the first day of the last window is delivered twice, the first time without its purchases."""
+    log = materialize(_log(spark, folder), "prepared", "day")
+    path = fresh_path(spark, "store")
+    late = TRAIN_DAYS[0].long_from
+    early = log.filter((F.col("day") != F.lit(late)) | (F.col("behavior_type") != 4))
+    newest = [d.label_day for d in TRAIN_DAYS[:2]]
+    before = replace(CFG, last_label_day=TRAIN_DAYS[2].label_day)
+    log_days = window_days(label_days(before, TRAIN))
+    known = update(path, early, log_days, before)
+    for day in sorted(newest):
+        now = replace(CFG, last_label_day=day)
+        new = [d for d in window_days(label_days(now, TRAIN)) if d not in log_days]
+        update(path, early, new, now, known)
+        log_days, known = log_days + new, [d.label_day for d in label_days(now, TRAIN)]
+    update(path, log, [late], CFG, known)
+    return features_table(spark, path, CFG)
+
+
+def _calendar(spark: SparkSession) -> DataFrame:
+    """The calendars of training and scoring as a stored table, of which training's is read."""
+    both = calendar_rows(spark, "train", TRAIN_DAYS, CFG).unionByName(
+        calendar_rows(spark, "score", SCORE_DAYS, CFG)
+    )
+    return materialize(both, "calendar").filter(F.col("run") == "train")
+
+
+def _by_calendar(use: Callable[[DataFrame, DataFrame], DataFrame], counted: bool = False) -> Query:
+    """A query over the log, or its rollup, stored by day, and a stored calendar."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        log = _log(spark, folder)
+        return use(materialize(base_rollup(log) if counted else log, "by-day", "day"), _calendar(spark))
+
+    return run
+
+
+def _train_features_placed(spark: SparkSession, folder: str) -> DataFrame:
+    rollup = _shared_rollup(spark, folder, TRAIN_DAYS)
+    return placed_train_features(by_user(rollup, CFG), CFG)
+
+
+def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """A raw log in which some users, times and hours are made unreadable, written as CSV and read back:
+    rows taken, and rows quarantined by reason."""
+    path = fresh_path(spark, "raw")
+    raw = raw_log(tune(spark), folder, CFG)
+    turn = (F.col("user_id") + F.col("item_id")) % 40
+    broken = raw.withColumns({
+        "user_id": F.when(turn == 1, F.concat(F.lit("u"), F.col("user_id"))).otherwise(F.col("user_id").cast("string")),
+        "time": F.when(turn == 2, F.lit("yesterday"))
+        .when(turn == 3, F.concat(F.substring("time", 1, 11), F.lit("31")))
+        .when(turn == 4, F.lit(None))
+        .otherwise(F.col("time")),
+    })
+    broken.write.csv(path, header=True)
+    rows = io.read_raw_log_checked(spark, path)
+    taken = accepted(rows).agg(F.lit("taken").alias("reason"), F.count(F.lit(1)).alias("n_rows"))
+    return taken.unionByName(counts(quarantined(rows)))
+
+
+def _gbt_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """A model scored as it was trained, and after it was stored and loaded: rows, and rows whose
+    probability differs."""
+    rollup = _shared_rollup(spark, folder, TRAIN_DAYS + SCORE_DAYS)
+    scoring = materialize(score_features(rollup, CFG), "scoring")
+    model = train(materialize(training_set(rollup, CFG), "training-set"), CFG)
+    path = fresh_path(spark, "model")
+    save_model(model, path, CFG)
+    found = predict(load_model(spark, path, CFG), scoring, CFG).withColumnRenamed("prob", "stored")
+    both = predict(model, scoring, CFG).join(found, list(SAMPLE_KEY))
+    return both.agg(
+        F.count(F.lit(1)).alias("n_scored"),
+        F.count_if(~F.col("prob").eqNullSafe(F.col("stored"))).alias("n_different"),
+    )
+
+
+def _ranking_all(spark: SparkSession, folder: str) -> DataFrame:
+    scored = materialize(with_activity_score(_train_features(spark, folder)), "scored")
+    return whole_ranking(scored, ties=ALL_TIES)
+
+
+def _evaluate_every_k(spark: SparkSession, folder: str) -> DataFrame:
+    rollup = _shared_rollup(spark, folder, label_days(EVALUATION_CFG, SCORE))
+    scored = with_activity_score(score_features(rollup, EVALUATION_CFG))
+    return evaluate_every_k(scored, actual_pairs(_log(spark, folder), EVALUATION_CFG.last_label_day))
+
+
 def catalog() -> dict[str, Query]:
     found: dict[str, Query] = {
         "prep_log": _log,
@@ -318,9 +430,7 @@ def catalog() -> dict[str, Query]:
         found[f"ratio_{entity.name}"] = _ratios(entity, "long")
         found[f"ratio_d5_{entity.name}"] = _ratios(entity, "d5")
         found[f"ratio_d3_{entity.name}"] = _ratios(entity, "d3")
-    found["uniq_users_item"] = lambda s, d: unique_users(
-        daily_counts(_rollup(s, d, USER_ITEM), USER_ITEM.keys), ITEM, TRAIN_DAYS, CFG
-    )
+    found["uniq_users_item"] = _exact_users
     found["hours_user"] = _extremes(USER, ("hour_min", "hour_max", "hour_range"))
     for entity in (USER_ITEM, USER_CATEGORY):
         found[f"hours_{entity.name}"] = _extremes(entity, ("hour_min", "hour_max"))
@@ -352,5 +462,19 @@ def catalog() -> dict[str, Query]:
         "evaluate_top": _evaluate_best(False),
         "evaluate_repeated": _evaluate_best(True),
         "io_roundtrip": _io_roundtrip,
+        "uniq_users_item_sketch": _sketched_users,
+        "downsample_bernoulli": _bernoulli,
+        "train_features_incremental": _train_features_incremental,
+        "long_window_calendar": _by_calendar(calendar_data.long_window),
+        "train_labels_calendar": _by_calendar(lambda log, days: calendar_data.samples(log, days, CFG)),
+        "train_features_placed": _train_features_placed,
+        "quarantine": _quarantine,
+        "gbt_stored": _gbt_stored,
+        "ranking_all": _ranking_all,
+        "evaluate_every_k": _evaluate_every_k,
     }
+    for entity in (USER, USER_ITEM):
+        found[f"cnt_{entity.name}_calendar"] = _by_calendar(
+            lambda rollup, days, e=entity: calendar_data.window_counts(rollup, e, "long", days), counted=True
+        )
     return found

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
 from dayrank.functions import aliased, averages, profile, ratios
-from dayrank.operators.label_calendar import SCORE, TRAIN, label_days, within_days
+from dayrank.operators.distinct_sketches import estimated_users, user_sketches
+from dayrank.operators.label_calendar import SCORE, TRAIN, LabelDay, label_days, within_days
 from dayrank.operators.rolling import sample_day_block
 from dayrank.operators.rollup import daily_counts, daily_profile, entity_cells
 from dayrank.operators.samples import samples
-from dayrank.operators.sampling import chosen
+from dayrank.operators.sampling import chosen, class_fractions, class_weights, drawn, weighted
 from dayrank.operators.skew import fits, measured_keys, spread_join
 from dayrank.operators.uniques import unique_users
 from dayrank.schema import (
@@ -31,16 +34,27 @@ from dayrank.schema import (
 from dayrank.session import materialize
 
 
-def train_features(rollup: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """Labelled samples of all label days with their 426 features."""
-    return _features(rollup, cfg, TRAIN)
+def train_features(
+    rollup: DataFrame,
+    cfg: FeatureConfig,
+    days: Sequence[LabelDay] | None = None,
+    sketches: DataFrame | None = None,
+) -> DataFrame:
+    """Labelled samples with their 426 features: of all label days, or of ``days``. With
+    ``cfg.approximate_users`` distinct users come from ``sketches`` by day, or else from sketches of
+    the rollup."""
+    return _features(rollup, cfg, TRAIN, days=days, sketches=sketches)
 
 
 def training_set(rollup: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """Training features of all positives and the downsampled negatives. The choice needs keys
-    and labels only, so it comes before the joins: dropped samples never meet their blocks."""
+    """Training features of all positives and the downsampled negatives, with weights where they are
+    a Bernoulli sample. The choice needs keys and labels only, so it comes before the joins: dropped
+    samples never meet their blocks."""
     found = samples(rollup, label_days(cfg, TRAIN), cfg, labelled=True)
     labels = materialize(found.select(*SAMPLE_KEY, "label"), "labels")
+    if cfg.sampling == "bernoulli":
+        keep = drawn(class_fractions(labels, cfg), cfg)
+        return weighted(_features(rollup, cfg, TRAIN, keep), class_weights(labels, keep))
     return _features(rollup, cfg, TRAIN, chosen(labels, cfg))
 
 
@@ -54,6 +68,8 @@ def _features(
     cfg: FeatureConfig,
     as_of: str,
     keep: Column | None = None,
+    days: Sequence[LabelDay] | None = None,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Samples with all blocks.
 
@@ -65,7 +81,7 @@ def _features(
 
     ``rollup`` is read by every block: hand in a materialized one, partitioned by day.
     """
-    days = label_days(cfg, as_of)
+    days = label_days(cfg, as_of) if days is None else list(days)
     rollup = within_days(rollup, days)
     labelled = as_of == TRAIN
 
@@ -94,8 +110,12 @@ def _features(
     if keep is not None:
         frame = frame.filter(keep)
 
+    if cfg.approximate_users:
+        users = estimated_users(user_sketches(rollup, cfg) if sketches is None else sketches, days, cfg)
+    else:
+        users = unique_users(pair_days, ITEM, days, cfg)
     item = sample_day_block(daily_counts(rollup, ITEM.keys), ITEM, days, cfg).join(
-        unique_users(pair_days, ITEM, days, cfg), ["label_day", "item_id"], "left"
+        users, ["label_day", "item_id"], "left"
     )
     category = sample_day_block(daily_counts(rollup, CATEGORY.keys), CATEGORY, days, cfg)
     profile_days = max(PROFILE_DAYS) if cfg.extras else 1
@@ -126,10 +146,10 @@ def _features(
         context = joined(context, block, entity, USER_CATEGORY.keys)
     for entity, block in ((ITEM, item), (USER_CATEGORY, context)):
         frame = joined(frame, block, entity, USER_ITEM.keys)
-    return _named(frame, cfg, labelled)
+    return named(frame, cfg, labelled)
 
 
-def _named(frame: DataFrame, cfg: FeatureConfig, labelled: bool) -> DataFrame:
+def named(frame: DataFrame, cfg: FeatureConfig, labelled: bool) -> DataFrame:
     """The fixed column list: derived features added, profiles expanded, nulls filled."""
     derived = {"u_hour_range": "u_hour_max - u_hour_min"}
     for entity in (USER, ITEM, CATEGORY):

@@ -17,8 +17,10 @@ SETTINGS = {
     # fused into one method runs ten times slower than the same one left unfused.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
-#: Intermediate tables written since the innermost ``temporary_tables`` began.
+#: Intermediate tables written since the innermost ``temporary_tables`` began: paths, and names in the
+#: catalogue.
 _written: list[list[str]] = []
+_named: list[list[str]] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -59,15 +61,34 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_table(name: str, path: str) -> None:
+    """Let the innermost ``temporary_tables`` remove a table of the catalogue and its files."""
+    if _written:
+        _written[-1].append(path)
+        _named[-1].append(name)
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a path, if there is one, through the file system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path))
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Remove the tables that ``materialize`` writes inside the block when it ends. For a job that
     has written its output by then; a frame read from them is of no use afterwards."""
     _written.append([])
+    _named.append([])
     try:
         yield
     finally:
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _named.pop():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         for name in _written.pop():
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+            remove(spark, name)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from dayrank.config import FeatureConfig
 from dayrank.operators.label_calendar import SCORE, TRAIN, day_range, label_days
+from dayrank.operators.quarantine import MALFORMED
 from dayrank.schema import ITEMS, PREPARED_LOG, RAW_LOG, SUBMISSION, features_schema
 
 PARQUET = "parquet"
@@ -23,6 +24,36 @@ def read_raw_log(spark: SparkSession, path: str, fmt: str = CSV) -> DataFrame:
     return _read(spark, path, RAW_LOG, fmt)
 
 
+def read_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV rows with a further column that holds the whole line where it does not fit the schema.
+
+    The reader only converts columns that a plan needs, and sees bad values in no others. So the further
+    column is made to need all of them, and a row is judged the same in every plan.
+    """
+    with_line = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    rows = (
+        spark.read.schema(with_line)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .csv(path, header=True, enforceSchema=False)
+    )
+    needs_all = F.length(F.concat_ws("", *(F.col(c).cast("string") for c in schema.fieldNames()))) >= 0
+    return rows.withColumn(MALFORMED, F.when(needs_all, F.col(MALFORMED)))
+
+
+def read_raw_log_checked(spark: SparkSession, path: str) -> DataFrame:
+    return read_checked(spark, path, RAW_LOG)
+
+
+def read_items_checked(spark: SparkSession, path: str) -> DataFrame:
+    return read_checked(spark, path, ITEMS)
+
+
+def write_quarantine(quarantine: DataFrame, path: str) -> None:
+    """The quarantined lines as Parquet, a folder per source and reason."""
+    quarantine.write.mode("overwrite").partitionBy("source", "reason").parquet(path)
+
+
 def read_items(spark: SparkSession, path: str, fmt: str = CSV) -> DataFrame:
     return _read(spark, path, ITEMS, fmt)
 
