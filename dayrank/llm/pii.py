@@ -11,19 +11,22 @@ a x b values needs no powers of two and no retries.
 
 Defined results: a null text stays null; a text without valid personal data is returned unchanged;
 a value that matches a pattern but is not valid stays (numbers in the shape of a telephone number
-have no check and count as valid), but hides none: where a line holds one, the leftmost valid value of
-any kind is looked for at every place of the line; overlapping matches: the leftmost counts; repeated rows give
+have no check and count as valid), but hides none: where a text holds one, the leftmost valid value of
+any kind is looked for at every place of it, piece by piece (see CUTS); overlapping matches: the leftmost counts; repeated rows give
 equal results; columns beyond the text are passed through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Most steps of a walk. At least a fifth of the values it goes through are inside.
+WALK = 256
 #: Days that dates are permuted within, as two factors of their number.
 FIRST_DAY, DAY_FACTORS = "1900-01-01", (17, 4297)
 LAST_DAY = "2099-12-31"
@@ -85,6 +88,17 @@ def feistel(
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one)
 
 
+def walked(start: Column, step: Callable[[Column], Column], inside: Callable[[Column], Column]) -> Column:
+    """A permutation of the values inside a set out of one of a larger set: its steps until they are inside
+    again. Null if that takes more than WALK steps, of which the chance is below 1e-24."""
+    end = F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)),
+        step(start),
+        lambda state, _: F.when(inside(state), state).otherwise(step(state)),
+    )
+    return _with(end, lambda e: F.when(inside(e), e))
+
+
 def _number(digits: Column) -> Column:
     return F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
 
@@ -234,7 +248,8 @@ def _ssn(value: Column, key: str) -> Column:
 
 def _phone(value: Column, key: str) -> Column:
     """Ten digits of the North American plan (area and exchange from 200) stay in that plan, with
-    their country code; of other numbers all digits behind the first two are permuted."""
+    their country code; of other numbers all digits behind the first two are permuted, and they stay
+    outside of it."""
     digits = _digits(value)
 
     def plan(ten: Column) -> Column:
@@ -251,18 +266,23 @@ def _phone(value: Column, key: str) -> Column:
 
         return _with(moved, made)
 
-    in_plan = digits.rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$")
+    def in_plan(number: Column) -> Column:
+        return number.rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$")
+
+    def other(number: Column) -> Column:
+        tail = F.substring(number, F.lit(3), F.length(number))
+        return F.concat(F.substring(number, 1, 2), permuted_digits(tail, key, "digits"))
+
     kept = F.substring(digits, F.lit(1), F.length(digits) - 10)
-    other = F.concat(
-        F.substring(digits, 1, 2),
-        permuted_digits(F.substring(digits, F.lit(3), F.length(digits)), key, "digits"),
-    )
-    moved = F.when(in_plan, F.concat(kept, _with(F.right(digits, F.lit(10)), plan))).otherwise(other)
+    inside = F.concat(kept, _with(F.right(digits, F.lit(10)), plan))
+    outside = walked(digits, other, lambda number: ~in_plan(number))
+    moved = F.when(in_plan(digits), inside).otherwise(outside)
     return F.when(F.length(digits).between(8, 15), _refilled(value, moved))
 
 
 def _date(value: Column, key: str) -> Column:
-    """Year first, day first, or where only that makes a date, month first."""
+    """Year first, day first, or where only that makes a date, month first: those are the dates with a day
+    above 12, and they stay among these, so that no two ways of reading share a pseudonym."""
     a, b, year = F.substring(value, 1, 2), F.substring(value, 4, 2), F.substring(value, 7, 4)
     iso = value.rlike("^[0-9]{4}-")
     day_first = F.concat_ws("-", year, b, a).try_cast("date")
@@ -271,12 +291,18 @@ def _date(value: Column, key: str) -> Column:
     first, last = F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")
     number = F.datediff(day, first).cast("long")
     small, large = DAY_FACTORS
-    moved = feistel(
-        F.floor(number / large), number % large, F.lit(small), F.lit(large), key, "date"
-    )
+
+    def step(n: Column) -> Column:
+        moved = feistel(F.floor(n / large), n % large, F.lit(small), F.lit(large), key, "date")
+        return _with(moved, lambda m: m["l"] * large + m["r"])
+
+    def late(n: Column) -> Column:
+        return F.dayofmonth(F.date_add(first, n.cast("int"))) > 12
+
+    moved = F.when(iso | day_first.isNotNull(), step(number)).otherwise(walked(number, step, late))
 
     def made(m: Column) -> Column:
-        to = F.date_add(first, (m["l"] * large + m["r"]).cast("int"))
+        to = F.date_add(first, m.cast("int"))
         mark = F.substring(value, 3, 1)
         d, mo, y = (F.date_format(to, x) for x in ("dd", "MM", "yyyy"))
         return (
@@ -319,9 +345,15 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return made
 
 
+#: Characters that patterns are made of, and places that no pattern goes across: behind any other
+#: character, and at a space beside a small letter.
+_OF_PATTERNS = "A-Za-z0-9._%+@ /()-"
+CUTS = rf"(?<=[^{_OF_PATTERNS}])|(?<=[a-z] )|(?= [a-z])"
+
+
 def rescanned(line: Column, key: str) -> Column:
-    """struct<text, kinds>: a line with its leftmost valid values replaced, though matches that are
-    not valid overlap them. No pattern goes beyond a line."""
+    """struct<text, kinds>: a piece of text with its leftmost valid values replaced, though matches that
+    are not valid overlap them."""
 
     def candidates(kind: str, pattern: str) -> Column:
         def one(v: Column) -> Column:
@@ -384,9 +416,16 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: s
         F.element_at(pieces, -1),
     )
     again = F.exists("__made", lambda m: m["new"].isNull())
-    lines = F.transform(F.split(text, "\n", -1), lambda line: rescanned(line, key))
-    work = work.withColumn("__lines", F.when(again, lines))
-    whole = F.array_join(F.transform("__lines", lambda x: x["text"]), "\n")
+    # The work on a piece grows with the square of its matches, so pieces are as short as can be.
+    unchanged = F.array().cast("array<string>").alias("kinds")
+    pieces = F.transform(
+        F.split(text, CUTS, -1),
+        lambda piece: F.when(F.regexp_like(piece, F.lit(ANY)), rescanned(piece, key)).otherwise(
+            F.struct(piece.alias("text"), unchanged)
+        ),
+    )
+    work = work.withColumn("__lines", F.when(again, pieces))
+    whole = F.array_join(F.transform("__lines", lambda x: x["text"]), "")
     changed = F.when(F.col("__lines").isNotNull(), whole).when(F.col("__made").isNotNull(), joined).otherwise(text)
     work = work.withColumn(text_col, changed)
     if kinds_col is not None:
