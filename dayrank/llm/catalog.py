@@ -143,7 +143,10 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document. A source stands in for an owner, its part in one language for a
     repository. Spans judged live are listed a second time under that name."""
     docs = read(spark, folder, "documents").select(
-        "doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("repository")
+        "doc_id",
+        "text",
+        "source",
+        F.when(F.col("source").isNotNull(), F.concat_ws("/", "source", "lang")).alias("repository"),
     )
     found = secret_scan.scan(docs, repository_col="repository")
 

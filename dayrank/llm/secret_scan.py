@@ -7,8 +7,9 @@ hashes of all candidate values are aggregated over the corpus by distinct reposi
 and the verdict goes back to every place where the value stands.
 
 Texts are read once. The narrow table of candidates is written to the shared folder; only it is
-shuffled. A value that holds a third of all candidates is reduced before each shuffle to one row
-for each task and pair of repository and owner.
+shuffled. A value that holds a third of all candidates is reduced to one row for each task and pair of
+repository and owner before it is counted, and its places are spread over tasks when its verdict
+goes back to them.
 
 Defined results: a null text is empty; a document without candidates has zeros, empty lists and
 no spans; repeated rows each get their own row; a null repository or owner counts as none, and a
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dayrank.operators.skew import spread_join
 from dayrank.session import materialize
 
 #: Fixed patterns and least lengths. For access and hex a run of the least length or more is the
@@ -34,8 +36,11 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
 
 #: A value that so many owners or repositories hold is a copied example.
+#: Repositories count where there is more than one owner.
 WIDE_OWNERS = 3
 WIDE_REPOSITORIES = 5
+#: A value with more places than this is spread over tasks; such values are at most the places by it.
+HOT_PLACES = 100_000
 #: A value looks random if it has at least so many different characters.
 VARIED = 8
 
@@ -140,15 +145,21 @@ def scan(
     ``unclear``."""
     found = materialize(candidates(docs, text_col, id_col, repository_col, owner_col), "candidates")
     places = found.filter(F.size("spans") > 0).select("row_id", F.explode("spans").alias("s"))
-    wide = (F.col("n_owners") >= wide_owners) | (F.col("n_repositories") >= wide_repositories)
+    # A value that one owner holds in many repositories is still that owner's.
+    copied = (F.col("n_repositories") >= wide_repositories) & (F.col("n_owners") > 1)
+    wide = (F.col("n_owners") >= wide_owners) | copied
     verdict = (
         F.when(wide, "example")
         .when((F.col("n_owners") == 1) & F.col("s.varied"), "live")
         .otherwise("unclear")
     )
+    owned = materialize(ownership(found), "ownership")
+    hot = owned.filter(F.col("n_places") > HOT_PLACES).select(
+        "value_sha256", F.ceil(F.col("n_places") / HOT_PLACES).alias("copies")
+    )
+    valued = places.withColumn("value_sha256", F.col("s.value_sha256"))
     judged = (
-        places.withColumn("value_sha256", F.col("s.value_sha256"))
-        .join(ownership(found), "value_sha256")
+        spread_join(valued, owned, ["value_sha256"], hot, ("row_id",), "inner")
         .select(
             "row_id",
             F.struct(
