@@ -26,11 +26,12 @@ from typing import Any
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from dayrank.llm.common import column, ready, lookup, sha256_text
+from dayrank.llm.common import column, ready, sha256_text, small_enough
+from dayrank.operators.skew import spread_join
 from dayrank.session import fresh_path, materialize
 
 REVISIT_BYTES = 100
@@ -40,6 +41,8 @@ ARCHIVE_BYTES = 8 << 20
 RANGE_ROWS = 100_000
 #: Repeated payloads up to so many are broadcast to the pages; beyond, both sides are shuffled.
 BROADCAST_PAYLOADS = 200_000
+#: Pages of one payload that a task of that shuffle takes.
+HOT_ROWS = 100_000
 EPOCH = "2024-01-01T00:00:00Z"
 
 _END = "\r\n\r\n"
@@ -67,12 +70,23 @@ _ARROW = pa.schema(
 )
 
 
+def utc_text(time: Column) -> Column:
+    """A timestamp as WARC writes it, in UTC whatever zone the session is in."""
+    seconds = F.unix_seconds(time)
+    days = F.floor(seconds / 86_400).cast("int")
+    within = F.pmod(seconds, F.lit(86_400)).cast("int")
+    clock = [F.floor(within / 3600), F.floor(within / 60) % 60, within % 60]
+    text = F.concat_ws(":", *(F.lpad(part.cast("string"), 2, "0") for part in clock))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
+    return F.when(time.isNotNull(), F.concat(day, F.lit("T"), text, F.lit("Z")))
+
+
 def records(
     pages: DataFrame, id_col: str, url_col: str, payload_col: str, time_col: str | None = None
 ) -> DataFrame:
     """Each page with its payload's length and digest, its record type, and what it refers to."""
     time = F.lit(None).cast("timestamp") if time_col is None else F.col(time_col)
-    captured = F.coalesce(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(EPOCH))
+    captured = F.coalesce(utc_text(time), F.lit(EPOCH))
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
@@ -83,18 +97,25 @@ def records(
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         sha256_text(F.col("payload")).alias("payload_digest"),
     )
-    long_digest = F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("payload_digest"))
-    rows = rows.withColumn("shared_digest", long_digest)
+    # Short payloads are shared by no page; each has a key of its own, so they do not meet in one task.
+    is_long = F.col("payload_bytes") >= REVISIT_BYTES
+    own = F.concat(F.lit("page:"), F.xxhash64("page_id", "url", "payload_digest").cast("string"))
+    rows = rows.withColumn("shared_digest", F.when(is_long, F.col("payload_digest")).otherwise(own))
     first = (
-        rows.filter("shared_digest IS NOT NULL")
+        rows.filter(is_long)
         .groupBy("shared_digest")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 AND first_id IS NOT NULL")
-        .drop("n")
     )
-    first = lookup(materialize(first, "payloads"), BROADCAST_PAYLOADS)
+    first = materialize(first, "payloads")
+    if small_enough(first, BROADCAST_PAYLOADS):
+        known = rows.join(F.broadcast(first.drop("n")), "shared_digest", "left")
+    else:
+        # A widely repeated page is spread over tasks; such pages are at most the rows by HOT_ROWS.
+        hot = first.filter(F.col("n") > HOT_ROWS).select("shared_digest", F.ceil(F.col("n") / HOT_ROWS).alias("copies"))
+        known = spread_join(rows, first.drop("n"), ["shared_digest"], hot, ("page_id", "url"))
     is_revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "shared_digest", "left").select(
+    return known.select(
         "page_id",
         "url",
         "captured_at",

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from dayrank.llm import warc
 from dayrank.session import fresh_path
@@ -45,6 +47,33 @@ def test_odd_pages(spark):
     assert sorted_rows(found, *COLUMNS) == wanted(ODD)
 
 
+def test_repeated_payloads_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", 0)
+    monkeypatch.setattr(warc, "HOT_ROWS", 2)
+    rows = ODD + [(i, f"http://e.example/{i}", "same page " * 20) for i in range(100, 140)]
+    assert sorted_rows(warc.archive_and_index(pages(spark, rows)), *COLUMNS) == wanted(rows)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_dates_are_utc_in_every_session(spark, zone):
+    """Also where the session's clock is set back or forward."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    moments = [1_710_053_940 + 1800 * k for k in range(-6, 7)] + [1_730_613_600 + 1800 * k for k in range(-6, 7)] + [0, -1, 86_399]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.createDataFrame([(i, "http://a.example/", "x", s) for i, s in enumerate(moments)], "page_id long, url string, html string, s long")
+        frame = frame.withColumn("time", F.timestamp_seconds("s"))
+        texts = {r.page_id: r.captured_at for r in warc.records(frame, "page_id", "url", "html", "time").collect()}
+        path = fresh_path(spark, "warc")
+        warc.write_archives(warc.records(frame, "page_id", "url", "html", "time"), path)
+        index = warc.merge_runs(warc.read_runs(spark, path)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    for i, s in enumerate(moments):
+        assert texts[i] == (datetime(1970, 1, 1) + timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    assert [r.page_id for r in index] == [i for i, _ in sorted(enumerate(moments), key=lambda x: (x[1], x[0]))]
+
+
 def test_empty_table(spark):
     assert warc.archive_and_index(pages(spark, [])).count() == 0
 
