@@ -10,8 +10,9 @@ paragraphs is found; texts that share too few bigrams with it are left out befor
 fixed list within the expression: texts are read once, nothing is joined or shuffled.
 
 Defined results: null and empty texts, and units of fewer than two words, match nothing; a template
-counts once a document however many units match it, with its best coefficient; equal coefficients
-are listed by template name; repeated rows each get their own row; columns beyond those named are
+counts once a document however many units match it, with its best coefficient, and not at all where
+another template's match explains it (see explained_by), so a notice is one licence and not its
+whole family; licences are listed by template name; repeated rows each get their own row; columns beyond those named are
 ignored.
 """
 
@@ -108,6 +109,14 @@ TEMPLATES = {
 }
 
 
+#: How much better than a look-alike's text a match must be to count beside the look-alike's.
+EXPLAINED = 0.03
+#: Share of a template's bigrams within another that make it a part of that, and how much less the other
+#: may match.
+WITHIN = 0.95
+PART_LAG = 0.05
+
+
 def template_bigrams(text: str) -> list[str]:
     words = re.findall("[a-z0-9]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
@@ -221,4 +230,39 @@ def scan(
         )
     )
     matched = F.filter(scored, lambda s: s["dice"] >= threshold) if known else none
-    return grams.select(F.col("id").alias(id_col), matched.alias("licenses"))
+    found = grams.select("id", matched.alias("matched"))
+    rules = explained_by(known, threshold)
+    kept = F.filter("matched", lambda s: ~_explained(s, F.col("matched"), rules)) if rules else F.col("matched")
+    return found.select(F.col("id").alias(id_col), kept.alias("licenses"))
+
+
+def explained_by(known: dict[str, list[str]], threshold: float) -> list[tuple[str, str, float, float]]:
+    """(s, t, most, lag): a match with s stands for a text of t, if t matches too, s's coefficient is at most
+    ``most``, and t's is higher by more than ``lag``.
+
+    Templates alike (a family's members): a text of t gives s the coefficient of the two templates, so a
+    match that is no better tells nothing more than t's. Templates within larger ones: a text of t holds
+    one of s, so s's may be anything; t's may be a little lower, as it is the longer.
+    """
+    out = []
+    for s, own in known.items():
+        for t, other in known.items():
+            if s == t or not own or not other:
+                continue
+            both = len(set(own) & set(other))
+            alike = 2.0 * both / (len(own) + len(other))
+            if alike >= threshold - EXPLAINED:
+                out.append((s, t, alike + EXPLAINED, 0.0))
+            elif both >= WITHIN * len(own) and len(other) > len(own):
+                out.append((s, t, 1.0, -PART_LAG))
+    return out
+
+
+def _explained(s: Column, matched: Column, rules: list[tuple[str, str, float, float]]) -> Column:
+    table = F.array(*(
+        F.struct(*(F.lit(v).alias(k) for k, v in zip(("s", "t", "most", "lag"), rule, strict=True))) for rule in rules
+    ))
+    own = F.filter(table, lambda r: (r["s"] == s["template"]) & (s["dice"] <= r["most"]))
+    return F.exists(
+        own, lambda r: F.exists(matched, lambda t: (t["template"] == r["t"]) & (t["dice"] - s["dice"] > r["lag"]))
+    )

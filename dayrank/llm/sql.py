@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dayrank.llm import centroids, quality, spelling
-from dayrank.llm.licenses import LOWER, TEMPLATES, THRESHOLD, UPPER
+from dayrank.llm.licenses import LOWER, TEMPLATES, THRESHOLD, UPPER, explained_by, template_bigrams
 
 
 def _text(value: str) -> str:
@@ -16,6 +16,11 @@ def _lowered(column: str) -> str:
 
 _VALUES = ",\n    ".join(f"({_text(name)}, {_text(text)})" for name, text in TEMPLATES.items())
 
+_RULES = ",\n    ".join(
+    f"({_text(s)}, {_text(t)}, {most!r}::DOUBLE, {lag!r}::DOUBLE)"
+    for s, t, most, lag in explained_by({n: template_bigrams(x) for n, x in sorted(TEMPLATES.items())}, THRESHOLD)
+)
+
 OP4 = f"""
 WITH templates(template, body) AS (VALUES
     {_VALUES}),
@@ -43,9 +48,15 @@ found AS (
     JOIN numbered ON numbered.k = shared.u
     JOIN names ON names.k = shared.t
     GROUP BY ALL HAVING max(2.0::DOUBLE * shared.n / (a.n + b.n)) >= {THRESHOLD}),
+rules(s, t, most, lag) AS (VALUES
+    {_RULES}),
+kept AS (
+    SELECT * FROM found a WHERE NOT EXISTS (
+        SELECT 1 FROM rules JOIN found b ON b.template = rules.t
+        WHERE b.r = a.r AND rules.s = a.template AND a.dice <= most AND b.dice - a.dice > lag)),
 per_row AS (
     SELECT r, count(*) AS n, string_agg(template, ',' ORDER BY template) AS licenses, max(dice) AS best
-    FROM found GROUP BY r)
+    FROM kept GROUP BY r)
 SELECT d.doc_id, coalesce(p.n, 0)::BIGINT AS n_licenses, coalesce(p.licenses, '') AS licenses,
     coalesce(p.best, 0)::DOUBLE AS best_dice
 FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) d LEFT JOIN per_row p USING (r)
