@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import pickle
 import random
 import re
+import time
 
 import pyarrow.parquet as pq
 
@@ -58,7 +60,7 @@ def test_odd_cases_and_blocks(spark):
     ]
     items = [(10, passage), (11, "Short, ITEM"), (12, None), (13, ""), (None, "ünï çode ünï"), (11, "other words here")]
     docs, benchmark = frames(spark, rows, items)
-    for size in (10**6, 5):  # one block, several
+    for size in (10**6, 40):  # one block, several
         found = scan(docs, benchmark, block_words=size).collect()
         assert len(found) == len(rows)
         named = [(str(i) if i is not None else None, t) for i, t in items]
@@ -70,6 +72,50 @@ def test_odd_cases_and_blocks(spark):
         assert got == sorted(wanted)
 
 
+def test_blocks_leave_the_same_texts(spark):
+    """Cleaning over several blocks, hits broadcast or shuffled, equals cleaning over one."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcde") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(r.choice([4, 12, 25])))) for i in range(12)]
+    rows: list[tuple] = [(None, None), (None, items[1][1]), (1, ""), (2, None)]
+    for i in range(3, 60):
+        around = [word() for _ in range(r.randrange(40))]
+        at = r.randrange(len(around) + 1)
+        middle = r.choice(items)[1] if r.random() < 0.5 else ""
+        rows.append((i, " ".join([*around[:at], middle, r.choice(items)[1] if r.random() < 0.2 else "", *around[at:]])))
+    rows += rows[5:9]
+    docs, benchmark = frames(spark, rows, items)
+    one = sorted(map(tuple, clean(docs, benchmark).select("doc_id", "text").collect()), key=repr)
+    assert 0 < len(one) < len(rows)
+    for bound in (decontaminate.BROADCAST_HITS, 0):
+        decontaminate.BROADCAST_HITS, before = bound, decontaminate.BROADCAST_HITS
+        try:
+            found = clean(docs, benchmark, block_words=120)
+            assert sorted(map(tuple, found.select("doc_id", "text").collect()), key=repr) == one
+            assert found.columns == docs.columns
+        finally:
+            decontaminate.BROADCAST_HITS = before
+
+
+def test_repetitive_text_beside_a_short_item():
+    """The cost is linear: a state leads straight to its short items."""
+    automaton = Automaton([("a", [b"w"]), ("b", [b"w"] * 200), ("c", [b"w"] * 3)], 10)
+    start = time.perf_counter()
+    spans, names = automaton.hits([b"w"] * 100_000)
+    assert time.perf_counter() - start < 10
+    assert spans == [(0, 100_000)] and names == {"a", "b", "c"}
+
+
+def test_a_packed_automaton_is_small_and_equals_itself():
+    r = random.Random(9)
+    items = [(str(k), [b"%d" % r.randrange(3000) for _ in range(200)]) for k in range(100)]
+    automaton = Automaton(items, 10)
+    packed = pickle.dumps(automaton, protocol=5)
+    assert len(packed) < 100 * 20_000
+    text = items[3][1][20:60] + [b"x"] + items[5][1][:9] + items[7][1]
+    assert pickle.loads(packed).hits(text) == automaton.hits(text) == ([(0, 40), (50, 250)], {"3", "7"})
+
+
 def test_empty_tables(spark):
     docs, none = frames(spark, [(1, "some words")], [])
     assert [(r.n_words, r.spans, r["items"]) for r in scan(docs, none).collect()] == [(2, [], [])]
