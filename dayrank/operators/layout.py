@@ -12,15 +12,31 @@ user: they are few keys, and go the general way, where hot keys are spread.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
 from dayrank.operators.skew import measured_keys
 from dayrank.session import fresh_path, materialize, own_table
 
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def joined_as_they_lie(spark: SparkSession) -> Iterator[None]:
+    """Plan joins on (label day, user, ...) of rows that lie by user alone without moving them. Only for
+    what is executed inside the block: elsewhere the usual rule keeps salted joins apart."""
+    before = spark.conf.get(CO_PARTITION)
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(CO_PARTITION, before)
+
 
 @dataclass(frozen=True)
 class ByUser:
@@ -40,8 +56,6 @@ class ByUser:
 def by_user(rollup: DataFrame, cfg: FeatureConfig, buckets: int | None = None) -> ByUser:
     """Write a rollup by day and user. ``rollup`` is read three times: hand in one from storage."""
     spark = rollup.sparkSession
-    # Both sides of a join on (label day, user, ...) lie by user alone; that is enough to join them as they lie.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = measured_keys(rollup, [("user_id",)], cfg)[("user_id",)][1]
     apart = F.col("user_id").isNull()

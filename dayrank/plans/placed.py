@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dayrank.config import FeatureConfig
 from dayrank.operators.label_calendar import SCORE, TRAIN, LabelDay, label_days, within_days
-from dayrank.operators.layout import ByUser
+from dayrank.operators.layout import ByUser, joined_as_they_lie
 from dayrank.operators.rolling import sample_day_block
 from dayrank.operators.rollup import daily_counts, daily_profile, entity_cells
 from dayrank.operators.skew import fits, measured_keys, spread_join
@@ -25,10 +25,12 @@ from dayrank.schema import (
     WITH_IDS,
     block_columns,
 )
+from dayrank.session import materialize
 
 
 def placed_train_features(layout: ByUser, cfg: FeatureConfig) -> DataFrame:
-    """Labelled samples of all label days with their features."""
+    """Labelled samples of all label days with their features. The samples with their pair, context and
+    user blocks are written now, as they are joined by a rule of their own."""
     return _features(layout, cfg, TRAIN)
 
 
@@ -37,7 +39,7 @@ def placed_score_features(layout: ByUser, cfg: FeatureConfig) -> DataFrame:
     return _features(layout, cfg, SCORE)
 
 
-def _samples(
+def placed_samples(
     rollup: DataFrame, days: list[LabelDay], cfg: FeatureConfig, labelled: bool, placed: bool
 ) -> tuple[DataFrame, DataFrame]:
     """The samples of some users with their pair, user-category and user blocks; and the daily rows of
@@ -75,7 +77,9 @@ def _features(layout: ByUser, cfg: FeatureConfig, as_of: str) -> DataFrame:
     labelled = as_of == TRAIN
     whole = within_days(layout.whole, days)
     sides = [(layout.bucketed, True)] + [(layout.rest, False)] * layout.has_hot
-    parts = [_samples(within_days(rows, days), days, cfg, labelled, placed) for rows, placed in sides]
+    parts = [placed_samples(within_days(rows, days), days, cfg, labelled, placed) for rows, placed in sides]
+    with joined_as_they_lie(whole.sparkSession):
+        parts[0] = materialize(parts[0][0], "placed-samples"), parts[0][1]
     frame = reduce(DataFrame.unionByName, (frame for frame, _ in parts))
     # The two sides share no user, so an item's users add up.
     users = reduce(DataFrame.unionByName, (unique_users(pairs, ITEM, days, cfg) for _, pairs in parts))

@@ -32,14 +32,24 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: what the cluster names in spark.checkpoint.dir, or
-    where that is unset, a folder in the session's warehouse, which is shared as well."""
+    where that is unset, a folder in the session's warehouse if that is a shared one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/dayrank-intermediate").rstrip("/")
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/dayrank-intermediate"
+        require_shared(folder, spark.sparkContext.master)
+    folder = folder.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def require_shared(folder: str, master: str) -> None:
+    """A folder of the driver's machine is no shared one on a cluster: executors would each write to
+    their own."""
+    if not master.startswith("local") and (folder.startswith("file:") or "://" not in folder):
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors reach; {folder} is local to a machine")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has written to yet."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from dayrank.operators import calendar_data
 from dayrank.operators.calendar_data import calendar_rows
 from dayrank.operators.label_calendar import SCORE, TRAIN, label_days
-from dayrank.operators.layout import by_user
+from dayrank.operators.layout import CO_PARTITION, by_user, joined_as_they_lie
 from dayrank.operators.prepare import long_window
 from dayrank.operators.rollup import base_rollup
 from dayrank.operators.samples import samples
 from dayrank.plans import jobs
 from dayrank.plans.features import score_features, train_features
-from dayrank.plans.placed import placed_score_features, placed_train_features
+from dayrank.plans.placed import placed_samples, placed_score_features, placed_train_features
 from dayrank.plans.store import (
     features_table,
     put_label_days,
@@ -193,10 +193,15 @@ def test_no_rows_and_no_calendar(spark, log, calendar):
 def test_a_layout_by_user_leaves_samples_where_they_are(rollup, full):
     layout = by_user(rollup, CFG, 5)
     assert not layout.has_hot
+    spark = rollup.sparkSession
+    before = spark.conf.get(CO_PARTITION)
+    with joined_as_they_lie(spark):
+        plan = plan_of(placed_samples(layout.bucketed, DAYS, CFG, True, True)[0])
+    assert spark.conf.get(CO_PARTITION) == before
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
     found = placed_train_features(layout, CFG)
-    plan = plan_of(found)
+    assert not re.search(r"Exchange hashpartitioning\((label_day#\d+, )?user_id", plan_of(found))
     assert not re.search(r"Exchange hashpartitioning\(user_id", plan)
-    assert not re.search(r"Exchange hashpartitioning\(label_day#\d+, user_id", plan)
     assert "SelectedBucketsCount" in plan or "Bucketed: true" in plan
     assert rows_of(found) == full
 

@@ -18,7 +18,7 @@ from dayrank.sources.warehouse import prepared_log
 from tests.conftest import SF
 
 #: These run a job while they are built and return a frame over its output.
-STORED = {"submission", "io_roundtrip", "gbt_rank", "gbt_checks"}
+STORED = {"submission", "io_roundtrip", "gbt_rank", "gbt_checks", "gbt_stored", "quarantine"}
 QUERIES = catalog()
 #: One window and one ratio stand for their family.
 ALIKE = {n for n in QUERIES if n.startswith("cnt_") and not n.endswith(("_long", "_d1"))}

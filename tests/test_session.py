@@ -10,7 +10,7 @@ from dayrank.operators.rollup import base_rollup
 from dayrank.plans import jobs
 from dayrank.plans.catalog import catalog
 from dayrank.plans.features import train_features
-from dayrank.session import materialize, shared_folder
+from dayrank.session import materialize, require_shared, shared_folder
 from dayrank.sources import behaviour as io
 from dayrank.sources.warehouse import EVENTS_CONFIG
 from tests.conftest import SF
@@ -30,6 +30,14 @@ def test_result_does_not_depend_on_the_sessions_zone(spark):
     assert found == wanted
 
 
+def test_a_local_folder_is_no_shared_one_on_a_cluster():
+    for folder in ("file:/home/x/warehouse", "/home/x/warehouse", "warehouse"):
+        require_shared(folder, "local[8]")
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            require_shared(folder, "spark://host:7077")
+    require_shared("hdfs://name/warehouse", "yarn")
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     return materialize(base_rollup(skewed_log(spark, 60_000)), "rollup", "day")
