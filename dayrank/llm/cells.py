@@ -67,7 +67,8 @@ def by_cell(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...]) -> Iterat
 
 
 def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """How many values each two of the sets share."""
+    """How many values each two of the sets share, as whole numbers in single precision: the matrix
+    is as large as the cell squared, and no copy of it is made."""
     count = len(sets)
     owner = np.repeat(np.arange(count), [len(s) for s in sets])
     values, place, often = np.unique(
@@ -84,4 +85,4 @@ def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
         x = np.zeros((count, width), dtype=np.float32)
         x[owner[low:high], place[low:high] - begin] = 1
         out += x @ x.T
-    return out.astype(np.int64)
+    return out

@@ -10,18 +10,24 @@ a document's sketch is its K smallest. The steps:
    only a prefix is needed, and the order is free: rarest values first. A value that no other sketch
    holds takes up room in the prefix and makes no list, so ordinary documents, and those that merely
    share a common passage, mostly have no list left at all.
-3. Each list is a cell. Within it the overlaps of all sketches follow from a matrix product; the
+3. Lists longer than CELL, or with more than CELL x WEIGHT shingles, come first. Each of their classes is
+   compared, by full sets, with a few members of its largest list, the hubs. Near copies of one
+   text meet the same hubs, so they are connected in one pass over them and need not meet again.
+4. Each list is a cell. Within it the overlaps of all sketches follow from a matrix product; the
    estimate over the union of two sketches (all values up to the smaller of both ends are known)
-   drops members without a possible partner. A pair counts only in its first common list.
-4. The members left meet again with their full sets. Overlaps are counted exactly over the cell's
+   drops members without a possible partner. A pair counts only in its first common list, and not
+   if hubs have connected it.
+5. The members left meet again with their full sets. Overlaps are counted exactly over the cell's
    own inverted index, one member against all others, and links are confirmed as fractions of
    integers. A member is skipped where all others are already in its component or too far off by
    the triangle inequality of Jaccard distances to members compared before, so a group of near
    copies costs a few passes, not all its pairs. Only links that join two components leave the cell.
-5. Components of all links.
+6. Components of all links.
 
-A list longer than CELL is cut into blocks, and each pair of blocks is a cell of its own, so no task
-holds more than 2 x CELL members however hot a passage is; no pair is lost by that.
+Of a large list the classes that hubs left outside its largest group are cut into blocks, and so is the
+whole list; each block of the ones makes a cell with each block of the other. So no task holds more than
+about 2 x CELL members however hot a passage is, no pair is lost, and a list of near copies is
+linear in its members. Only a list of many texts that are not alike still costs the square of its size.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with
 nothing; a text with fewer words than SHINGLE has the whole sequence as its one shingle; rows that
@@ -37,10 +43,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayrank.llm.cells import blocked, by_cell, overlaps
+from dayrank.llm.cells import by_cell, overlaps
 from dayrank.llm.common import LOWER, column, lookup, map_arrow, slices, utf8
 from dayrank.llm.components import components
 from dayrank.session import materialize
@@ -59,6 +65,12 @@ REMEMBERED = 200_000
 MISS = math.log(1e6)
 #: Standard deviations that an estimate may fall short.
 SHORT = 5.0
+#: Shingles that a cell holds for each of its members, on average, at most.
+WEIGHT = 1000
+#: Members of a large list that all others are compared with first.
+HUBS = 8
+#: Entries of a cell's inverted index that are counted at once.
+POSTINGS = 1 << 20
 #: Members of a cell whose distances to all others are kept for the triangle inequality.
 PIVOTS = 8
 
@@ -175,52 +187,209 @@ def prefixes(classes: DataFrame, k: int, similarity: float) -> DataFrame:
     return classes.join(first, "set_id").select("rep", "set_id", "n_shingles", "sketch", "prefix")
 
 
-def cells(found: DataFrame, cell: int) -> DataFrame:
-    """(cell, block, set_id, rep, n_shingles, sketch, earlier): a class once for each list it is in,
-    or for each pair of blocks of a long list. ``earlier`` are its lists before this one."""
-    member = found.select("set_id", F.posexplode("prefix").alias("at", "value"))
-    rows = blocked(member, ["value"], "set_id", cell)
+def in_lists(found: DataFrame) -> DataFrame:
+    """(set_id, rep, n_shingles, at, value): each class once for each list it is in."""
+    return found.select("set_id", "rep", "n_shingles", F.posexplode("prefix").alias("at", "value"))
+
+
+def lists(members: DataFrame, cell: int) -> DataFrame:
+    """(value, n, weight, large): lists of two members and more, and whether one is too long or too heavy
+    for one cell."""
+    sized = members.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    large = (F.col("n") > cell) | (F.col("weight") > cell * WEIGHT)
+    return sized.filter("n > 1").withColumn("large", large)
+
+
+def _blocks(n: str, weight: str, cell: int) -> Column:
+    """So many blocks that each has about ``cell`` members at most, and not too many shingles."""
+    return F.greatest(F.ceil(F.col(n) / cell), F.ceil(F.col(weight) / (cell * WEIGHT))).cast("int")
+
+
+def _hub_links(sets: list[np.ndarray], hubs: list[int], similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Confirmed links of members with hubs, and of hubs with each other."""
+    above, below = similarity
+    root = {h: h for h in hubs}
+    out = []
+
+    def near(a: int, b: int) -> bool:
+        small, large = sorted((sets[a], sets[b]), key=len)
+        if below * len(small) < above * len(large):
+            return False
+        at = np.searchsorted(large, small)
+        both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+        return below * both >= above * (len(small) + len(large) - both)
+
+    def join(a: int, b: int) -> None:
+        if root[a] != root[b]:
+            out.append((a, b))
+            old, new = root[b], root[a]
+            root.update({h: new for h, r in root.items() if r == old})
+
+    for at, a in enumerate(hubs):
+        for b in hubs[at + 1 :]:
+            if root[a] != root[b] and near(a, b):
+                join(a, b)
+    own = set(hubs)
+    for i in range(len(sets)):
+        met: int | None = None
+        for h in hubs if i not in own else []:
+            if (met is None or root[h] != root[met]) and near(i, h):
+                if met is None:
+                    met = h
+                    out.append((i, h))
+                else:
+                    join(met, h)
+    return out
+
+
+def hub_links(
+    members: DataFrame, large: DataFrame, sets: DataFrame, similarity: tuple[int, int], cell: int
+) -> DataFrame:
+    """(a, b): links of the classes in large lists with a few of their list, the hubs. Each class takes
+    part once, in its largest list, so near copies of one text meet the same hubs; the list is
+    cut, and its hubs copied to each part. So this is linear in the members."""
+    favourite = (
+        members.join(lookup(large.drop("large"), BROADCAST_IDS), "value")
+        .groupBy("set_id")
+        .agg(F.max(F.struct("n", "value", "weight", "rep")).alias("list"))
+        .select("set_id", "list.*")
+    )
+    favourite = materialize(favourite.withColumn("parts", _blocks("n", "weight", cell)), "favourites")
+    order = Window.partitionBy("value").orderBy(F.xxhash64("set_id"), "set_id")
+    hubs = favourite.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= HUBS)
+    hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int")
+    rows = favourite.withColumn("part", part).select("set_id", "rep", "value", "part", F.lit(False).alias("hub"))
+    rows = rows.unionByName(hubs.select("set_id", "rep", "value", "part", F.lit(True).alias("hub")))
+    met = (
+        rows.join(sets, "set_id")
+        .select(F.concat_ws(":", "value", "part").alias("cell"), "rep", "hub", "full")
+        .repartition("cell")
+        .sortWithinPartitions("cell")
+    )
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in by_cell(batches, ("full",)):
+            hubs = [i for i, hub in enumerate(found["hub"]) if hub]
+            made = _hub_links(found["full"], hubs, similarity)
+            if made:
+                ends = [pa.array([found["rep"][pair[end]] for pair in made], pa.int64()) for end in (0, 1)]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return map_arrow(met, confirm, "a bigint, b bigint")
+
+
+def cells(found: DataFrame, known: DataFrame, cell: int) -> DataFrame:
+    """(cell, set_id, rep, label, n_shingles, sketch, earlier): a class once for each cell it is in.
+    ``earlier`` are its lists before the cell's; classes of one ``label`` are connected already.
+
+    A list is a cell. Of a large one the classes of its most frequent label need not meet each
+    other, only the rest need to meet everyone: the rest is cut into blocks, and so is the whole list,
+    and each block of the rest makes a cell with each block of the list.
+    """
+    members = in_lists(found)
+    simple = members.join(known.filter("NOT large").select("value"), "value")
+    simple = simple.withColumn("cell", F.col("value").cast("string"))
+
+    large = lookup(known.filter("large").select("value"), BROADCAST_IDS)
+    labelled = members.join(large, "value").join(found.select("set_id", "label"), "set_id")
+    per_label = labelled.groupBy("value", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")
+    )
+    bases = (
+        per_label.groupBy("value")
+        .agg(
+            F.max(F.struct("n", "weight", "label")).alias("base"),
+            F.sum("n").alias("n"),
+            F.sum("weight").alias("weight"),
+        )
+        .withColumn("rest_n", F.col("n") - F.col("base.n"))
+        .withColumn("rest_weight", F.col("weight") - F.col("base.weight"))
+        .filter("rest_n > 0")
+        .select(
+            "value",
+            F.col("base.label").alias("base"),
+            _blocks("n", "weight", cell).alias("all_blocks"),
+            _blocks("rest_n", "rest_weight", cell).alias("rest_blocks"),
+        )
+    )
+    block = F.pmod(F.xxhash64("set_id"), F.col("all_blocks")).cast("int")
+    rest_block = F.pmod(F.xxhash64("set_id", F.lit(2)), F.col("rest_blocks")).cast("int")
+
+    def pair(rest: Column, of_all: Column) -> Column:
+        return F.concat_ws(":", "value", rest, of_all)
+
+    as_one_of_all = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda rest: pair(rest, block))
+    as_rest = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda of_all: pair(rest_block, of_all))
+    everywhere = F.when(F.col("label") == F.col("base"), as_one_of_all).otherwise(
+        F.array_distinct(F.concat(as_rest, as_one_of_all))
+    )
+    cut = labelled.join(lookup(bases, BROADCAST_IDS), "value").withColumn("cell", F.explode(everywhere))
+    rows = simple.select("cell", "set_id", "at").unionByName(cut.select("cell", "set_id", "at"))
     return rows.join(found, "set_id").select(
         "cell",
-        "block",
         "set_id",
         "rep",
+        "label",
         "n_shingles",
         "sketch",
         F.slice("prefix", F.lit(1), F.col("at")).alias("earlier"),
     )
 
 
+#: Rows of a cell's matrices that are looked at together.
+TILE = 256
+
+
 def possible(
-    sketches: list[np.ndarray], sizes: np.ndarray, earlier: list[np.ndarray], k: int, similarity: float
+    sketches: list[np.ndarray],
+    sizes: np.ndarray,
+    earlier: list[np.ndarray],
+    k: int,
+    similarity: float,
+    labels: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Whether each member has a partner in the cell that the estimate does not rule out."""
+    """Whether each member has a partner in the cell, not of its own label, that the estimate does not
+    rule out. Counts are small numbers, kept in small types, and estimates are made by tiles of rows."""
+    count = len(sketches)
+    labels = np.arange(count) if labels is None else labels
     both = overlaps(sketches)
+    met = overlaps(earlier)
     whole = sizes <= k
     ends = np.array([np.iinfo(np.int64).max if w else s[-1] for s, w in zip(sketches, whole, strict=True)])
-    known = np.stack(
-        [np.searchsorted(s, np.minimum(ends, end), side="right") for s, end in zip(sketches, ends, strict=True)]
-    )
-    union = known + known.T - both
-    slack = SHORT * np.sqrt(similarity * (1 - similarity) / np.maximum(union, 1))
-    slack[whole[:, None] & whole[None, :]] = 1e-9
-    fits = both >= (similarity - slack) * union
-    fits &= np.minimum.outer(sizes, sizes) >= (similarity - 1e-9) * np.maximum.outer(sizes, sizes)
-    fits &= overlaps(earlier) == 0
-    np.fill_diagonal(fits, False)
-    return fits.any(axis=1)
-
-
-def links_within(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
-    """Confirmed links that connect the members exactly as all their links would."""
+    known = np.empty((count, count), dtype=np.int16)
+    for i, (s, end) in enumerate(zip(sketches, ends, strict=True)):
+        known[i] = np.searchsorted(s, np.minimum(ends, end), side="right")
+    out = np.zeros(count, dtype=bool)
+    for begin in range(0, count, TILE):
+        t = slice(begin, begin + TILE)
+        union = known[t] + known[:, t].T - both[t]
+        slack = SHORT * np.sqrt(similarity * (1 - similarity) / np.maximum(union, 1))
+        slack[whole[t, None] & whole[None, :]] = 1e-9
+        fits = both[t] >= (similarity - slack) * union
+        fits &= np.minimum.outer(sizes[t], sizes) >= (similarity - 1e-9) * np.maximum.outer(sizes[t], sizes)
+        fits &= met[t] == 0
+        fits &= labels[t, None] != labels[None, :]
+        out[t] = fits.any(axis=1)
+    return out
+
+
+def links_within(
+    sets: list[np.ndarray], similarity: tuple[int, int], labels: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Confirmed links that connect the members exactly as all their links would; members of one label
+    are connected already."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(count), sizes)
-    values, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(count, dtype=np.int32), sizes)
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owners = owner[np.argsort(place, kind="stable")]
     begins = np.cumsum(often) - often
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     root = np.arange(count)
+    if labels is not None:
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        root = first[of]
     open_ = np.ones(count, dtype=bool)  # not yet compared with all others
     pivots: list[np.ndarray] = []
     above, below = similarity
@@ -234,10 +403,13 @@ def links_within(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tu
         if not others.any():
             continue
         mine = place[bounds[i] : bounds[i + 1]]
-        length = often[mine]
-        ends = np.cumsum(length)
-        at = np.arange(ends[-1]) + np.repeat(begins[mine] - (ends - length), length)
-        both = np.bincount(owners[at], minlength=count)
+        both = np.zeros(count, dtype=np.int64)
+        steps = np.cumsum(often[mine]) // POSTINGS
+        for part in np.split(mine, np.flatnonzero(np.diff(steps)) + 1):
+            length = often[part]
+            stops = np.cumsum(length)
+            at = np.arange(stops[-1]) + np.repeat(begins[part] - (stops - length), length)
+            both += np.bincount(owners[at], minlength=count)
         union = sizes[i] + sizes - both
         if len(pivots) < PIVOTS:
             pivots.append(1 - both / union)
@@ -262,41 +434,64 @@ def links(
     links connect."""
     share = similarity[0] / similarity[1]
     found = materialize(prefixes(classes, k, share), "prefixes")
+    members = in_lists(found)
+    known = materialize(lists(members, cell), "lists")
+    large = known.filter("large")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(set_id, full) of the representatives named."""
+        wanted = lookup(wanted.select(F.col("rep").alias(id_col)).distinct(), BROADCAST_IDS)
+        texts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(wanted, id_col, "left_semi")
+        return materialize(full_sets(texts, id_col, text_col, width), "sets").dropDuplicates(["set_id"])
+
+    if large.isEmpty():
+        found, made = found.withColumn("label", F.col("rep")), None
+    else:
+        within = materialize(
+            members.join(lookup(large.select("value"), BROADCAST_IDS), "value").select("set_id", "rep").distinct(),
+            "in-large-lists",
+        )
+        made = materialize(hub_links(members, large, sets_of(within), similarity, cell), "hub-links")
+        labels = components(made).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+        found = materialize(
+            found.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled"
+        )
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in by_cell(batches, ("sketch", "earlier")):
             if len(rows["rep"]) < 2:
                 continue
+            labels = np.array(rows["label"])
             keep = np.flatnonzero(
-                possible(rows["sketch"], np.array(rows["n_shingles"]), rows["earlier"], k, share)
+                possible(rows["sketch"], np.array(rows["n_shingles"]), rows["earlier"], k, share, labels)
             )
             if len(keep):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(keep)),
                         pa.array([rows["rep"][i] for i in keep], pa.int64()),
+                        pa.array([rows["label"][i] for i in keep], pa.int64()),
                         pa.array([rows["set_id"][i] for i in keep], pa.binary()),
                     ],
-                    ["cell", "rep", "set_id"],
+                    ["cell", "rep", "label", "set_id"],
                 )
 
-    ordered = cells(found, cell).repartition("cell").sortWithinPartitions("cell")
-    left = materialize(map_arrow(ordered, screen, "cell string, rep bigint, set_id binary"), "members")
-
-    wanted = left.select(F.col("rep").alias(id_col)).distinct()
-    wanted = lookup(wanted, BROADCAST_IDS)
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(wanted, id_col, "left_semi")
-    sets = materialize(full_sets(texts, id_col, text_col, width), "sets").dropDuplicates(["set_id"])
+    ordered = cells(found, known, cell).repartition("cell").sortWithinPartitions("cell")
+    left = materialize(map_arrow(ordered, screen, "cell string, rep bigint, label bigint, set_id binary"), "members")
+    sets = sets_of(left)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_cell(batches, ("full",)):
-            made = links_within(rows["full"], similarity) if len(rows["rep"]) > 1 else []
-            if made:
-                ends = [pa.array([rows["rep"][pair[end]] for pair in made], pa.int64()) for end in (0, 1)]
+            if len(rows["rep"]) < 2:
+                continue
+            pairs = links_within(rows["full"], similarity, np.array(rows["label"]))
+            if pairs:
+                ends = [pa.array([rows["rep"][pair[end]] for pair in pairs], pa.int64()) for end in (0, 1)]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    members = left.join(sets, "set_id").select("cell", "rep", "full")
-    return map_arrow(members.repartition("cell").sortWithinPartitions("cell"), confirm, "a bigint, b bigint")
+    met = left.join(sets, "set_id").select("cell", "rep", "label", "full")
+    rest = map_arrow(met.repartition("cell").sortWithinPartitions("cell"), confirm, "a bigint, b bigint")
+    return rest if made is None else made.unionByName(rest)
 
 
 def near_duplicates(

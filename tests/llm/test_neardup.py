@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from dayrank.llm import neardup
 from dayrank.llm.components import components
@@ -83,7 +84,7 @@ def copies(seed: int) -> list[tuple[int, str]]:
     return list(enumerate(texts, 100))
 
 
-@pytest.mark.parametrize("cell", [7, 1000])
+@pytest.mark.parametrize("cell", [7, 60, 1000])
 @pytest.mark.parametrize("k", [16, 64])
 def test_groups_of_copies_and_hot_passages(spark, cell, k):
     """Lists far longer than a cell; sketches that hold whole sets, and ones that do not."""
@@ -140,6 +141,53 @@ def test_links_within_a_cell_connect_what_all_links_connect():
         assert roots(made, n) == roots(every, n)
 
 
+def test_a_large_group_of_near_copies_makes_few_rows(spark):
+    """Each copy meets its hubs and is then connected: cells get none of them."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(3000):
+        other = list(base)
+        other[r.randrange(150)] = f"x{i}"
+        texts.append((i, " ".join(other)))
+    docs = documents(spark, texts, extra=False)
+    rows = neardup.sketches(docs, "doc_id", "text", 3, 64)
+    classes = rows.selectExpr("set_id", "id AS rep", "1 AS n", "n_shingles", "sketch")
+    found = neardup.prefixes(classes, 64, 0.8).cache()
+    known = neardup.lists(neardup.in_lists(found), 100).cache()
+    assert known.filter("large").count() > 10
+    members = neardup.in_lists(found)
+    sets = neardup.full_sets(docs, "doc_id", "text", 3)
+    made = neardup.hub_links(members, known.filter("large"), sets, (80, 100), 100).collect()
+    assert 2900 <= len(made) <= 4000  # hubs are linked anew in each part
+    labelled = found.withColumn("label", F.lit(0).cast("long"))
+    sizes = neardup.cells(labelled, known, 100).groupBy("cell").count().collect()
+    assert sum(x["count"] for x in sizes) < 3000 and max((x["count"] for x in sizes), default=0) <= 200
+    # Without labels, everything meets everything.
+    apart = found.withColumn("label", F.col("rep"))
+    sizes = neardup.cells(apart, known, 100).groupBy("cell").count().collect()
+    assert max(x["count"] for x in sizes) <= 320
+    got = neardup.near_duplicates(docs, width=3, similarity=(80, 100), cell=100).collect()
+    assert {x.component_id for x in got} == {0}
+
+
+def test_tiles_and_labels_rule_out_the_same(monkeypatch):
+    r = np.random.default_rng(2)
+    pool = np.sort(r.choice(1 << 40, 400, replace=False))
+    sets = [np.unique(r.choice(pool, r.integers(3, 90))) for _ in range(70)] + [pool[:80], pool[:82], pool[2:82]]
+    sketches, sizes = [s[:64] for s in sets], np.array([len(s) for s in sets])
+    none = [np.empty(0, dtype=np.int64)] * len(sets)
+    whole = neardup.possible(sketches, sizes, none, 64, 0.8)
+    assert whole[-3:].all() and not whole.all()
+    monkeypatch.setattr(neardup, "TILE", 9)
+    assert (neardup.possible(sketches, sizes, none, 64, 0.8) == whole).all()
+    labels = np.arange(len(sets))
+    labels[-3:] = 1000
+    assert not neardup.possible(sketches, sizes, none, 64, 0.8, labels)[-3:].any()
+    monkeypatch.setattr(neardup, "POSTINGS", 50)
+    assert set(neardup.links_within(sets, (80, 100), labels)) == set()
+
+
 def test_components_of_stars_chains_and_repeats(spark):
     star = [(i, 500) for i in range(501, 700)]
     chain = [(i, i + 1) for i in range(1000, 1200)]
