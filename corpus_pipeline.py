@@ -29,7 +29,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5, by a model learned from the labelled ones."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), held_out=None)
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
     scored = model.score(docs.select(*COLUMNS), "doc_id", "text", "text", *rest)
     return scored.filter(F.col("score") < 0.5).select(*COLUMNS)
