@@ -67,8 +67,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a digest of the text they decode to."""
     vocabulary = bpe.shared_vocabulary(spark, public_tokenizers.path(VOCABULARY))
-    encoded = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, vocabulary).select(
+    return bpe.encode_and_decode(docs, vocabulary, public_tokenizers.PATTERN).select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),

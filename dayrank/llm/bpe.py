@@ -15,7 +15,7 @@ empty table. Input columns beyond those named are ignored. An id outside the voc
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -275,12 +275,10 @@ def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return ready(spark).sparkContext.broadcast(raw)
 
 
-def encode(
-    docs: DataFrame, vocabulary: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, ids): the token ids of every whole text, special tokens treated as plain text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
+
+def _encoding(vocabulary: Broadcast, pattern: str, id_col: str, text_col: str) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = parsed(vocabulary.value, pattern)
         for batch in slices(batches, text_col, BATCH_BYTES):
@@ -291,14 +289,10 @@ def encode(
             yield pa.RecordBatch.from_arrays([column(batch, id_col), ids], [id_col, "ids"])
         _PARSED.clear()  # the worker may go on to other work
 
-    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
-
+    return run
 
-def decode(frame: DataFrame, vocabulary: Broadcast) -> DataFrame:
-    """The frame with ``decoded``, the bytes its ``ids`` stand for; a column of that name goes."""
-    frame = frame.drop("decoded")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
+def _decoding(vocabulary: Broadcast) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens(vocabulary.value)
         for batch in slices(batches, "ids", BATCH_BYTES):
@@ -313,4 +307,35 @@ def decode(frame: DataFrame, vocabulary: Broadcast) -> DataFrame:
                 [*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"]
             )
 
-    return map_arrow(frame, run, f"{schema}, decoded binary")
+    return run
+
+
+def encode(
+    docs: DataFrame, vocabulary: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, ids): the token ids of every whole text, special tokens treated as plain text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    run = _encoding(vocabulary, pattern, id_col, text_col)
+    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
+
+
+def decode(frame: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """The frame with ``decoded``, the bytes its ``ids`` stand for; a column of that name goes."""
+    frame = frame.drop("decoded")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+    return map_arrow(frame, _decoding(vocabulary), f"{schema}, decoded binary")
+
+
+def encode_and_decode(
+    docs: DataFrame, vocabulary: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, ids, decoded) as by ``encode`` and then ``decode``, both by the same worker: a task has one
+    Python process instead of two, and ids do not go back and forth."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    encoding, decoding = _encoding(vocabulary, pattern, id_col, text_col), _decoding(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from decoding(encoding(batches))
+        _TOKENS.clear()
+
+    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
