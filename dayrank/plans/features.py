@@ -46,6 +46,17 @@ def train_features(
     return _features(rollup, cfg, TRAIN, days=days, sketches=sketches)
 
 
+def train_rows(
+    rollup: DataFrame,
+    cfg: FeatureConfig,
+    days: Sequence[LabelDay],
+    sketches: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of ``train_features`` with their joined blocks, as ``named`` reads them: a quarter of the
+    columns, so this is what to move."""
+    return _joined(rollup, cfg, TRAIN, days=days, sketches=sketches)
+
+
 def training_set(rollup: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Training features of all positives and the downsampled negatives, with weights where they are
     a Bernoulli sample. The choice needs keys and labels only, so it comes before the joins: dropped
@@ -71,7 +82,19 @@ def _features(
     days: Sequence[LabelDay] | None = None,
     sketches: DataFrame | None = None,
 ) -> DataFrame:
-    """Samples with all blocks.
+    """Samples with all blocks, their columns named."""
+    return named(_joined(rollup, cfg, as_of, keep, days, sketches), cfg, as_of == TRAIN)
+
+
+def _joined(
+    rollup: DataFrame,
+    cfg: FeatureConfig,
+    as_of: str,
+    keep: Column | None = None,
+    days: Sequence[LabelDay] | None = None,
+    sketches: DataFrame | None = None,
+) -> DataFrame:
+    """Samples with all blocks, profiles still maps.
 
     The user-item block *is* the sample frame: a pair is a sample exactly when it has a daily
     row on the sample day, and its label is in the day after. The user and category blocks are
@@ -146,7 +169,7 @@ def _features(
         context = joined(context, block, entity, USER_CATEGORY.keys)
     for entity, block in ((ITEM, item), (USER_CATEGORY, context)):
         frame = joined(frame, block, entity, USER_ITEM.keys)
-    return named(frame, cfg, labelled)
+    return frame
 
 
 def named(frame: DataFrame, cfg: FeatureConfig, labelled: bool) -> DataFrame:

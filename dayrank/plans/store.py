@@ -11,7 +11,7 @@ It replaces nothing where a day has no rows any more, so such partitions are rem
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +22,12 @@ from dayrank.config import FeatureConfig
 from dayrank.operators.distinct_sketches import user_sketches
 from dayrank.operators.label_calendar import TRAIN, LabelDay, label_day, label_days
 from dayrank.operators.rollup import base_rollup
-from dayrank.plans.features import train_features
-from dayrank.schema import features_schema
-from dayrank.session import exists, materialize, remove
+from dayrank.plans.features import named, train_rows
+from dayrank.schema import USER_ITEM, features_schema
+from dayrank.session import exists, file_names, remove
+
+#: Tasks, and files, that a label day's small features are spread over.
+PIECES = 16
 
 ROLLUP_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()),
@@ -65,16 +68,33 @@ def stored_label_days(spark: SparkSession, store: str) -> list[date]:
     return sorted(r["label_day"] for r in days.collect())
 
 
-def _replace(frame: DataFrame, path: str, by: str, values: Iterable[date]) -> None:
-    """Make the partitions of ``values`` hold the frame's rows, and no others change."""
+def _replace(
+    frame: DataFrame,
+    path: str,
+    by: str,
+    values: Iterable[date],
+    spread_by: Sequence[str] = (),
+    finished: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> None:
+    """Make the partitions of ``values`` hold the frame's rows, and no others change. The frame does not
+    read what is replaced.
+
+    It is computed and written in one go; a value that has rows has none of its former files after that.
+    Rows are gathered and sorted by value first and ``finished`` then, so that columns which follow from
+    others are neither moved nor sorted. With ``spread_by`` a value goes to ``PIECES`` tasks at most as
+    long as these stay below the advisory size, each a file of its own.
+    """
     spark = frame.sparkSession
-    rows = materialize(frame, "partitions")
-    present = {r[by] for r in rows.select(by).distinct().collect()}
-    rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    former = {at: file_names(spark, at) for at in {f"{path}/{by}={v.isoformat()}" for v in values}}
+    piece = F.pmod(F.xxhash64(*spread_by), F.lit(PIECES)) if spread_by else F.lit(0)
+    gathered = frame.withColumn("__piece", piece).hint("rebalance", by, "__piece")
+    placed = gathered.sortWithinPartitions(by).drop("__piece")
+    finished(placed).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         by
     ).parquet(path)
-    for value in set(values) - present:
-        remove(spark, f"{path}/{by}={value.isoformat()}")
+    for at, names in former.items():
+        if names & file_names(spark, at):
+            remove(spark, at)
 
 
 def put_log_days(store: str, log: DataFrame, days: Sequence[date], cfg: FeatureConfig) -> None:
@@ -98,8 +118,14 @@ def put_label_days(spark: SparkSession, store: str, days: Sequence[LabelDay], cf
     if not days:
         return
     sketches = sketches_table(spark, store) if cfg.approximate_users else None
-    found = train_features(rollup_table(spark, store), cfg, days, sketches)
-    _replace(found, f"{store}/features", "label_day", [d.label_day for d in days])
+    _replace(
+        train_rows(rollup_table(spark, store), cfg, days, sketches),
+        f"{store}/features",
+        "label_day",
+        [d.label_day for d in days],
+        spread_by=USER_ITEM.keys,
+        finished=lambda rows: named(rows, cfg, labelled=True),
+    )
 
 
 def drop_label_days(spark: SparkSession, store: str, days: Iterable[date]) -> None:

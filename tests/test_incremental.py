@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from dataclasses import replace
@@ -21,6 +22,7 @@ from dayrank.plans import jobs
 from dayrank.plans.features import score_features, train_features
 from dayrank.plans.placed import placed_samples, placed_score_features, placed_train_features
 from dayrank.plans.store import (
+    PIECES,
     features_table,
     put_label_days,
     put_log_days,
@@ -30,7 +32,7 @@ from dayrank.plans.store import (
     window_days,
 )
 from dayrank.schema import USER_CATEGORY, USER_ITEM
-from dayrank.session import exists, fresh_path, materialize, temporary_tables
+from dayrank.session import exists, fresh_path, materialize, shared_folder, temporary_tables
 from dayrank.sources import behaviour as io
 from dayrank.sources.warehouse import EVENTS_CONFIG as CFG
 from tests.test_plans import plan_of
@@ -127,6 +129,33 @@ def test_a_day_without_rows_is_emptied(spark, log):
     assert sampled and not sampled & found
 
 
+def test_features_of_a_store_are_written_once(spark, log, full):
+    """No table beside the store: features are computed and written in one go."""
+    path = fresh_path(spark, "store")
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    known = update(path, log, window_days(DAYS), CFG)
+    update(path, log, [DAYS[0].long_from], CFG, known)
+    assert set(os.listdir(folder)) - before == {path.rsplit("/", 1)[1]}
+    assert rows_of(features_table(spark, path, CFG)) == full
+    for d in DAYS:
+        stored = os.listdir(f"{path}/features/label_day={d.label_day}".removeprefix("file:"))
+        assert 1 <= sum(n.endswith(".parquet") for n in stored) <= PIECES
+
+
+def test_a_store_is_emptied_of_days_where_nothing_is_left(spark, log):
+    path = fresh_path(spark, "store")
+    put_log_days(path, log, window_days(DAYS), CFG)
+    put_label_days(spark, path, DAYS[:3], CFG)
+    day = DAYS[1].sample_day
+    kept = rows_of(features_table(spark, path, CFG).filter(F.col("label_day") != F.lit(DAYS[1].label_day)))
+    put_log_days(path, log.filter(F.lit(False)), [day], CFG)
+    put_label_days(spark, path, DAYS[1:2], CFG)
+    assert not exists(spark, f"{path}/rollup/day={day}") and not exists(spark, f"{path}/sketches/day={day}")
+    assert not exists(spark, f"{path}/features/label_day={DAYS[1].label_day}")
+    assert rows_of(features_table(spark, path, CFG)) == kept
+
+
 def test_update_job_makes_a_store_and_adds_a_day(spark, log, tmp_path, full):
     prepared, store = str(tmp_path / "prepared"), str(tmp_path / "store")
     io.write_prepared(log, prepared)
