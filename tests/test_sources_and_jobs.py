@@ -5,6 +5,7 @@ from dataclasses import replace
 import pytest
 
 from dayrank.__main__ import main
+from dayrank.config import FeatureConfig
 from dayrank.operators.model import classifier, predict, train, vectors
 from dayrank.operators.ranking import top_k
 from dayrank.operators.rollup import base_rollup
@@ -106,3 +107,8 @@ def test_model_settings():
     assert (found.getMaxDepth(), found.getStepSize(), found.getSubsamplingRate()) == (4, 0.02, 0.8)
     assert (found.getFeatureSubsetStrategy(), found.getSeed()) == ("0.8", 10)
     assert classifier(replace(CFG, boosting_rounds=900)).getMaxIter() == 900
+
+
+def test_queries_and_jobs_train_all_rounds_of_the_original(spark):
+    assert classifier(EVENTS_CONFIG).getMaxIter() == 900
+    assert classifier(FeatureConfig()).getMaxIter() == 900
