@@ -66,10 +66,11 @@ def by_cell(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...]) -> Iterat
         yield name, rows
 
 
-def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """How many values each two of the sets share, as whole numbers in single precision: the matrix
-    is as large as the cell squared, and no copy of it is made."""
+def overlaps(sets: list[np.ndarray], of: np.ndarray | None = None, width: int = 2048) -> np.ndarray:
+    """How many values each two of the sets, or those numbered ``of`` and all, share, as whole numbers in
+    single precision: the matrix is as large as the cell squared, and no copy of it is made."""
     count = len(sets)
+    of = np.arange(count) if of is None else of
     owner = np.repeat(np.arange(count), [len(s) for s in sets])
     values, place, often = np.unique(
         np.concatenate(sets) if count else np.empty(0), return_inverse=True, return_counts=True
@@ -77,12 +78,12 @@ def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     number = np.cumsum(often > 1) - 1
     keep = often[place] > 1
     owner, place = owner[keep], number[place[keep]]
-    out = np.zeros((count, count), dtype=np.float32)
+    out = np.zeros((len(of), count), dtype=np.float32)
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     for begin in range(0, int(place[-1]) + 1 if len(place) else 0, width):
         low, high = np.searchsorted(place, [begin, begin + width])
         x = np.zeros((count, width), dtype=np.float32)
         x[owner[low:high], place[low:high] - begin] = 1
-        out += x @ x.T
+        out += (x if len(of) == count else x[of]) @ x.T
     return out

@@ -16,16 +16,17 @@ a document's sketch is its K smallest. The steps:
 4. Each list is a cell. Within it the overlaps of all sketches follow from a matrix product; the
    estimate over the union of two sketches (all values up to the smaller of both ends are known)
    drops members without a possible partner. A pair counts only in its first common list, and not
-   if hubs have connected it.
+   if hubs have connected it; of a large list only members that may have such a pair meet.
 5. The members left meet again with their full sets. Overlaps are counted exactly over the cell's
-   own inverted index, one member against all others, and links are confirmed as fractions of
+   own inverted index (by a matrix product for common values), one member against all others, and links are confirmed as fractions of
    integers. A member is skipped where all others are already in its component or too far off by
    the triangle inequality of Jaccard distances to members compared before, so a group of near
    copies costs a few passes, not all its pairs. Only links that join two components leave the cell.
 6. Components of all links.
 
-Of a large list the classes that hubs left outside its largest group are cut into blocks, and so is the
-whole list; each block of the ones makes a cell with each block of the other. So no task holds more than
+Of a large list two classes need not meet that hubs have connected, nor two that are both in an earlier
+list. By the largest such sets, its classes fall into groups; each group meets those that share none with it,
+and both sides are cut into blocks, a cell for each two. So no task holds more than
 about 2 x CELL members however hot a passage is, no pair is lost, and a list of near copies is
 linear in its members. Only a list of many texts that are not alike still costs the square of its size.
 
@@ -69,8 +70,12 @@ SHORT = 5.0
 WEIGHT = 1000
 #: Members of a large list that all others are compared with first.
 HUBS = 8
+#: Sets of members of a large list, each connected already or meeting in another list, that divide it.
+CLIQUES = 5
 #: Entries of a cell's inverted index that are counted at once.
 POSTINGS = 1 << 20
+#: A value is common in a cell if more than one in so many members hold it.
+COMMON = 5
 #: Members of a cell whose distances to all others are kept for the triangle inequality.
 PIVOTS = 8
 
@@ -200,9 +205,9 @@ def lists(members: DataFrame, cell: int) -> DataFrame:
     return sized.filter("n > 1").withColumn("large", large)
 
 
-def _blocks(n: str, weight: str, cell: int) -> Column:
+def _blocks(n: Column, weight: Column, cell: int) -> Column:
     """So many blocks that each has about ``cell`` members at most, and not too many shingles."""
-    return F.greatest(F.ceil(F.col(n) / cell), F.ceil(F.col(weight) / (cell * WEIGHT))).cast("int")
+    return F.greatest(F.ceil(n / cell), F.ceil(weight / (cell * WEIGHT))).cast("int")
 
 
 def _hub_links(sets: list[np.ndarray], hubs: list[int], similarity: tuple[int, int]) -> list[tuple[int, int]]:
@@ -254,7 +259,7 @@ def hub_links(
         .agg(F.max(F.struct("n", "value", "weight", "rep")).alias("list"))
         .select("set_id", "list.*")
     )
-    favourite = materialize(favourite.withColumn("parts", _blocks("n", "weight", cell)), "favourites")
+    favourite = materialize(favourite.withColumn("parts", _blocks(F.col("n"), F.col("weight"), cell)), "favourites")
     order = Window.partitionBy("value").orderBy(F.xxhash64("set_id"), "set_id")
     hubs = favourite.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= HUBS)
     hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -280,60 +285,142 @@ def hub_links(
 
 
 def cells(found: DataFrame, known: DataFrame, cell: int) -> DataFrame:
-    """(cell, set_id, rep, label, n_shingles, sketch, earlier): a class once for each cell it is in.
-    ``earlier`` are its lists before the cell's; classes of one ``label`` are connected already.
-
-    A list is a cell. Of a large one the classes of its most frequent label need not meet each
-    other, only the rest need to meet everyone: the rest is cut into blocks, and so is the whole list,
-    and each block of the rest makes a cell with each block of the list.
+    """(cell, set_id, rep, label, n_shingles, sketch, earlier, asked): a class once for each cell it is in.
+    ``earlier`` are its lists before the cell's; classes of one ``label`` are connected already. Only
+    those pairs need to meet in a cell of which one at least is ``asked``.
+
+    A list is a cell, and all are asked. In a large one two classes of one label need not meet, nor two
+    that are both in an earlier list, as they meet there. Its largest such cliques divide it into groups
+    by the cliques they are in, and groups without a common one meet: each group, cut into blocks, is
+    asked for those that are larger, cut into blocks too. So a pair of near copies, which are in many
+    large lists together, meets in few of them.
     """
     members = in_lists(found)
     simple = members.join(known.filter("NOT large").select("value"), "value")
-    simple = simple.withColumn("cell", F.col("value").cast("string"))
+    simple = simple.select(F.col("value").cast("string").alias("cell"), "set_id", "at", F.lit(True).alias("asked"))
 
     large = lookup(known.filter("large").select("value"), BROADCAST_IDS)
-    labelled = members.join(large, "value").join(found.select("set_id", "label"), "set_id")
-    per_label = labelled.groupBy("value", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")
-    )
-    bases = (
-        per_label.groupBy("value")
-        .agg(
-            F.max(F.struct("n", "weight", "label")).alias("base"),
-            F.sum("n").alias("n"),
-            F.sum("weight").alias("weight"),
-        )
-        .withColumn("rest_n", F.col("n") - F.col("base.n"))
-        .withColumn("rest_weight", F.col("weight") - F.col("base.weight"))
-        .filter("rest_n > 0")
+    within = (
+        members.join(large, "value")
+        .groupBy("set_id")  # at most a prefix's values each
+        .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all"))
+        .join(found.select("set_id", "label", "n_shingles"), "set_id")
+        .select("set_id", "label", "n_shingles", "all", F.posexplode("all").alias("nth", "one"))
         .select(
-            "value",
-            F.col("base.label").alias("base"),
-            _blocks("n", "weight", cell).alias("all_blocks"),
-            _blocks("rest_n", "rest_weight", cell).alias("rest_blocks"),
+            "set_id",
+            "label",
+            "n_shingles",
+            "one.*",
+            F.transform(F.slice("all", F.lit(1), F.col("nth")), lambda one: one["value"]).alias("before"),
         )
     )
-    block = F.pmod(F.xxhash64("set_id"), F.col("all_blocks")).cast("int")
-    rest_block = F.pmod(F.xxhash64("set_id", F.lit(2)), F.col("rest_blocks")).cast("int")
+    within = materialize(within, "within-large-lists")
+    clique = F.explode(
+        F.concat(
+            F.array(F.struct(F.lit(True).alias("is_label"), F.col("label").alias("name"))),
+            F.transform("before", lambda value: F.struct(F.lit(False).alias("is_label"), value.alias("name"))),
+        )
+    )
+    largest = Window.partitionBy("value").orderBy(F.desc("n"), "clique")
+    cliques = (
+        within.select("value", clique.alias("clique"))
+        .groupBy("value", "clique")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .withColumn("nth", F.row_number().over(largest))
+        .filter(F.col("nth") <= CLIQUES)
+        .groupBy("value")
+        .agg(F.array_sort(F.collect_list("clique")).alias("cliques"))
+    )
+    cliques = materialize(cliques, "cliques")
+    is_in = F.transform(
+        "cliques",
+        lambda c, bit: F.when(
+            F.when(c["is_label"], c["name"] == F.col("label")).otherwise(F.array_contains("before", c["name"])),
+            F.pow(F.lit(2), bit).cast("int"),
+        ).otherwise(0),
+    )
+    within = (
+        within.join(lookup(cliques, BROADCAST_IDS), "value", "left")
+        .withColumn("group", F.coalesce(F.aggregate(is_in, F.lit(0), lambda a, b: a + b), F.lit(0)))
+        .select("set_id", "value", "at", "n_shingles", "group")
+    )
+    groups = (
+        within.groupBy("value", "group")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+        .groupBy("value")  # at most a power of two of cliques each
+        .agg(F.array_sort(F.collect_list(F.struct("n", "group", "weight"))).alias("groups"))
+    )
+
+    def apart(a: Column, b: Column) -> Column:
+        return a["group"].bitwiseAND(b["group"]) == 0
+
+    def total(of: Column, field: str) -> Column:
+        return F.aggregate(of, F.lit(0).cast("long"), lambda sum_, g: sum_ + g[field])
+
+    def meeting(g: Column, nth: Column) -> Column:
+        """A group, its blocks, and the blocks of those it meets: from itself on in the order of sizes."""
+        others = F.filter("groups", lambda other, at: (at >= nth) & apart(g, other))
+        return F.struct(
+            g["group"].alias("group"),
+            _blocks(g["n"], g["weight"], cell).alias("own_blocks"),
+            _blocks(total(others, "n"), total(others, "weight"), cell).alias("blocks"),
+        )
 
-    def pair(rest: Column, of_all: Column) -> Column:
-        return F.concat_ws(":", "value", rest, of_all)
+    groups = materialize(groups.select("value", F.transform("groups", meeting).alias("groups")), "groups")
+    own = F.array_position(F.transform("groups", lambda g: g["group"]), F.col("group")).cast("int") - 1
 
-    as_one_of_all = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda rest: pair(rest, block))
-    as_rest = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda of_all: pair(rest_block, of_all))
-    everywhere = F.when(F.col("label") == F.col("base"), as_one_of_all).otherwise(
-        F.array_distinct(F.concat(as_rest, as_one_of_all))
+    def name(g: Column, own_block: Column, block: Column) -> Column:
+        return F.concat_ws(":", "value", g["group"], own_block, block)
+
+    def numbers(blocks: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), blocks), lambda block: block < blocks)
+
+    asked = F.transform(
+        numbers(F.col("me.blocks")),
+        lambda block: name(F.col("me"), F.pmod(F.xxhash64("set_id", F.lit(2)), F.col("me.own_blocks")), block),
+    )
+    asking = F.filter("groups", lambda g, at: (at <= F.col("own")) & apart(g, F.col("me")))
+    met = F.flatten(
+        F.transform(
+            asking,
+            lambda g: F.transform(
+                numbers(g["own_blocks"]),
+                lambda own_block: name(g, own_block, F.pmod(F.xxhash64("set_id"), g["blocks"])),
+            ),
+        )
+    )
+    cut = (
+        within.join(lookup(groups, BROADCAST_IDS), "value")
+        .withColumn("own", own)
+        .withColumn("me", F.get("groups", F.col("own")))
+        .select("set_id", "at", asked.alias("asked"), met.alias("met"))
+        .withColumn(
+            "place",
+            F.explode(
+                F.concat(
+                    F.transform("asked", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("asked"))),
+                    F.transform(
+                        F.array_except("met", "asked"), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("asked"))
+                    ),
+                )
+            ),
+        )
+        .select("place.cell", "set_id", "at", "place.asked")
     )
-    cut = labelled.join(lookup(bases, BROADCAST_IDS), "value").withColumn("cell", F.explode(everywhere))
-    rows = simple.select("cell", "set_id", "at").unionByName(cut.select("cell", "set_id", "at"))
-    return rows.join(found, "set_id").select(
-        "cell",
-        "set_id",
-        "rep",
-        "label",
-        "n_shingles",
-        "sketch",
-        F.slice("prefix", F.lit(1), F.col("at")).alias("earlier"),
+    return (
+        simple.unionByName(cut)
+        .join(found, "set_id")
+        .select(
+            "cell",
+            "set_id",
+            "rep",
+            "label",
+            "n_shingles",
+            "sketch",
+            F.slice("prefix", F.lit(1), F.col("at")).alias("earlier"),
+            "asked",
+        )
     )
 
 
@@ -348,37 +435,48 @@ def possible(
     k: int,
     similarity: float,
     labels: np.ndarray | None = None,
+    asked: np.ndarray | None = None,
 ) -> np.ndarray:
     """Whether each member has a partner in the cell, not of its own label, that the estimate does not
-    rule out. Counts are small numbers, kept in small types, and estimates are made by tiles of rows."""
+    rule out; one of the two is ``asked``. Counts are small numbers, kept in small types, and estimates
+    are made by tiles of rows."""
     count = len(sketches)
     labels = np.arange(count) if labels is None else labels
-    both = overlaps(sketches)
-    met = overlaps(earlier)
+    asked = np.ones(count, dtype=bool) if asked is None else asked
+    of = np.flatnonzero(asked)
+    both = overlaps(sketches, of)
+    met = overlaps(earlier, of)
     whole = sizes <= k
     ends = np.array([np.iinfo(np.int64).max if w else s[-1] for s, w in zip(sketches, whole, strict=True)])
-    known = np.empty((count, count), dtype=np.int16)
+    known = np.empty((count, len(of)), dtype=np.int16)
     for i, (s, end) in enumerate(zip(sketches, ends, strict=True)):
-        known[i] = np.searchsorted(s, np.minimum(ends, end), side="right")
+        known[i] = np.searchsorted(s, np.minimum(ends[of], end), side="right")
     out = np.zeros(count, dtype=bool)
-    for begin in range(0, count, TILE):
+    for begin in range(0, len(of), TILE):
         t = slice(begin, begin + TILE)
-        union = known[t] + known[:, t].T - both[t]
+        rows = of[t]
+        union = known[:, t].T - both[t]
+        for at, i in enumerate(rows):
+            union[at] += np.searchsorted(sketches[i], np.minimum(ends, ends[i]), side="right")
         slack = SHORT * np.sqrt(similarity * (1 - similarity) / np.maximum(union, 1))
-        slack[whole[t, None] & whole[None, :]] = 1e-9
+        slack[whole[rows, None] & whole[None, :]] = 1e-9
         fits = both[t] >= (similarity - slack) * union
-        fits &= np.minimum.outer(sizes[t], sizes) >= (similarity - 1e-9) * np.maximum.outer(sizes[t], sizes)
+        fits &= np.minimum.outer(sizes[rows], sizes) >= (similarity - 1e-9) * np.maximum.outer(sizes[rows], sizes)
         fits &= met[t] == 0
-        fits &= labels[t, None] != labels[None, :]
-        out[t] = fits.any(axis=1)
+        fits &= labels[rows, None] != labels[None, :]
+        out[rows] |= fits.any(axis=1)
+        out |= fits.any(axis=0)
     return out
 
 
 def links_within(
-    sets: list[np.ndarray], similarity: tuple[int, int], labels: np.ndarray | None = None
+    sets: list[np.ndarray],
+    similarity: tuple[int, int],
+    labels: np.ndarray | None = None,
+    asked: np.ndarray | None = None,
 ) -> list[tuple[int, int]]:
-    """Confirmed links that connect the members exactly as all their links would; members of one label
-    are connected already."""
+    """Confirmed links that connect the members exactly as all their links would, or all those of members
+    that are ``asked``; members of one label are connected already."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(count, dtype=np.int32), sizes)
@@ -386,6 +484,11 @@ def links_within(
     owners = owner[np.argsort(place, kind="stable")]
     begins = np.cumsum(often) - often
     bounds = np.concatenate([[0], np.cumsum(sizes)])
+    # Values that many members hold are counted by a matrix product, for a tile of members at once.
+    many = often * COMMON > count if count > TILE else np.zeros(len(often), dtype=bool)
+    held = many[place]
+    holds = np.zeros((count, int(many.sum())), dtype=np.float32)
+    holds[owner[held], (np.cumsum(many) - 1)[place[held]]] = 1
     root = np.arange(count)
     if labels is not None:
         _, first, of = np.unique(labels, return_index=True, return_inverse=True)
@@ -395,17 +498,23 @@ def links_within(
     above, below = similarity
     reach = 1 - above / below + 1e-9
     out: list[tuple[int, int]] = []
-    for i in range(count):
+    of = np.arange(count) if asked is None else np.flatnonzero(asked)
+    tile, shared = -1, np.empty((0, count), dtype=np.float32)
+    for nth, i in enumerate(of.tolist()):
         others = open_ & (root != root[i])
         for distance in pivots:
             others &= np.abs(distance - distance[i]) <= reach
         open_[i] = False
         if not others.any():
             continue
+        if nth // TILE != tile:
+            tile = nth // TILE
+            shared = holds[of[tile * TILE : (tile + 1) * TILE]] @ holds.T
+        both = shared[nth % TILE].astype(np.int64)
         mine = place[bounds[i] : bounds[i + 1]]
-        both = np.zeros(count, dtype=np.int64)
+        mine = mine[~many[mine]]
         steps = np.cumsum(often[mine]) // POSTINGS
-        for part in np.split(mine, np.flatnonzero(np.diff(steps)) + 1):
+        for part in np.split(mine, np.flatnonzero(np.diff(steps)) + 1) if len(mine) else []:
             length = often[part]
             stops = np.cumsum(length)
             at = np.arange(stops[-1]) + np.repeat(begins[part] - (stops - length), length)
@@ -461,10 +570,9 @@ def links(
         for name, rows in by_cell(batches, ("sketch", "earlier")):
             if len(rows["rep"]) < 2:
                 continue
-            labels = np.array(rows["label"])
-            keep = np.flatnonzero(
-                possible(rows["sketch"], np.array(rows["n_shingles"]), rows["earlier"], k, share, labels)
-            )
+            labels, asked = np.array(rows["label"]), np.array(rows["asked"])
+            sizes = np.array(rows["n_shingles"])
+            keep = np.flatnonzero(possible(rows["sketch"], sizes, rows["earlier"], k, share, labels, asked))
             if len(keep):
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -472,24 +580,26 @@ def links(
                         pa.array([rows["rep"][i] for i in keep], pa.int64()),
                         pa.array([rows["label"][i] for i in keep], pa.int64()),
                         pa.array([rows["set_id"][i] for i in keep], pa.binary()),
+                        pa.array(asked[keep]),
                     ],
-                    ["cell", "rep", "label", "set_id"],
+                    ["cell", "rep", "label", "set_id", "asked"],
                 )
 
     ordered = cells(found, known, cell).repartition("cell").sortWithinPartitions("cell")
-    left = materialize(map_arrow(ordered, screen, "cell string, rep bigint, label bigint, set_id binary"), "members")
+    schema = "cell string, rep bigint, label bigint, set_id binary, asked boolean"
+    left = materialize(map_arrow(ordered, screen, schema), "members")
     sets = sets_of(left)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_cell(batches, ("full",)):
             if len(rows["rep"]) < 2:
                 continue
-            pairs = links_within(rows["full"], similarity, np.array(rows["label"]))
+            pairs = links_within(rows["full"], similarity, np.array(rows["label"]), np.array(rows["asked"]))
             if pairs:
                 ends = [pa.array([rows["rep"][pair[end]] for pair in pairs], pa.int64()) for end in (0, 1)]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    met = left.join(sets, "set_id").select("cell", "rep", "label", "full")
+    met = left.join(sets, "set_id").select("cell", "rep", "label", "asked", "full")
     rest = map_arrow(met.repartition("cell").sortWithinPartitions("cell"), confirm, "a bigint, b bigint")
     return rest if made is None else made.unionByName(rest)
 

@@ -171,6 +171,60 @@ def test_a_large_group_of_near_copies_makes_few_rows(spark):
     assert {x.component_id for x in got} == {0}
 
 
+def test_members_of_many_large_lists_meet_once(spark):
+    """Copies with many changes are in many large lists together. Two that are not connected meet where
+    they are first together, and cells hold few other pairs."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        other = list(base)
+        for at in r.sample(range(150), r.randrange(12)):
+            other[at] = f"x{r.randrange(300)}"
+        texts.append((i, " ".join(other)))
+    rows = neardup.sketches(documents(spark, texts, extra=False), "doc_id", "text", 3, 64)
+    classes = rows.groupBy("set_id").agg(
+        F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+    )
+    found = neardup.prefixes(classes, 64, 0.85).cache()
+    known = neardup.lists(neardup.in_lists(found), 40).cache()
+    large = {x.value for x in known.collect() if x.large}
+    assert len(large) > 20
+    label = F.when(F.col("rep") % 3 == 0, F.lit(0)).otherwise(F.col("rep")).cast("long")
+    labelled = found.withColumn("label", label).cache()
+    lists = {x.rep: (x.label, set(x.prefix)) for x in labelled.collect()}
+    wanted = {
+        (a, b) for a, (la, x) in lists.items() for b, (lb, y) in lists.items() if a < b and la != lb and x & y
+    }
+    meeting, compared, held = set(), 0, {}
+    for x in neardup.cells(labelled, known, 40).collect():
+        held.setdefault(x.cell, []).append((x.rep, x.label, x["asked"], set(x.earlier)))
+    for members in held.values():
+        assert len(members) <= 160 and len({m[0] for m in members}) == len(members)
+        compared += len(members) ** 2
+        for a, la, asked, x in members:
+            meeting |= {(a, b) for b, lb, too, y in members if a < b and la != lb and (asked or too) and not x & y}
+    assert meeting == wanted
+    assert compared < 12 * len(wanted)
+
+
+def test_common_values_are_counted_alike(monkeypatch):
+    r = np.random.default_rng(6)
+    base = r.choice(10_000, 60, replace=False)
+    sets = []
+    for _ in range(90):
+        s = base.copy()
+        at = r.choice(60, r.integers(0, 14), replace=False)
+        s[at] = r.integers(10_000, 10_400, len(at))
+        sets.append(np.unique(s))
+    made = neardup.links_within(sets, (80, 100))
+    monkeypatch.setattr(neardup, "TILE", 7)
+    assert neardup.links_within(sets, (80, 100)) == made
+    asked = r.random(len(sets)) < 0.4
+    some = neardup.links_within(sets, (80, 100), None, asked)
+    assert 0 < len(some) <= len(made) and all(asked[a] for a, _ in some)
+
+
 def test_tiles_and_labels_rule_out_the_same(monkeypatch):
     r = np.random.default_rng(2)
     pool = np.sort(r.choice(1 << 40, 400, replace=False))
